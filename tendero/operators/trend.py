@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tendero import constants as K
 from tendero.functions import labels as L, measures as M, predicates as P
@@ -43,18 +43,13 @@ def trend_report(tickets: DataFrame, days: int = 7, as_of: P.DateLike | None = N
 def trend_summary(tickets: DataFrame, days: int = 7, as_of: P.DateLike | None = None) -> DataFrame:
     """Items per branch and class, with their share of the branch.
 
-    The shares come from a second look at the handful of branch rows, not at the items.
+    The window runs over the three class rows of a branch, not over its items.
     """
     classes = weekly_trend(tickets, days, as_of).groupBy("branch", "trend").agg(
         F.count(F.lit(1)).alias("items"))
-    totals = classes.groupBy("branch").agg(
-        F.sum("items").alias("total_items"),
-        F.collect_list(F.struct("trend", "items")).alias("rows"),  # at most three classes
-    )
     return (
-        totals.select("branch", "total_items", F.inline("rows"))
-        .select("branch", "trend", "items", "total_items",
-                F.round(F.col("items") * 100.0 / F.col("total_items"), 0).alias("pct"))
+        classes.withColumn("total_items", F.sum("items").over(Window.partitionBy("branch")))
+        .withColumn("pct", F.round(F.col("items") * 100.0 / F.col("total_items"), 0))
         .orderBy("branch", "trend")
     )
 
@@ -125,13 +120,13 @@ def urgency_index(detail: DataFrame) -> DataFrame:
         low, high = F.col(f"_span.{name}_low"), F.col(f"_span.{name}_high")
         return F.when(high > low, (value - low) / F.nullif(high - low, F.lit(0.0))).otherwise(value * 0.0)
 
-    cover = F.least(F.greatest(F.col("days_cover"), F.lit(0)), F.lit(30))
-    risk = (30 - cover) / 30.0
+    cover = F.col("days_cover")
+    risk = F.when(cover.isNotNull(), (30 - F.least(F.greatest(cover, F.lit(0)), F.lit(30))) / 30.0)
     index = scaled(growth, "growth") * 0.4 + risk * 0.4 + scaled(budget, "budget") * 0.2
     others = detail.columns
     return (
         detail.withColumn("_span", span)
-        .withColumn("stock_risk", F.when(F.col("days_cover").isNotNull(), risk))
+        .withColumn("stock_risk", risk)
         .withColumn("urgency_index", F.bround(index, 3))
         .withColumn("suggested_action", L.urgency_action("urgency_index"))
         .select("urgency_index", "suggested_action", *others, "stock_risk")

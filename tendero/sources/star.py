@@ -183,16 +183,15 @@ def build_mart(spark: SparkSession, folder: str, path: str) -> None:
         tables[name].write.parquet(f"{path}/{name}")
 
 
-_built: dict[tuple[str, str], str] = {}
+_marts: dict[tuple[SparkSession, str], Mart] = {}
 _lock = threading.Lock()
 
 
 def star_mart(spark: SparkSession, folder: str) -> Mart:
-    """The mart over a star schema, built once per application and folder."""
-    key = (spark.conf.get("spark.app.id", "app"), folder)
+    """The mart over a star schema, built once per session and folder."""
     with _lock:
-        if key not in _built:
+        if (spark, folder) not in _marts:
             path = new_path(spark, "mart")
             build_mart(spark, folder, path)
-            _built[key] = path
-    return load_mart(spark, _built[key])
+            _marts[spark, folder] = load_mart(spark, path)
+        return _marts[spark, folder]
