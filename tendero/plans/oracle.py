@@ -639,12 +639,14 @@ def folded(column: str) -> str:
 
 
 def whole_word(text: str, word: str) -> str:
-    return f"regexp_matches({text}, '(^|[^\\p{{L}}\\p{{N}}_])' || {word} || '([^\\p{{L}}\\p{{N}}_]|$)')"
+    edge = r"[^\p{L}\p{N}_]"
+    return f"regexp_matches({text}, '(^|{edge}){word}({edge}|$)')"
 
 
-def synonym_rows(dictionary) -> str:
-    owner = dictionary.synonyms()
-    return ", ".join(f"('{s}', {place}, {number})" for place, (s, number) in enumerate(owner.items()))
+def category_case(dictionary) -> str:
+    """Synonyms tried one by one, the longest first and equals in listed order."""
+    words = sorted(dictionary.synonyms().items(), key=lambda pair: -len(pair[0]))
+    return "CASE " + " ".join(f"WHEN {whole_word('low', w)} THEN {n}" for w, n in words) + " END"
 
 
 def category_rows(dictionary) -> str:
@@ -660,19 +662,17 @@ def category_rows(dictionary) -> str:
 
 
 def categorised(source: str, key: str, dictionary) -> str:
-    """Texts with their category: dictionary join, longest synonym first, then listed order."""
+    """Texts with their category and the brands and size spellings they hold."""
     return f"""
-    syn(word, place, number) AS (VALUES {synonym_rows(dictionary)}),
     cat(number, category, family, subfamily, brand_list, sizes, kinds) AS (VALUES {category_rows(dictionary)}),
     texts AS MATERIALIZED (SELECT *, lower(trim(text)) AS low, {folded('lower(trim(text))')} AS fold FROM {source}),
-    hits AS (SELECT {key}, number, ROW_NUMBER() OVER (PARTITION BY {key} ORDER BY length(word) DESC, place) AS rn
-             FROM texts, syn WHERE {whole_word('low', 'word')}),
+    hits AS MATERIALIZED (SELECT {key}, {category_case(dictionary)} AS number FROM texts),
     found AS MATERIALIZED (
       SELECT texts.*, cat.category, cat.family, cat.subfamily,
              [b FOR b IN (CASE WHEN cat.number IS NULL THEN {sql_list(dictionary.brands())}
                           ELSE cat.brand_list END) IF contains(low, b)] AS all_brands,
              list_position([contains(low, s) FOR s IN cat.sizes], true) AS size_at, cat.sizes, cat.kinds
-      FROM texts LEFT JOIN (SELECT * FROM hits WHERE rn = 1) h USING ({key})
+      FROM texts JOIN hits h USING ({key})
       LEFT JOIN cat ON h.number = cat.number)"""
 
 
@@ -692,7 +692,7 @@ def amount(opening: str, units) -> str:
 
 def _supplier_case(names) -> str:
     unique = list(dict.fromkeys(fold_word(n) for n in names))
-    literal = [f"WHEN {whole_word('fold', repr(n))} THEN '{n}'" for n in unique]
+    literal = [f"WHEN {whole_word('fold', n)} THEN '{n}'" for n in unique]
     return "CASE " + " ".join(literal) + " END"
 
 
