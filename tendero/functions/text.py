@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, functions as F
 
@@ -16,7 +18,10 @@ _FOLD = str.maketrans(ACCENTED, PLAIN)
 
 def fold(text: Column) -> Column:
     """Lower case without accents."""
-    return F.translate(F.lower(text), ACCENTED, PLAIN)
+    folded = F.lower(text)
+    for accented, plain in zip(ACCENTED, PLAIN):
+        folded = F.replace(folded, F.lit(accented), F.lit(plain))
+    return folded
 
 
 def fold_word(word: str) -> str:
@@ -31,30 +36,43 @@ def escape(phrase: str) -> str:
 def any_phrase(folded: Column, phrases: Sequence[str], whole_words: Sequence[str] = ()) -> Column:
     """True where the folded text holds one of the phrases.
 
-    Phrases may be patterns (``proveedor.*pedir``). One alternation per rule keeps it a
-    single pass over the text. ``whole_words`` must stand alone.
+    Phrases are byte searches. Those with words in between (``proveedor.*pedir``) and words
+    that must stand alone go on to a regular expression only where their parts occur.
     """
-    parts = [fold_word(p) for p in phrases]
-    parts += [rf"\b{fold_word(w)}\b" for w in whole_words]
-    return folded.rlike("(?sU)" + "|".join(parts))
+    tests = []
+    for phrase in map(fold_word, phrases):
+        parts = phrase.split(".*")
+        test = reduce(and_, [folded.contains(part) for part in parts])
+        tests.append(test if len(parts) == 1 else test & folded.rlike("(?s)" + phrase))
+    for word in map(fold_word, whole_words):
+        tests.append(folded.contains(word) & folded.rlike(rf"(?U)\b{word}\b"))
+    return reduce(or_, tests)
 
 
 def best_rank(text: Column, phrases: Sequence[str]) -> Column:
     """Smallest position in ``phrases`` of a phrase found as whole words, else null.
 
-    A plain alternation reports the leftmost match and hides phrases that overlap it.
-    The look-ahead consumes nothing, so every position is tried; at one position the
-    alternation yields its first hit, and the smallest rank over positions is the answer.
+    Single words are looked up among the distinct words of the text, so their number hardly
+    matters. Phrases of several words are byte searches in rank order; only a text that
+    holds the characters is checked for word boundaries.
     """
-    if not phrases:
-        return F.lit(None).cast("int")
-    ranks = {}
+    ranks: dict[str, int] = {}
     for phrase in phrases:
         ranks.setdefault(phrase, len(ranks))
-    pattern = r"(?U)(?=\b(" + "|".join(escape(p) for p in ranks) + r")\b)"
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    lookup = F.create_map(*[F.lit(x) for pair in ranks.items() for x in pair])
-    return F.array_min(F.transform(hits, lambda hit: F.element_at(lookup, hit)))
+    words = {p: r for p, r in ranks.items() if re.fullmatch(r"\w+", p)}
+    found = [F.lit(None).cast("int"), F.lit(None).cast("int")]
+    if words:
+        hits = F.array_intersect(F.split(text, r"(?U)\W+"), string_array(list(words)))
+        lookup = F.create_map(*[F.lit(x) for pair in words.items() for x in pair])
+        found.append(F.array_min(F.transform(hits, lambda hit: F.element_at(lookup, hit))))
+    chain = F
+    for phrase, rank in ranks.items():
+        if phrase not in words:
+            whole = text.rlike(rf"(?U)\b{escape(phrase)}\b")
+            chain = chain.when(text.contains(phrase) & whole, F.lit(rank))
+    if chain is not F:
+        found.append(chain)
+    return F.least(*found)
 
 
 def string_array(values: Sequence[str]) -> Column:
