@@ -14,6 +14,7 @@ import time
 from pyspark.sql import SparkSession
 
 from tendero.plans.registry import QUERIES
+from tendero.session import session
 from tendero.sources.star import star_mart
 
 HEADLINE = (
@@ -34,14 +35,14 @@ def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     runs = int(os.environ.get("BENCH_RUNS", "2"))
-    spark = (
-        SparkSession.builder.master(f"local[{cpus}]").appName("bench")
-        .config("spark.sql.shuffle.partitions", cpus)
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "8g"))
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
+    spark = session(
+        "bench",
+        spark__master=f"local[{cpus}]",
+        spark__sql__shuffle__partitions=cpus,
+        spark__sql__adaptive__coalescePartitions__initialPartitionNum=cpus,
+        spark__driver__memory=os.environ.get("BENCH_MEMORY", "8g"),
+        spark__ui__enabled="false",
+        spark__ui__showConsoleProgress="false",
     )
     spark.sparkContext.setLogLevel("ERROR")
     spark.range(1).count()  # start of the JVM is not part of any query

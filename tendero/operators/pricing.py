@@ -151,31 +151,23 @@ def high_sales_low_margin(
 ) -> DataFrame:
     """Items that bring most sales, with their real margin; optionally only thin margins.
 
-    Totals cover every line; the latest price only the lines asked for. One scan gives
-    both: totals and latest line per item and description first, then the latest
-    over the few descriptions an item key carries.
+    Totals cover every line; the latest price only the lines asked for. Both are reduced to
+    one row per item before they meet, so no join carries single lines.
     """
     wanted = flt.first_of("subfamily", "brands", exact_subfamily=True)
-    priced = P.positive("price_unit") if wanted is None else P.positive("price_unit") & wanted
-    ties = [-F.col(c) for c in ("order_id", "line_no") if c in tickets.columns]
-    newest = F.struct(F.col("sale_date"), *ties, -F.col("price_unit"))
     totals = tickets.groupBy("item_key", "description").agg(
         M.total("price_total", 2).alias("sales_total"),
         M.total("quantity", 0).alias("units"),
-        F.max_by(F.when(priced, F.col("price_unit")), F.when(priced, newest)).alias("price_unit"),
-        F.max(F.when(priced, newest)).alias("newest"),
     )
-    per_item = Window.partitionBy("item_key")
-    price = M.fixed(F.col("last_price"), 2)
+    latest = latest_lines(keep(tickets, P.positive("price_unit"), wanted), "item_key")
+    price = M.fixed(F.col("price_unit"), 2)
     report = (
-        totals.withColumn("last_price", F.max_by("price_unit", "newest").over(per_item))
-        .where(P.present("last_price"))
-        .join(keep(prices, P.positive("last_cost")), "item_key")
+        totals.join(latest.select("item_key", price.alias("last_sale_price")), "item_key")
+        .join(keep(prices, P.positive("last_cost")).select("item_key", "last_cost"), "item_key")
         .select(
-            "item_key", "description", "sales_total", "units",
-            price.alias("last_sale_price"),
+            "item_key", "description", "sales_total", "units", "last_sale_price",
             M.fixed(F.col("last_cost"), 2).alias("last_cost"),
-            M.markup_pct(price, F.col("last_cost"), 1).alias("real_margin_pct"),
+            M.markup_pct(F.col("last_sale_price"), F.col("last_cost"), 1).alias("real_margin_pct"),
         )
     )
     if max_margin is not None:

@@ -130,5 +130,6 @@ def urgency_index(detail: DataFrame) -> DataFrame:
         .withColumn("urgency_index", F.bround(index, 3))
         .withColumn("suggested_action", L.urgency_action("urgency_index"))
         .select("urgency_index", "suggested_action", *others, "stock_risk")
-        .orderBy(F.desc_nulls_last("urgency_index"))
+        .orderBy(F.desc_nulls_last("urgency_index"),
+                 *[c for c in ("description", "branch") if c in others])
     )
