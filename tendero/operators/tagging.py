@@ -88,6 +88,26 @@ def dictionary_frames(dictionary: DataFrame) -> tuple[DataFrame, DataFrame]:
             _word_to_category(dictionary, "brands", "brand"))
 
 
+def catalog_dictionary(catalog: DataFrame) -> DataFrame:
+    """A dictionary table made from the catalogue itself.
+
+    Each family and each subfamily is a category called by its own name, with and without
+    accents. A subfamily comes after the families, so its name wins where both are alike.
+    """
+    named = catalog.where(P.present("family"))
+    families = named.select("family", F.lit(None).cast("string").alias("subfamily"),
+                            F.col("family").alias("name"), F.lit(0).alias("level"))
+    subfamilies = named.where(P.present("subfamily")).groupBy("subfamily").agg(
+        F.max("family").alias("family")).select(
+        "family", "subfamily", F.col("subfamily").alias("name"), F.lit(1).alias("level"))
+    return families.distinct().unionByName(subfamilies).select(
+        F.struct("level", "name").alias("position"),
+        F.lower("name").alias("category"), "family", "subfamily",
+        F.array_distinct(F.array(F.lower("name"), T.fold(F.col("name")))).alias("synonyms"),
+        F.array().cast("array<string>").alias("brands"),
+    )
+
+
 def subfamily_to_family(catalog: DataFrame) -> DataFrame:
     """Family of each subfamily; where the catalogue has several, the last by name."""
     named = catalog.where(P.present("subfamily") & P.present("family"))

@@ -788,6 +788,11 @@ put("route_counts", f"{_TAGS} SELECT {_ROUTE} AS route, count(*) AS texts FROM t
 
 _PAIRS = """SELECT DISTINCT p_type || '/' || split_part(p_name, ' ', 2) AS category, p_type,
     split_part(p_name, ' ', 2) AS noun, split_part(p_name, ' ', 1) AS adjective FROM part"""
+put("catalog_dictionary", """
+    SELECT DISTINCT lower(family) AS category, family, NULL::VARCHAR AS subfamily, lower(family) AS synonyms
+    FROM catalog
+    UNION ALL
+    SELECT lower(subfamily), max(family), subfamily, lower(subfamily) FROM catalog GROUP BY subfamily""", "catalog")
 put("dictionary_synonyms", f"""WITH p AS ({_PAIRS}), w AS (
       SELECT noun AS synonym, category FROM p UNION ALL SELECT noun || 's', category FROM p
       UNION ALL SELECT lower(p_type) || ' ' || noun, category FROM p)

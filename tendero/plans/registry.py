@@ -589,6 +589,12 @@ def subfamily_to_family(m: Mart) -> DataFrame:
     return tagging.subfamily_to_family(m.catalog)
 
 
+@on_mart
+def catalog_dictionary(m: Mart) -> DataFrame:
+    return tagging.catalog_dictionary(m.catalog).select(
+        "category", "family", "subfamily", F.concat_ws("|", "synonyms").alias("synonyms"))
+
+
 def _dictionary_table(spark: SparkSession, folder: str) -> DataFrame:
     """A dictionary built from item names: one category per item type and noun."""
     words = F.split("p_name", " ")
