@@ -25,14 +25,23 @@ def _branch_stock(df: DataFrame) -> list[str]:
     return _with_prefix(df, "stk_", but=("stk_total",))
 
 
-def stock_by_category(catalog: DataFrame, flt: SalesFilter, n: int = 10) -> DataFrame:
+def _stock_of(df: DataFrame, branches: Sequence[str]) -> list[str]:
+    """Stock columns of the branches, or of all where the table knows none of them."""
+    named = [f"stk_{b}" for b in branches if f"stk_{b}" in df.columns]
+    return named or _branch_stock(df)
+
+
+def stock_by_category(
+    catalog: DataFrame, flt: SalesFilter, n: int = 10,
+    branches: Sequence[str] = K.DASHBOARD_BRANCHES,
+) -> DataFrame:
     """Stock per branch of the items asked for; needs a subfamily or brands."""
     item = flt.first_of("subfamily", "brands")
     rows = nothing(catalog) if item is None else keep(catalog, item)
     return (
         rows.orderBy(F.desc_nulls_last("stk_total"), "item_key").limit(n)
         .select(F.trim("description").alias("description"), "subfamily", _supplier(),
-                *_branch_stock(catalog), "stk_total")
+                *_stock_of(catalog, branches), "stk_total")
     )
 
 
@@ -55,6 +64,7 @@ def bestsellers_at_risk(
 def critical_with_sales(
     alerts: DataFrame, tickets: DataFrame, flt: SalesFilter = SalesFilter(),
     as_of: P.DateLike | None = None, n: int = 20,
+    branches: Sequence[str] = K.SALE_BRANCHES[:3],
 ) -> DataFrame:
     """Items with two weeks of cover or less, with their sales of the month so far."""
     first = P.month_start(P.resolve_as_of(tickets, as_of))
@@ -63,13 +73,12 @@ def critical_with_sales(
         M.total("quantity", 0).alias("month_units"),
     )
     rows = keep(alerts, P.cover_between(0, 14), flt.all_of("subfamily", "brands"))
-    stock = [c for c in _branch_stock(alerts)][:3]
     return (
         rows.withColumn("item_key", F.col("item_key").cast("long"))
         .join(month, "item_key", "left")
         .select(
             "item_key", "description", "family", "subfamily", "supplier", "days_cover", "risk_level",
-            "stk_total", *stock, "abc_class",
+            "stk_total", *_stock_of(alerts, branches), "abc_class",
             F.coalesce("month_sales", F.lit(0.0)).alias("month_sales"),
             F.coalesce("month_units", F.lit(0.0)).alias("month_units"),
             L.coverage_label("days_cover", "critical").alias("level"),
@@ -111,13 +120,15 @@ def budget_by_supplier(alerts: DataFrame, flt: SalesFilter = SalesFilter(), n: i
     )
 
 
-def excess_for_transfer(alerts: DataFrame, flt: SalesFilter = SalesFilter(), n: int = 15) -> DataFrame:
+def excess_for_transfer(
+    alerts: DataFrame, flt: SalesFilter = SalesFilter(), n: int = 15,
+    branches: Sequence[str] = K.SALE_BRANCHES,
+) -> DataFrame:
     """Items with more stock than needed and where it lies."""
     rows = keep(alerts, P.positive("excess"), flt.first_of(*ITEM_FIELDS))
-    stock = _branch_stock(alerts)[:4]
     return (
         rows.orderBy(F.desc("excess"), "item_key").limit(n)
-        .select("description", "family", "subfamily", "excess", *stock, "days_cover")
+        .select("description", "family", "subfamily", "excess", *_stock_of(alerts, branches), "days_cover")
     )
 
 

@@ -367,7 +367,7 @@ def bestsellers_at_risk_urgent(m: Mart) -> DataFrame:
 
 @on_mart
 def critical_with_sales(m: Mart) -> DataFrame:
-    return stock.critical_with_sales(m.alerts, m.tickets, n=120)
+    return stock.critical_with_sales(m.alerts, m.tickets, n=120, branches=("1", "2", "3"))
 
 
 @on_mart
@@ -387,7 +387,7 @@ def budget_by_supplier(m: Mart) -> DataFrame:
 
 @on_mart
 def excess_for_transfer(m: Mart) -> DataFrame:
-    return stock.excess_for_transfer(m.alerts, SalesFilter(family="PROMO"), 25)
+    return stock.excess_for_transfer(m.alerts, SalesFilter(family="PROMO"), 25, ("1", "2", "3", "4"))
 
 
 @on_mart

@@ -1,11 +1,13 @@
 """Plans that must hold whatever the size of the data."""
 
+import datetime as dt
 import re
 
 import pytest
 
 from tendero.functions import predicates as P
 from tendero.operators import pricing, sales, stock, trend
+from tendero.plans.filters import SalesFilter
 from tendero.plans.registry import QUERIES
 
 
@@ -34,7 +36,9 @@ def test_periods_skip_months(mart):
     for df in (
         sales.daily_profit(mart.tickets, "2000-02-01"),
         trend.weekly_trend(mart.tickets),
-        mart.tickets.where(P.in_years(mart.tickets, (2000,))),
+        sales.monthly_profit(mart.tickets, (1999, 2001)),
+        sales.year_over_year(mart.tickets, SalesFilter(), dt.date(2001, 6, 1), dt.date(2001, 6, 30)),
+        stock.critical_with_sales(mart.alerts, mart.tickets),
     ):
         assert re.search(r"PartitionFilters: \[[^\]]*sale_month", plan(df))
 

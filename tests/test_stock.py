@@ -89,3 +89,13 @@ def test_selectors_skip_nulls_and_trim(spark):
     df = alerts(spark, *ROWS)
     assert [r[0] for r in selectors.suppliers(df).collect()] == ["ACME", "Gastón SA"]
     assert [r[0] for r in selectors.subfamilies(df, "G").collect()] == ["S", "T"]
+
+
+def test_stock_columns_follow_the_branches_named(spark):
+    df = spark.createDataFrame(
+        [(1, "a", "F", "S", 3, 7, 1, 9, 17)],
+        "item_key long, description string, family string, subfamily string, excess long, "
+        "stk_sabin long, stk_hiper long, stk_tirol long, days_cover long")
+    assert stock.excess_for_transfer(df).columns[-3:] == ["stk_hiper", "stk_sabin", "days_cover"]
+    other = df.toDF(*[c.replace("stk_", "stk_x") for c in df.columns])
+    assert stock.excess_for_transfer(other).columns[-4:-1] == ["stk_xsabin", "stk_xhiper", "stk_xtirol"]
