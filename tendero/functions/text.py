@@ -33,6 +33,16 @@ def escape(phrase: str) -> str:
     return re.sub(r"([^\w\s])", r"\\\1", phrase)
 
 
+def whole(phrase: str) -> str:
+    """Pattern for a phrase between word edges.
+
+    The literal comes first and the left edge is checked looking back, so the search skips
+    to places where the phrase occurs instead of testing every position for an edge.
+    """
+    literal = escape(phrase)
+    return rf"(?U){literal}\b(?<=\b{literal})"
+
+
 def any_phrase(folded: Column, phrases: Sequence[str], whole_words: Sequence[str] = ()) -> Column:
     """True where the folded text holds one of the phrases.
 
@@ -45,7 +55,7 @@ def any_phrase(folded: Column, phrases: Sequence[str], whole_words: Sequence[str
         test = reduce(and_, [folded.contains(part) for part in parts])
         tests.append(test if len(parts) == 1 else test & folded.rlike("(?s)" + phrase))
     for word in map(fold_word, whole_words):
-        tests.append(folded.contains(word) & folded.rlike(rf"(?U)\b{word}\b"))
+        tests.append(folded.contains(word) & folded.rlike(whole(word)))
     return reduce(or_, tests)
 
 
@@ -68,8 +78,7 @@ def best_rank(text: Column, phrases: Sequence[str]) -> Column:
     chain = F
     for phrase, rank in ranks.items():
         if phrase not in words:
-            whole = text.rlike(rf"(?U)\b{escape(phrase)}\b")
-            chain = chain.when(text.contains(phrase) & whole, F.lit(rank))
+            chain = chain.when(text.contains(phrase) & text.rlike(whole(phrase)), F.lit(rank))
     if chain is not F:
         found.append(chain)
     return F.least(*found)

@@ -175,7 +175,7 @@ def supplier_in(folded: Column, suppliers: Sequence[str]) -> Column:
 
 def top_n_in(lowered: Column) -> Column:
     """First number standing alone if it is a sensible list length, else ten."""
-    number = F.regexp_extract(lowered, r"(?U)\b(\d+)\b", 1).try_cast("int")
+    number = F.when(lowered.rlike("[0-9]"), F.regexp_extract(lowered, r"(?U)\b(\d+)\b", 1)).try_cast("int")
     return F.when(number.between(*TOP_N_RANGE), number).otherwise(F.lit(DEFAULT_TOP_N))
 
 

@@ -183,15 +183,19 @@ def build_mart(spark: SparkSession, folder: str, path: str) -> None:
         tables[name].write.parquet(f"{path}/{name}")
 
 
+_paths: dict[tuple[str, str], str] = {}
 _marts: dict[tuple[SparkSession, str], Mart] = {}
 _lock = threading.Lock()
 
 
 def star_mart(spark: SparkSession, folder: str) -> Mart:
-    """The mart over a star schema, built once per session and folder."""
+    """The mart over a star schema, built once per application and folder."""
     with _lock:
-        if (spark, folder) not in _marts:
+        built = (spark.conf.get("spark.app.id", "app"), folder)
+        if built not in _paths:
             path = new_path(spark, "mart")
             build_mart(spark, folder, path)
-            _marts[spark, folder] = load_mart(spark, path)
+            _paths[built] = path
+        if (spark, folder) not in _marts:
+            _marts[spark, folder] = load_mart(spark, _paths[built])
         return _marts[spark, folder]
