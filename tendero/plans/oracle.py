@@ -786,6 +786,11 @@ _ROUTE = f"""CASE
 put("route_label", f"{_TAGS} SELECT question_id, {_ROUTE} AS route FROM tags")
 put("route_counts", f"{_TAGS} SELECT {_ROUTE} AS route, count(*) AS texts FROM tags GROUP BY ALL")
 
+put("stream_tagged_log", f"""
+    WITH turns AS (SELECT 1000000000 + conv_id*60 + turn AS k, text FROM conversations WHERE role = 'user'),
+    {tagged('turns', 'k', X.LANGUAGE_DICTIONARY)}
+    SELECT k AS asked_at, text AS pregunta, category, {_ROUTE} AS route FROM tags""")
+
 _PAIRS = """SELECT DISTINCT p_type || '/' || split_part(p_name, ' ', 2) AS category, p_type,
     split_part(p_name, ' ', 2) AS noun, split_part(p_name, ' ', 1) AS adjective FROM part"""
 put("catalog_dictionary", """

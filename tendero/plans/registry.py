@@ -18,6 +18,7 @@ from tendero.sources import sinks
 from tendero.sources.mart import Mart, run_select, unparsed_dates
 from tendero.sources.shared import new_path
 from tendero.sources.star import read_table, star_mart
+from tendero.streaming import questions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -98,6 +99,23 @@ def query_log(spark: SparkSession, folder: str) -> DataFrame:
     return log.withColumn("timestamp", F.unix_seconds("timestamp"))
 
 
+@on_tables
+def stream_tagged_log(spark: SparkSession, folder: str) -> DataFrame:
+    """User turns arriving in the question log, tagged and routed as a stream."""
+    asked = read_table(spark, folder, "conversations").where(F.col("role") == "user").select(
+        F.timestamp_seconds(F.lit(1_000_000_000) + F.col("conv_id") * 60 + F.col("turn")).alias("timestamp"),
+        F.col("text").alias("pregunta"), F.lit(None).cast("string").alias("respuesta"),
+        F.lit(None).cast("string").alias("modo"), F.lit(None).cast("double").alias("tiempo_seg"),
+    )
+    log, out = new_path(spark, "stream-log"), new_path(spark, "stream-tagged")
+    sinks.append_query_log(asked, log)
+    arriving = questions.read_questions(spark, log)
+    tagged = questions.tag_and_route(arriving, X.LANGUAGE_DICTIONARY, X.AS_OF).select(
+        F.unix_seconds("timestamp").alias("asked_at"), "pregunta", "category", "route")
+    questions.write_tagged(tagged, out).awaitTermination()
+    return spark.read.schema(tagged.schema).json(out)
+
+
 @on_mart
 def filter_matches(m: Mart) -> DataFrame:
     """Rows each predicate keeps."""
