@@ -85,7 +85,8 @@ def top_sellers_with_cost(
 ) -> DataFrame:
     """Best sellers by units with their latest purchase price.
 
-    The list is cut to ``n`` before prices are looked up.
+    The list is cut to ``n`` before prices are looked up. It is not used to thin out the price
+    table first: that would add up the sale lines a second time.
     """
     period = flt.period(tickets)
     rows = keep(

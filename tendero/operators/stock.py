@@ -151,7 +151,14 @@ def offer_candidates(
     )
 
 
-def _with_purchase_price(rows: DataFrame, prices: DataFrame) -> DataFrame:
+def _with_purchase_price(rows: DataFrame, prices: DataFrame, short: bool) -> DataFrame:
+    """Add the latest purchase price where there is one.
+
+    A short list (cut to n rows) first picks its prices where they lie: its keys are
+    broadcast, n of them at most, and the price table is never shuffled.
+    """
+    if short:
+        prices = prices.join(F.broadcast(rows.select("item_key")), "item_key", "left_semi")
     price = prices.select(
         "item_key", M.fixed(F.col("last_cost"), 2).alias("last_cost"),
         F.trim("po_supplier").alias("po_supplier"),
@@ -168,7 +175,7 @@ def how_much_to_order(
     rows = nothing(alerts) if item is None else keep(alerts, P.positive("to_order"), item)
     best = rows.orderBy(F.desc_nulls_last("budget"), "item_key").limit(n)
     return (
-        _with_purchase_price(best, prices)
+        _with_purchase_price(best, prices, short=True)
         .orderBy(F.desc_nulls_last("budget"), "item_key")
         .select("description", "family", "subfamily", _supplier(), "to_order", "budget", "days_cover",
                 "stk_total", "units_90d", "last_cost", "po_supplier", "last_po_date")
@@ -183,7 +190,7 @@ def restock_by_supplier(
     largest = [F.desc_nulls_last("budget"), F.col("item_key")]
     best = rows if n is None else rows.orderBy(*largest).limit(n)
     return (
-        _with_purchase_price(best, prices)
+        _with_purchase_price(best, prices, short=n is not None)
         .orderBy(*largest)
         .select("description", "family", "subfamily", _supplier(), "days_cover", "stk_total",
                 "units_90d", "to_order", "budget", "risk_level", "last_cost", "po_supplier",

@@ -59,6 +59,11 @@ def test_list_is_cut_before_prices_are_joined(mart):
     assert text.index("TakeOrderedAndProject", join) > join
 
 
+def test_short_lists_filter_prices_in_place(mart):
+    text = plan(stock.how_much_to_order(mart.alerts, mart.last_prices, SalesFilter(family="PROMO")))
+    assert re.search(r"BroadcastHashJoin [^\n]*LeftSemi", text)
+
+
 def test_no_window_without_partition_in_urgency(mart):
     text = plan(trend.urgency_index(trend.trend_detail(mart.tickets, mart.alerts, "asia")))
     assert "Window " not in text and "Subquery" in text
