@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tendero.llm.ngram_join import ngram_components
+from tendero.llm.substring import cut_repeats
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,8 +19,14 @@ def ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_components(_table(spark, folder, "documents"), size=3, percent=90)
 
 
+def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cut = cut_repeats(_table(spark, folder, "documents"), window=35)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": ngram_join,
+    "op3_substring_dedup": substring_dedup,
 }
 
 ORACLE: dict[str, str] = {}
