@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tendero.llm.decontaminate import benchmark_overlaps
 from tendero.llm.ngram_join import ngram_components
 from tendero.llm.substring import cut_repeats
+from tendero.llm.token_files import read_tokens, write_tokens
+from tendero.llm.url_filter import judge, tracked
+from tendero.llm.warc import read_archive, write_archive, write_index
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,9 +29,35 @@ def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def warc(spark: SparkSession, folder: str) -> DataFrame:
+    directory = write_index(write_archive(_table(spark, folder, "pages"), least_bytes=0))
+    return read_archive(directory).drop("url")
+
+
+#: The rules of the contract as (verdict, host, path).
+RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+
+
+def url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _table(spark, folder, "pages")
+    return judge(pages, RULES, tracked(pages)).drop("canonical")
+
+
+def token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return read_tokens(write_tokens(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return benchmark_overlaps(_table(spark, folder, "documents"), _table(spark, folder, "benchmark")).drop("row")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": ngram_join,
+    "op2_warc_capture_index": warc,
     "op3_substring_dedup": substring_dedup,
+    "op5_url_filter": url_filter,
+    "op7_token_files": token_files,
+    "op9_benchmark_decontamination": decontamination,
 }
 
 ORACLE: dict[str, str] = {}
