@@ -12,6 +12,7 @@ from tendero.llm.decontaminate import benchmark_overlaps
 from tendero.llm.ngram_join import ngram_components
 from tendero.llm.substring import cut_repeats
 from tendero.llm.token_files import read_tokens, write_tokens
+from tendero.llm.toxicity import fit, scored
 from tendero.llm.url_filter import judge, tracked
 from tendero.llm.warc import read_archive, write_archive, write_index
 
@@ -43,6 +44,11 @@ def url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return judge(pages, RULES, tracked(pages)).drop("canonical")
 
 
+def toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return scored(docs, fit(docs, _table(spark, folder, "labels"))).drop("row")
+
+
 def token_files(spark: SparkSession, folder: str) -> DataFrame:
     return read_tokens(write_tokens(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
@@ -56,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc_capture_index": warc,
     "op3_substring_dedup": substring_dedup,
     "op5_url_filter": url_filter,
+    "op6_toxicity": toxicity,
     "op7_token_files": token_files,
     "op9_benchmark_decontamination": decontamination,
 }
