@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tendero.llm.components import components
 from tendero.llm.tables import written
-from tendero.llm.words import mix, seeded, shingle_set, slices
+from tendero.llm.words import seeded, shingle_set, slices
 
 ORDERS = 3
 COUNTER_BITS = 22
@@ -31,10 +31,6 @@ BLOCK = 4096
 _SHIFT = np.uint64(64 - COUNTER_BITS)
 
 
-def _prefix_length(n: int, percent: int) -> int:
-    return n + (-percent * n) // 100 + 1
-
-
 def _packed(counts: np.ndarray) -> bytes:
     """The counts in the narrowest type that holds them."""
     most = int(counts.max())
@@ -71,46 +67,45 @@ def _sum_counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             sums[block] = sums[block] + _unpacked(raw) if block in sums else _unpacked(raw)
-    levels = [np.floor(np.log2(x + 1)).astype(np.uint8).tobytes() for x in sums.values()]
+    levels = [np.ceil(np.log2(np.maximum(x, 1))).astype(np.uint8).tobytes() for x in sums.values()]
     yield pa.RecordBatch.from_pydict({"block": pa.array(list(sums), pa.int32()), "levels": pa.array(levels, pa.binary())})
 
 
 def shingle_levels(texts: DataFrame, size: int) -> np.ndarray:
-    """How busy each counter is, as a power of two above the usual: one byte a counter."""
+    """How busy each counter is: 0 for one document at most, then in powers of two, those up to the usual alike."""
     counted = texts.select("text").mapInArrow(_count_shingles(size), "block int, counts binary")
     summed = counted.repartition("block").mapInArrow(_sum_counters, "block int, levels binary")
     levels = np.zeros((1 << COUNTER_BITS) // BLOCK * BLOCK, np.uint8).reshape(-1, BLOCK)
     for row in summed.toLocalIterator():
         levels[row["block"]] = np.frombuffer(row["levels"], np.uint8)
-    usual = int(np.median(levels))
-    return np.maximum(levels.reshape(-1), usual) - np.uint8(usual)
+    levels = levels.reshape(-1)
+    usual = max(1, int(np.median(levels)))
+    return np.where(levels == 0, 0, np.maximum(levels, usual) - np.uint8(usual - 1)).astype(np.uint8)
+
+
+def _prefix(own: np.ndarray, busy: np.ndarray, order: int, percent: int) -> np.ndarray:
+    """The first shingles of a set under one order, as many as any similar set must share one of."""
+    take = len(own) + (-percent * len(own)) // 100 + 1
+    if take >= len(own):
+        return own
+    key = busy[(own >> _SHIFT).astype(np.int64)].astype(np.uint64) << np.uint64(58) | (seeded(own, order) >> np.uint64(6))
+    return own[np.argpartition(key, take - 1)[:take]]
 
 
 def _prefixes(size: int, percent: int, levels) -> Callable:
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         busy = np.frombuffer(levels.value, np.uint8)
         for batch in slices(batches):
-            ids, counts, classes, firsts = batch.column(0), [], [], [[] for _ in range(ORDERS)]
+            counts, alone, classes, first = [], [], [], []
             for text in batch.column(1).to_pylist():
                 own = shingle_set(text, size)
-                n = len(own)
-                counts.append(n)
-                classes.append(xxhash.xxh3_128_digest(own.tobytes()) if n else None)
-                if n:
-                    level = busy[(own >> _SHIFT).astype(np.int64)].astype(np.uint64) << np.uint64(58)
-                    take = _prefix_length(n, percent)
-                for order, found in enumerate(firsts):
-                    if not n:
-                        found.append([])
-                    elif take >= n:
-                        found.append(own.view(np.int64))
-                    else:
-                        key = level | (seeded(own, order) >> np.uint64(6))
-                        found.append(own[np.argpartition(key, take - 1)[:take]].view(np.int64))
+                counts.append(len(own))
+                alone.append(int((busy[(own >> _SHIFT).astype(np.int64)] == 0).sum()))
+                classes.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
+                first.append(_prefix(own, busy, 0, percent).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(counts, pa.int64()), pa.array(classes, pa.binary()),
-                 *(pa.array(found, pa.list_(pa.int64())) for found in firsts)],
-                names=["doc_id", "n", "class", *(f"p{k}" for k in range(ORDERS))])
+                [batch.column(0), pa.array(counts, pa.int64()), pa.array(alone, pa.int64()), pa.array(classes, pa.binary()), pa.array(first, pa.list_(pa.int64()))],
+                names=["doc_id", "n", "alone", "class", "prefix"])
 
     return describe
 
@@ -124,34 +119,37 @@ def _sets(size: int) -> Callable:
     return make
 
 
-def _compare(percent: int) -> Callable:
+def _compare(percent: int, levels) -> Callable:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        busy = np.frombuffer(levels.value, np.uint8)
+
+        def similar(x: np.ndarray, y: np.ndarray) -> bool:
+            for order in range(1, ORDERS):
+                if not len(np.intersect1d(_prefix(x, busy, order, percent), _prefix(y, busy, order, percent), assume_unique=True)):
+                    return False
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            return 100 * both >= percent * (len(x) + len(y) - both)
+
         for batch in slices(batches, "items_a"):
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            keep = [similar(*(np.frombuffer(z.as_buffer(), np.uint64) for z in pair)) for pair in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keep, pa.bool_())], names=["a", "b", "linked"])
 
     return compare
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """``a, b, linked`` for the candidates that pass every order's filter; others are no link."""
-    other = [f"p{k}" for k in range(1, ORDERS)]
-    side = lambda end: classes.select(F.col("rep").alias(end), *(F.col(p).alias(f"{p}_{end}") for p in other))
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b")
-    for p in other:
-        pairs = pairs.where(F.arrays_overlap(f"{p}_a", f"{p}_b"))
-    pairs = written(pairs.select("a", "b"), "candidates")
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int, levels) -> DataFrame:
+    """``a, b, linked`` for pairs that share a prefix under the first order.
+
+    The other orders are tried on a pair before its sets are compared.
+    """
+    pairs = written(pairs, "candidates")
     ids = written(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id"), "members")
     sets = texts.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(size), "doc_id long, items binary")
     sets = written(sets, "sets")
     paired = (pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("items_a")), "a")
               .join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("items_b")), "b")
               .select("a", "b", "items_a", "items_b"))
-    return written(paired.mapInArrow(_compare(percent), "a long, b long, linked boolean"), "compared")
+    return written(paired.mapInArrow(_compare(percent, levels), "a long, b long, linked boolean"), "compared")
 
 
 def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -163,42 +161,46 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
     row without id takes no part: its component is null. Rows that repeat an id are judged by
     their own text. Further columns are ignored.
 
-    Large groups of near copies are not compared pair by pair. First, every document in a
-    shingle's list is compared with the smallest one of the list; then documents of one
-    list are compared only where they are not yet connected. No link between components
-    is left out, so the components are those of all links.
+    Large groups of near copies are not compared pair by pair. First, every document is compared with
+    one of its lists' documents, that with the fewest shingles of its own; then documents of one list are
+    compared only where they are not yet connected. No link between components is left out, so
+    the components are those of all links.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     levels = spark.sparkContext.broadcast(shingle_levels(texts, size).tobytes())
-    schema = "doc_id long, n long, class binary, " + ", ".join(f"p{k} array<long>" for k in range(ORDERS))
-    described = written(texts.mapInArrow(_prefixes(size, percent, levels), schema), "prefixes")
+    described = written(texts.mapInArrow(_prefixes(size, percent, levels), "doc_id long, n long, alone long, class binary, prefix array<long>"), "prefixes")
     classes = described.where("n > 0 AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("rep"))
     members = written(described.select("doc_id", "n", "class").join(classes, "class", "left"), "classes")
-    classes = described.join(members.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").where("n > 0")
-    classes = classes.dropDuplicates(["doc_id", "class"]).withColumnRenamed("doc_id", "rep")
-
-    postings = classes.select("rep", "n", F.explode("p0").alias("token"))
-    lists = postings.groupBy("token").agg(F.min("rep").alias("a"), F.min(F.struct("rep", "n"))["n"].alias("n_a"), F.count("*").alias("k")).where("k > 1").drop("k")
-    postings = written(postings.join(lists, "token"), "postings")
-    near = lambda m, n: 100 * F.least(m, n) >= percent * F.greatest(m, n)
-    stars = postings.where((F.col("rep") != F.col("a")) & near(F.col("n"), F.col("n_a"))).select("a", F.col("rep").alias("b")).distinct()
-    first = _verified(stars, classes, texts, size, percent)
+    reps = written(members.where("doc_id = rep").select("doc_id").distinct(), "reps")
+
+    # shingles no other document has are shared with none, which bounds what a pair can share
+    postings = described.where("n > 0").select("doc_id", "n", (F.col("n") - F.col("alone")).alias("m"), F.explode("prefix").alias("token"))
+    postings = postings.join(reps, "doc_id", "left_semi").withColumnRenamed("doc_id", "rep")
+    lists = postings.groupBy("token").agg(F.min(F.struct(F.expr("n - m").alias("alone"), F.col("rep").alias("a"), "n", "m")).alias("lead"), F.count("*").alias("k")).where("k > 1")
+    postings = written(postings.join(lists.select("token", "lead"), "token"), "postings")
+
+    def near(n_a, m_a, n_b, m_b):
+        most = F.least(F.col(m_a), F.col(m_b))
+        return 100 * most >= percent * (F.col(n_a) + F.col(n_b) - most)
+
+    stars = postings.where((F.col("rep") != F.col("lead.a")) & near("n", "m", "lead.n", "lead.m")).groupBy("rep").agg(F.min("lead").alias("lead"))
+    first = _verified(stars.select(F.col("lead.a").alias("a"), F.col("rep").alias("b")), texts, size, percent, levels)
     links = first.where("linked").select("a", "b")
     known = components(links, "a", "b")
 
-    placed = postings.select("token", "rep", "n").join(known.withColumnRenamed("node", "rep"), "rep", "left")
+    placed = postings.select("token", "rep", "n", "m").join(known.withColumnRenamed("node", "rep"), "rep", "left")
     placed = placed.withColumn("component", F.coalesce("component", "rep"))
     groups = placed.groupBy("token", "component").agg(F.count("*").alias("k")).groupBy("token").agg(
         F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("groups"))
     placed = written(placed.join(groups.where("groups > 1").select("token", "main"), "token"), "placed")
-    rest = placed.where("component != main").select("token", F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("component").alias("c_x"))
+    rest = placed.where("component != main").select("token", F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("m").alias("m_x"), F.col("component").alias("c_x"))
     across = rest.join(placed, "token").where(
-        (F.col("component") != F.col("c_x")) & near(F.col("n"), F.col("n_x"))
+        (F.col("component") != F.col("c_x")) & near("n", "m", "n_x", "m_x")
         & ((F.col("component") == F.col("main")) | (F.col("rep") > F.col("x"))))
     across = across.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
-    across = across.join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = _verified(across, classes, texts, size, percent)
+    across = across.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    second = _verified(across, texts, size, percent, levels)
     known = components(links.union(second.where("linked").select("a", "b")), "a", "b")
 
     placed = members.join(known.withColumnRenamed("node", "rep"), "rep", "left")

@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tendero.llm.decontaminate import benchmark_overlaps
+from tendero.llm.embedding import near_vectors
+from tendero.llm.masked_lm import pseudo_likelihood
 from tendero.llm.ngram_join import ngram_components
+from tendero.llm.packing import pack, word_lengths
 from tendero.llm.substring import cut_repeats
 from tendero.llm.token_files import read_tokens, write_tokens
 from tendero.llm.toxicity import fit, scored
@@ -53,6 +56,18 @@ def token_files(spark: SparkSession, folder: str) -> DataFrame:
     return read_tokens(write_tokens(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(_table(spark, folder, "embeddings"), threshold=0.95)
+
+
+def packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(word_lengths(_table(spark, folder, "documents"))).drop("row")
+
+
+def lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return pseudo_likelihood(_table(spark, folder, "documents"))
+
+
 def decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return benchmark_overlaps(_table(spark, folder, "documents"), _table(spark, folder, "benchmark")).drop("row")
 
@@ -61,10 +76,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": ngram_join,
     "op2_warc_capture_index": warc,
     "op3_substring_dedup": substring_dedup,
+    "op4_embedding_near_dedup": embedding_dedup,
     "op5_url_filter": url_filter,
     "op6_toxicity": toxicity,
     "op7_token_files": token_files,
+    "op8_best_fit_packing": packing,
     "op9_benchmark_decontamination": decontamination,
+    "op10_lm_scoring": lm_scoring,
 }
 
 ORACLE: dict[str, str] = {}
