@@ -58,17 +58,12 @@ def _overlaps(w: Column, v: Column, offset: Column) -> Column:
     return F.when(high - low + 1 >= OVERLAP, found).otherwise(F.lit(False))
 
 
-def benchmark_overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``doc_id, contaminated, n_items, first_item, row`` for each row of ``docs``.
+def _same() -> Column:
+    return F.expr("doc_id <=> d AND row = r")
 
-    A document (``doc_id``, ``text``) is contaminated by an item (``item_id``, ``text``) if
-    ``OVERLAP`` consecutive words of one stand against as many of the other with at most
-    ``SUBSTITUTED`` of them different, A-Z folded. ``n_items`` counts such items by their text,
-    ``first_item`` is the smallest id among them (null if they have none). Null, empty and shorter
-    texts on either side overlap with nothing. Every row is judged by its own text, whatever its
-    id; ``row`` is a hash of id and text. Other columns are ignored.
-    """
-    docs = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+
+def _found(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``d, r, n_items, first_item`` for the contaminated rows: id and hash of id and text."""
     items = written(items.select("item_id", words(F.col("text")).alias("v")).where(F.size("v") >= OVERLAP)
                     .groupBy("v").agg(F.min("item_id").alias("item_id")).withColumn("item", F.xxhash64("v")), "items")
     tests = _seeds(items, F.col("v"), "item").withColumnRenamed("at", "at_item").distinct()
@@ -76,14 +71,36 @@ def benchmark_overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     if tests.count() * 40 <= BROADCAST_BYTES:
         tests = F.broadcast(tests)
     train = _seeds(docs, words(F.col("text")), "doc_id", "row")
-    hits = train.join(tests, "seed").select("doc_id", "row", "item", (F.col("at") - F.col("at_item")).alias("offset")).distinct()
+    hits = train.join(tests, "seed").select(F.col("doc_id").alias("d"), F.col("row").alias("r"), "item", (F.col("at") - F.col("at_item")).alias("offset")).distinct()
     hits = written(hits, "hits")
-
-    near = docs.join(hits.select(F.col("doc_id").alias("d"), F.col("row").alias("r")).distinct(), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")), "left_semi")
-    near = near.dropDuplicates(["doc_id", "row", "text"]).select(F.col("doc_id").alias("d"), F.col("row").alias("r"), words(F.col("text")).alias("w"))
-    checked = hits.join(items, "item").join(near, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")))
-    checked = checked.where(_overlaps(F.col("w"), F.col("v"), F.col("offset")))
+    near = docs.join(hits.select("d", "r").distinct(), _same(), "left_semi")
+    near = near.dropDuplicates(["doc_id", "row", "text"]).select("doc_id", "row", words(F.col("text")).alias("w"))
+    checked = hits.join(items, "item").join(near, _same()).where(_overlaps(F.col("w"), F.col("v"), F.col("offset")))
     found = checked.groupBy("d", "r").agg(F.count_distinct("item").alias("n_items"), F.min("item_id").alias("first_item"))
-    found = written(found, "found")
-    rows = docs.select("doc_id", "row").join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")), "left")
-    return rows.select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), "first_item", "row")
+    return written(found, "found")
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.xxhash64("doc_id", F.col("text").cast("string")).alias("row"), F.col("text").cast("string").alias("text"))
+
+
+def benchmark_overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``doc_id, contaminated, n_items, first_item`` for each row of ``docs``.
+
+    A document (``doc_id``, ``text``) is contaminated by an item (``item_id``, ``text``) if
+    ``OVERLAP`` consecutive words of one stand against as many of the other with at most
+    ``SUBSTITUTED`` of them different, A-Z folded. ``n_items`` counts such items by their words,
+    ``first_item`` is the smallest id among them (null if they have none). Null, empty and shorter
+    texts on either side overlap with nothing. Every row is judged by its own text, whatever its
+    id. Other columns are ignored.
+    """
+    rows = _rows(docs)
+    judged = rows.select("doc_id", "row").join(_found(rows, items), _same(), "left")
+    return judged.select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), "first_item")
+
+
+def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that :func:`benchmark_overlaps` does not find contaminated, all columns as they were."""
+    found = _found(_rows(docs), items)
+    same = docs["doc_id"].eqNullSafe(found["d"]) & (F.xxhash64(docs["doc_id"], docs["text"].cast("string")) == found["r"])
+    return docs.join(found, same, "left_anti")

@@ -29,8 +29,8 @@ def ngram_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    cut = cut_repeats(_table(spark, folder, "documents"), window=35)
-    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    cut = cut_repeats(_table(spark, folder, "documents").select("doc_id", "text"), window=35)
+    return cut.select("rest.doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 def warc(spark: SparkSession, folder: str) -> DataFrame:
@@ -69,7 +69,7 @@ def lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, folder: str) -> DataFrame:
-    return benchmark_overlaps(_table(spark, folder, "documents"), _table(spark, folder, "benchmark")).drop("row")
+    return benchmark_overlaps(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -18,6 +18,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tendero.llm.words import window_hashes
 
@@ -99,10 +101,10 @@ def _window_rows(window: int) -> Callable:
     return make
 
 
-def _cut(window: int) -> Callable:
+def _cut(window: int, schema: pa.Schema) -> Callable:
     def cut(table: pa.Table, repeated: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept": pa.array([], pa.string()), "row": pa.array([], pa.int64())})
+            return schema.empty_table()
         block = _Block(table.column("text").to_pylist(), window)
         found = block.windows()
         hits = np.flatnonzero(_among(found, _given(repeated)) & (block.left[:len(found)] >= window))
@@ -110,13 +112,13 @@ def _cut(window: int) -> Callable:
         edges[hits] += 1
         np.subtract.at(edges, hits + window, 1)
         drop = np.cumsum(edges)[:-1] > 0
-        removed = np.add.reduceat(np.append(drop, False), block.starts) * (block.lengths > 0) if len(block.starts) else []
+        removed = np.add.reduceat(np.append(drop, False), block.starts) * (block.lengths > 0)
         kept = []
         for words, start, gone in zip(block.words, block.starts, removed, strict=True):
             if gone:
                 words = [w for w, x in zip(words, drop[start:start + len(words)], strict=True) if not x]
             kept.append(b" ".join(words).decode())
-        return pa.table({"doc_id": table.column("doc_id"), "n_words": pa.array(block.lengths), "n_removed": pa.array(np.asarray(removed, np.int64)), "kept": pa.array(kept, pa.string()), "row": table.column("row")})
+        return pa.table([table.column("rest"), table.column("text"), pa.array(block.lengths), pa.array(np.asarray(removed, np.int64)), pa.array(kept, pa.string())], names=schema.names)
 
     return cut
 
@@ -129,22 +131,41 @@ def _repeated(hashes: DataFrame) -> DataFrame:
 
 
 def cut_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
-    """``doc_id, n_words, n_removed, kept, row`` for each row of ``docs`` (``doc_id``, ``text``).
+    """``rest, text, n_words, n_removed, kept`` for each row of ``docs`` (``doc_id``, ``text``).
 
     Every word is removed that a window of ``window`` words covers whose sequence also starts
     somewhere else, in another row or in the same one, overlapping places included. Windows are
     judged on the given texts, not on what is left. ``kept`` is the remaining words joined by one
-    space; ``row`` tells rows of one id apart. Null, empty and short texts lose nothing (a null
-    text has no words); a repeated row is a second place like any other, whatever its id; a null
-    id is carried through. Further columns are ignored.
+    space; ``rest`` holds all other columns of whatever name. Null, empty and short texts lose nothing
+    (a null text has no words); a repeated row is a second place like any other, whatever its id.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("rest")
+    texts = docs.select(rest, F.col("text").cast("string").alias("text"))
     volume = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = volume // BLOCK_BYTES + 1
-    dealt = texts.withColumn("row", F.xxhash64("doc_id", "text")).withColumn("block", F.pmod("row", F.lit(blocks)).cast("int"))
-    dealt = dealt.repartition("block")
+    dealt = texts.withColumn("block", F.pmod(F.xxhash64("rest.doc_id", "text"), F.lit(blocks)).cast("int")).repartition("block")
     schema = "h long, block int, twice boolean"
     anchors = _repeated(dealt.groupBy("block").applyInArrow(_anchor_rows(window), schema))
     windows = _repeated(dealt.groupBy("block").cogroup(anchors.groupBy("block")).applyInArrow(_window_rows(window), schema))
-    return dealt.groupBy("block").cogroup(windows.groupBy("block")).applyInArrow(
-        _cut(window), "doc_id long, n_words long, n_removed long, kept string, row long")
+    more = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
+    made = T.StructType([dealt.schema["rest"], dealt.schema["text"], *more])
+    return dealt.groupBy("block").cogroup(windows.groupBy("block")).applyInArrow(_cut(window, to_arrow_schema(made)), made)
+
+
+def without_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
+    """``docs`` with the repeats cut from ``text``, and ``n_chars``, if there, counted again.
+
+    A text that loses nothing stays as it was to the letter; a row that loses all its words is dropped.
+    """
+    cut = cut_repeats(docs, window).where("n_removed = 0 OR n_removed < n_words")
+    lost = F.col("n_removed") > 0
+    columns = []
+    for name in docs.columns:
+        if name == "text":
+            column = F.when(lost, F.col("kept")).otherwise(F.col("text"))
+        elif name == "n_chars":
+            column = F.when(lost, F.length("kept")).otherwise(F.col("rest.n_chars"))
+        else:
+            column = F.col(f"rest.`{name}`")
+        columns.append(column.cast(docs.schema[name].dataType).alias(name))
+    return cut.select(*columns)

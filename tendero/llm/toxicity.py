@@ -274,3 +274,16 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
     else:
         rows = docs.mapInArrow(_score(model), "doc_id long, row long, held_out boolean, score double")
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def clean(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of ``docs`` predicted not toxic, all columns as they were."""
+    if model is None:
+        return docs
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts = batch.column("text").cast(pa.string()).to_pylist()
+            yield batch.filter(pa.array([model.score(text) < 0.5 for text in texts], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
