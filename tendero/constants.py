@@ -46,6 +46,9 @@ MONTH_ABBR = ("ene", "feb", "mar", "abr", "may", "jun",
 FORBIDDEN_SQL_WORDS = ("drop", "delete", "truncate", "update", "insert",
                        "alter", "create", "grant", "revoke", "exec")
 
+# words that reach past the tables of a statement
+FORBIDDEN_CALLS = ("reflect", "try_reflect", "java_method")
+
 # ---- fixed values: how pack sizes are spelled in item descriptions ----------
 SIZE_SPELLINGS = {
     "1 kg": ("1 kg", "x1kg", "x 1kg", "1kg", " 1 kg", "x1 kg"),

@@ -66,9 +66,18 @@ def in_branches_exact(column: str | Column, branches: Sequence[str]) -> Column:
 
 # ---- dates -----------------------------------------------------------------
 
+NEWEST = "newest"
+
+
+def with_newest(tickets: DataFrame, day: dt.date) -> DataFrame:
+    """Note the newest sale date on the column, so that reports need not look for it."""
+    return tickets.withMetadata("sale_date", {NEWEST: str(day)})
+
+
 def last_date(tickets: DataFrame) -> Column:
-    """Date of the newest sale line, as a one-row scalar subquery."""
-    return tickets.agg(F.max("sale_date")).scalar()
+    """Date of the newest sale line: the one noted on the column, else a scalar subquery over all lines."""
+    noted = tickets.schema["sale_date"].metadata.get(NEWEST)
+    return as_date(noted) if noted else tickets.agg(F.max("sale_date")).scalar()
 
 
 def resolve_as_of(tickets: DataFrame, as_of: DateLike | None) -> Column:
@@ -144,6 +153,35 @@ def by_min_weight(column: str | Column, grams: int) -> Column:
     return _by_labels(column, K.LARGE_WEIGHT_LABELS, lambda size: size >= grams, f"{grams}g")
 
 
+# fixed values: spellings of pack units and what they hold in cc or grams
+VOLUME = {"cc": 1, "ml": 1, "lts": 1000, "lt": 1000, "l": 1000, "litros": 1000, "litro": 1000}
+WEIGHT = {"grs": 1, "gr": 1, "g": 1, "kgs": 1000, "kg": 1000}
+
+
+def pack_amount(column: str | Column, units: dict[str, int]) -> Column:
+    """Pack size read from a description, in the base unit; null where none is named.
+
+    The first number followed by one of the units counts, with point or comma: ``x750cc``, ``1,5 l``.
+    """
+    text = F.lower(as_col(column))
+    pattern = rf"(\d+(?:[.,]\d+)?)\s*({'|'.join(units)})(?![a-z])"
+    number, unit = F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2)
+    factor = F.coalesce(*[F.when(unit == name, F.lit(float(size))) for name, size in units.items()])
+    return F.when(number != "", F.replace(number, F.lit(","), F.lit(".")).try_cast("double") * factor)
+
+
+def volume_at_least(column: str | Column, cc: float) -> Column:
+    return F.coalesce(pack_amount(column, VOLUME) >= cc, F.lit(False))
+
+
+def volume_below(column: str | Column, cc: float) -> Column:
+    return F.coalesce(pack_amount(column, VOLUME) < cc, F.lit(False))
+
+
+def weight_at_least(column: str | Column, grams: float) -> Column:
+    return F.coalesce(pack_amount(column, WEIGHT) >= grams, F.lit(False))
+
+
 # ---- stock and price -------------------------------------------------------
 
 def needs_restock() -> Column:

@@ -25,8 +25,8 @@ PRICE_WORDS = (
 )
 PRICE_WHOLE_WORDS = ("oc",)
 RANKING_WORDS = (
-    "más vendido", "más vendida", "mejor vendido", "mayor venta", "mayor cantidad",
-    "más unidades", "top", "ranking",
+    "más vendido", "mayor venta", "top", "ranking", "más vendida", "mejor vendido",
+    "mayor cantidad", "más unidades",
 )
 STOCK_WORDS = (
     "stock", "quiebre", "cobertura", "faltante", "disponibilidad", "clasificar", "clasificación",
@@ -50,18 +50,22 @@ VOLUME_UNITS = {"cc": 1, "ml": 1, "l": 1000, "litro": 1000, "litros": 1000}
 WEIGHT_UNITS = {"g": 1, "gr": 1, "kg": 1000, "kilo": 1000, "kilos": 1000, "gramos": 1}
 
 # ---- fixed values: phrases of each report ------------------------------------
-BELOW_COST = (
+BELOW_COST_FIRST = (
     "bajo costo", "bajo el costo", "debajo del costo", "vendiendo a pérdida",
-    "vendemos por debajo", "precio menor al costo",
+    "vendemos por debajo", "precio menor al costo", "margen negativo", "vendiendo bajo",
 )
-BELOW_COST_FIRST = BELOW_COST + ("margen negativo", "vendiendo bajo")
-BELOW_COST_WIDE = BELOW_COST + ("costo de reposición", "menor al costo", "vendemos bajo")
-LOST_VALUE = ("perdiendo plata", "perdiendo dinero", "perdemos plata", "valor perdido",
-              "pérdida por quiebre")
-LOST_VALUE_FIRST = LOST_VALUE + ("cuánto perdimos",)
-LOST_VALUE_WIDE = LOST_VALUE + (
-    "cuánto perdí", "cuánto se perdió", "dinero perdido", "ventas perdidas",
-    "cuánto dinero perdí", "perdemos dinero", "cuánto perdemos",
+BELOW_COST_WIDE = (
+    "bajo costo", "bajo el costo", "debajo del costo", "vendiendo a pérdida",
+    "costo de reposición", "menor al costo", "vendemos bajo", "vendemos por debajo",
+)
+LOST_VALUE_FIRST = (
+    "perdiendo plata", "perdiendo dinero", "perdemos plata", "cuánto perdimos", "valor perdido",
+    "pérdida por quiebre",
+)
+LOST_VALUE_WIDE = (
+    "cuánto perdí", "cuánto se perdió", "valor perdido", "pérdida por quiebre", "dinero perdido",
+    "ventas perdidas", "cuánto dinero perdí", "perdiendo plata", "perdiendo dinero",
+    "perdemos plata", "perdemos dinero", "cuánto perdemos",
 )
 BY_BRANCH = ("qué sucursal", "por sucursal", "cada sucursal", "sucursal vendió", "cuánto vendió cada")
 FROM_SUPPLIER = (
@@ -73,15 +77,18 @@ HOW_MUCH_TO_ORDER = (
     "a quién compro", "a qué proveedor", "quién me vende", "dónde compro",
     "cuánto tengo que comprar", "proveedor.*pedir", "pedir.*proveedor",
 )
-OFFER = ("oferta", "descuento", "liquidar", "liquidación")
-OFFER_WIDE = OFFER + ("promoci", "precio especial", "qué podemos ofrecer", "qué conviene ofrecer")
+OFFER = ("oferta", "liquidar", "liquidación", "descuento")
+OFFER_WIDE = (
+    "oferta", "descuento", "liquidar", "liquidación", "promoci", "precio especial",
+    "qué podemos ofrecer", "qué conviene ofrecer",
+)
 TREND = ("tendencia", "subiendo", "bajando", "en alza", "en baja", "creciendo", "cayendo",
          "últimos 6 días", "últimos seis días")
-EVENT_IMPACT = ("sabin.*quitó", "sabin.*hiper", "sabin.*mercado nuevo", "impacto.*sabin",
-                "apertura.*sabin.*hiper", "canibaliz")
+EVENT_IMPACT = ("sabin.*quitó", "sabin.*hiper", "canibaliz", "sabin.*mercado nuevo",
+                "impacto.*sabin", "apertura.*sabin.*hiper")
 BUDGET = ("presupuesto de compra", "presupuesto total", "presupuesto.*proveedor",
-          "presupuesto.*30 días", "cuánto tengo que comprar")
-TRANSFER = ("exceso de stock", "exceso.*sucursal", "sobrestock", "trasladar", "traslado entre sucursales")
+          "cuánto tengo que comprar", "presupuesto.*30 días")
+TRANSFER = ("exceso de stock", "sobrestock", "trasladar", "traslado entre sucursales", "exceso.*sucursal")
 FAMILY_MARGIN = (
     "familia con mejor margen", "familia con más margen", "qué familia deja más",
     "mejor margen por familia", "familia más rentable", "cuál es la familia",
@@ -93,9 +100,9 @@ THIN_MARGIN = (
 CRITICAL = ("clasificar", "clasificación", "productos críticos", "críticos según",
             "necesitan stock", "bajo stock")
 COMPARE_PRICES = (
-    "comparar precio", "precio venta vs", "venta vs compra", "precio de venta vs", "precios de venta",
-    "precio venta y compra", "precio de compra vs", "precio de compra con", "precios de compra con",
-    "compra con precio", "compra con venta", "compra y venta",
+    "comparar precio", "precio venta vs", "venta vs compra", "precio de venta vs",
+    "precio venta y compra", "precio de compra vs", "compra con precio", "compra con venta",
+    "precios de compra con", "precios de venta", "precio de compra con", "compra y venta",
 )
 AT_RISK = (
     "riesgo de quiebre", "riesgo quiebre", "quiebre de stock", "pueden quedar sin stock",

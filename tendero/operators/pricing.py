@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tendero import constants as K
 from tendero.functions import measures as M, predicates as P
-from tendero.plans.filters import SalesFilter, keep, nothing
+from tendero.plans.filters import SalesFilter, first, keep, nothing
 
 # Several lines of an item can fall on its last day. These columns, as far as the table
 # has them, decide which of them counts as the latest.
@@ -51,7 +51,7 @@ def _catalog_prices(catalog: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def purchase_prices(
-    catalog: DataFrame, prices: DataFrame, flt: SalesFilter, n: int = 10,
+    catalog: DataFrame, prices: DataFrame, flt: SalesFilter, n: int | None = 10,
 ) -> DataFrame:
     """Dearest purchase prices of the items asked for; needs at least one restriction."""
     if flt.subfamily or not flt.brands:
@@ -62,7 +62,7 @@ def purchase_prices(
     chosen = keep(catalog, item, size) if item is not None or size is not None else nothing(catalog)
     return (
         _catalog_prices(chosen, prices)
-        .orderBy(F.desc("_cost"), "item_key").limit(n).drop("_cost", "item_key")
+        .orderBy(F.desc("_cost"), "item_key").transform(first, n).drop("_cost", "item_key")
     )
 
 
@@ -80,7 +80,7 @@ def purchase_prices_by_size(
 
 
 def top_sellers_with_cost(
-    tickets: DataFrame, prices: DataFrame, flt: SalesFilter = SalesFilter(), n: int = 10,
+    tickets: DataFrame, prices: DataFrame, flt: SalesFilter = SalesFilter(), n: int | None = 10,
     since: dt.date | str = K.DEFAULT_SINCE,
 ) -> DataFrame:
     """Best sellers by units with their latest purchase price.
@@ -101,7 +101,7 @@ def top_sellers_with_cost(
             M.total("price_total", 2).alias("sales"),
             M.mean_margin().alias("margin_pct"),
         )
-        .orderBy(F.desc("units"), "item_key", "description").limit(n)
+        .orderBy(F.desc("units"), "item_key", "description").transform(first, n)
     )
     return (
         best.join(prices, "item_key", "left")
@@ -134,7 +134,7 @@ def sale_vs_purchase(
         )
         .orderBy(F.asc_nulls_last("real_margin_pct"), "description")
     )
-    return report if n is None else report.limit(n)
+    return first(report, n)
 
 
 def last_sale_price(tickets: DataFrame, flt: SalesFilter = SalesFilter()) -> DataFrame:
@@ -147,24 +147,28 @@ def last_sale_price(tickets: DataFrame, flt: SalesFilter = SalesFilter()) -> Dat
 
 
 def high_sales_low_margin(
-    tickets: DataFrame, prices: DataFrame, flt: SalesFilter = SalesFilter(), n: int = 15,
+    tickets: DataFrame, prices: DataFrame, flt: SalesFilter = SalesFilter(), n: int | None = 15,
     max_margin: float | None = None,
 ) -> DataFrame:
     """Items that bring most sales, with their real margin; optionally only thin margins.
 
-    Totals cover every line; the latest price only the lines asked for. Both are reduced to
-    one row per item before they meet, so no join carries single lines.
+    Totals cover every line; the latest price only the lines asked for. One pass over the lines gives
+    both per item and description; the latest line of an item is then chosen among those few rows.
     """
     wanted = flt.first_of("subfamily", "brands", exact_subfamily=True)
+    asked = P.positive("price_unit") if wanted is None else P.positive("price_unit") & wanted
+    ties = [F.col(c) for c in TIE_BREAKERS if c in tickets.columns]
+    # the smallest struct is the latest line: days count down, ties go up with nulls last
+    line = F.struct((-F.unix_date("sale_date")).alias("day"), *[x for t in ties for x in (t.isNull(), t)], F.col("price_unit").alias("price"))
     totals = tickets.groupBy("item_key", "description").agg(
         M.total("price_total", 2).alias("sales_total"),
         M.total("quantity", 0).alias("units"),
+        F.min(F.when(asked, line)).alias("line"),
     )
-    latest = latest_lines(keep(tickets, P.positive("price_unit"), wanted), "item_key")
-    price = M.fixed(F.col("price_unit"), 2)
+    latest = F.min("line").over(Window.partitionBy("item_key"))["price"]
+    totals = totals.withColumn("last_sale_price", M.fixed(latest, 2)).where("last_sale_price IS NOT NULL").drop("line")
     report = (
-        totals.join(latest.select("item_key", price.alias("last_sale_price")), "item_key")
-        .join(keep(prices, P.positive("last_cost")).select("item_key", "last_cost"), "item_key")
+        totals.join(keep(prices, P.positive("last_cost")).select("item_key", "last_cost"), "item_key")
         .select(
             "item_key", "description", "sales_total", "units", "last_sale_price",
             M.fixed(F.col("last_cost"), 2).alias("last_cost"),
@@ -173,14 +177,14 @@ def high_sales_low_margin(
     )
     if max_margin is not None:
         report = report.where(F.col("real_margin_pct") <= max_margin)
-    return report.orderBy(F.desc("sales_total"), "item_key", "description").limit(n).drop("item_key")
+    return report.orderBy(F.desc("sales_total"), "item_key", "description").transform(first, n).drop("item_key")
 
 
-def below_cost(alerts: DataFrame, flt: SalesFilter = SalesFilter(), n: int = 15) -> DataFrame:
+def below_cost(alerts: DataFrame, flt: SalesFilter = SalesFilter(), n: int | None = 15) -> DataFrame:
     """Items sold below their current cost, most sold first."""
     rows = keep(alerts, P.is_below_cost(), flt.first_of("supplier", "subfamily", "family", "brands"))
     return (
-        rows.orderBy(F.desc("units_90d"), "item_key").limit(n)
+        rows.orderBy(F.desc("units_90d"), "item_key").transform(first, n)
         .select(
             "description", "family", "subfamily", F.trim("supplier").alias("supplier"),
             M.fixed(F.col("price_now"), 2).alias("price_now"),

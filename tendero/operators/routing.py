@@ -8,14 +8,8 @@ from tendero.functions import words as W
 from tendero.functions.text import any_phrase, fold
 
 
-def route_label(df: DataFrame, text_col: str) -> DataFrame:
-    """Add ``route``, the name of the report a tagged text asks for, or null.
-
-    The rules are tried in order and the first that holds decides, one conditional
-    expression per row. A rule also asks for the tags without which its report has no rows
-    to look for. Past the narrow rules a text must at least name a kind of item, a
-    brand, a volume or a supplier.
-    """
+def _rules() -> tuple[tuple, Column, tuple]:
+    """Rules in order as (test, report), those before and after the test for an item."""
     folded = F.col("_folded")
 
     def says(phrases: tuple[str, ...]) -> Column:
@@ -57,6 +51,18 @@ def route_label(df: DataFrame, text_col: str) -> DataFrame:
         (stock & (subfamily | brands), "stock_by_category"),
         (ranking | min_cc | size | category, "top_sellers"),
     )
+    return before_gate, gate, after_gate
+
+
+def route_label(df: DataFrame, text_col: str) -> DataFrame:
+    """Add ``route``, the name of the report a tagged text asks for, or null.
+
+    The rules are tried in order and the first that holds decides, one conditional
+    expression per row. A rule also asks for the tags without which its report has no rows
+    to look for. Past the narrow rules a text must at least name a kind of item, a
+    brand, a volume or a supplier.
+    """
+    before_gate, gate, after_gate = _rules()
     route = F
     for test, label in before_gate:
         route = route.when(test, label)
@@ -70,6 +76,18 @@ def route_label(df: DataFrame, text_col: str) -> DataFrame:
     )
 
 
+def all_routes(df: DataFrame, text_col: str) -> DataFrame:
+    """Add ``routes``, every report whose rule holds, in the order of the rules."""
+    before_gate, gate, after_gate = _rules()
+    named = [F.when(test, label) for test, label in before_gate]
+    named += [F.when(gate & test, label) for test, label in after_gate]
+    return (
+        df.withColumn("_folded", fold(F.trim(F.col(text_col))))
+        .withColumn("routes", F.array_distinct(F.array_compact(F.array(*named))))
+        .drop("_folded")
+    )
+
+
 def route_counts(df: DataFrame) -> DataFrame:
     """Texts per report."""
     return df.groupBy("route").agg(F.count(F.lit(1)).alias("texts")).orderBy(F.desc("texts"), "route")

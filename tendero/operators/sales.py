@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tendero import constants as K
 from tendero.functions import measures as M, predicates as P
-from tendero.plans.filters import SalesFilter, keep
+from tendero.plans.filters import SalesFilter, first, keep
 
 ITEM_FIELDS = ("subfamily", "family", "brands")
 
@@ -19,7 +19,7 @@ def _branches(flt: SalesFilter, default: Sequence[str]) -> Column:
 
 
 def top_sellers(
-    tickets: DataFrame, flt: SalesFilter = SalesFilter(), n: int = 10,
+    tickets: DataFrame, flt: SalesFilter = SalesFilter(), n: int | None = 10,
     branches: Sequence[str] = K.SALE_BRANCHES,
 ) -> DataFrame:
     """Best-selling items per branch by sales amount."""
@@ -33,12 +33,12 @@ def top_sellers(
             M.total("quantity", 0).alias("units"),
             M.mean_margin().alias("margin_pct"),
         )
-        .orderBy(F.desc("sales"), "description", "branch").limit(n)
+        .orderBy(F.desc("sales"), "description", "branch").transform(first, n)
     )
 
 
 def sized_top_sellers(
-    tickets: DataFrame, flt: SalesFilter, min_cc: int, n: int = 20,
+    tickets: DataFrame, flt: SalesFilter, min_cc: int, n: int | None = 20,
     branches: Sequence[str] = K.SALE_BRANCHES,
 ) -> DataFrame:
     """Best sellers of one kind of item from a pack volume upwards."""
@@ -47,7 +47,7 @@ def sized_top_sellers(
     return (
         rows.groupBy("description", "branch")
         .agg(M.total("price_total", 2).alias("sales"), M.total("quantity", 0).alias("units"))
-        .orderBy(F.desc("sales"), "description", "branch").limit(n)
+        .orderBy(F.desc("sales"), "description", "branch").transform(first, n)
     )
 
 
@@ -72,7 +72,7 @@ def family_margin_leaders(
     period: tuple[P.DateLike, P.DateLike] | None = None,
     min_family: float = K.MIN_FAMILY_SALES,
     min_item: float = K.MIN_ITEM_SALES,
-    n: int = 8,
+    n: int | None = 8,
     branches: Sequence[str] = K.SALE_BRANCHES,
     days: int = 30,
 ) -> DataFrame:
@@ -112,7 +112,7 @@ def family_margin_leaders(
             M.total("quantity", 0).alias("units"),
         )
         .where(F.col("sales") > min_item)
-        .orderBy(F.desc("sales"), "description", "subfamily").limit(n)
+        .orderBy(F.desc("sales"), "description", "subfamily").transform(first, n)
     )
     head = winner.select(F.lit("family").alias("row_type"), "family", "margin_pct", "sales_m",
                          "profit_m", "items")
@@ -247,7 +247,7 @@ def monthly_profit_pivot(
 
 def last_data_date(tickets: DataFrame) -> DataFrame:
     """Newest sale date."""
-    return tickets.agg(F.max("sale_date").alias("last_date"))
+    return tickets.sparkSession.range(1).select(P.last_date(tickets).alias("last_date"))
 
 
 def category_branch_month(tickets: DataFrame, subfamily: str, year: int, month: int) -> DataFrame:
@@ -289,7 +289,7 @@ RANK_BY = ("units", "sales", "profit", "margin_pct")
 
 
 def items_ranked(
-    tickets: DataFrame, by: str = "units", n: int = 10, flt: SalesFilter = SalesFilter(),
+    tickets: DataFrame, by: str = "units", n: int | None = 10, flt: SalesFilter = SalesFilter(),
 ) -> DataFrame:
     """Items ranked by units, sales, profit or margin.
 
@@ -311,5 +311,5 @@ def items_ranked(
             M.total(M.profit(), 2).alias("profit"),
             M.margin_of_sums().alias("margin_pct"),
         )
-        .orderBy(F.desc_nulls_last(by), "description").limit(n)
+        .orderBy(F.desc_nulls_last(by), "description").transform(first, n)
     )

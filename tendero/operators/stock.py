@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tendero import constants as K
 from tendero.functions import labels as L, measures as M, predicates as P
-from tendero.plans.filters import SalesFilter, keep, nothing
+from tendero.plans.filters import SalesFilter, first, keep, nothing
 
 ITEM_FIELDS = ("subfamily", "family", "brands")
 
@@ -32,27 +32,27 @@ def _stock_of(df: DataFrame, branches: Sequence[str]) -> list[str]:
 
 
 def stock_by_category(
-    catalog: DataFrame, flt: SalesFilter, n: int = 10,
+    catalog: DataFrame, flt: SalesFilter, n: int | None = 10,
     branches: Sequence[str] = K.DASHBOARD_BRANCHES,
 ) -> DataFrame:
     """Stock per branch of the items asked for; needs a subfamily or brands."""
     item = flt.first_of("subfamily", "brands")
     rows = nothing(catalog) if item is None else keep(catalog, item)
     return (
-        rows.orderBy(F.desc_nulls_last("stk_total"), "item_key").limit(n)
+        rows.orderBy(F.desc_nulls_last("stk_total"), "item_key").transform(first, n)
         .select(F.trim("description").alias("description"), "subfamily", _supplier(),
                 *_stock_of(catalog, branches), "stk_total")
     )
 
 
 def bestsellers_at_risk(
-    alerts: DataFrame, flt: SalesFilter = SalesFilter(), urgent: bool = False, n: int = 20,
+    alerts: DataFrame, flt: SalesFilter = SalesFilter(), urgent: bool = False, n: int | None = 20,
 ) -> DataFrame:
     """Most sold items about to run out: within a week if urgent, else within thirty days."""
     rows = keep(alerts, P.needs_restock(), P.positive("units_90d"),
                 flt.first_of(*ITEM_FIELDS), P.cover_between(None, 7 if urgent else 30))
     return (
-        rows.orderBy(F.desc("units_90d"), "item_key").limit(n)
+        rows.orderBy(F.desc("units_90d"), "item_key").transform(first, n)
         .select(
             "description", "family", "subfamily", _supplier(), "units_90d", "stk_total",
             "days_cover", "risk_level", "abc_class", F.col("budget").alias("budget_30d"),
@@ -63,12 +63,12 @@ def bestsellers_at_risk(
 
 def critical_with_sales(
     alerts: DataFrame, tickets: DataFrame, flt: SalesFilter = SalesFilter(),
-    as_of: P.DateLike | None = None, n: int = 20,
+    as_of: P.DateLike | None = None, n: int | None = 20,
     branches: Sequence[str] = K.SALE_BRANCHES[:3],
 ) -> DataFrame:
     """Items with two weeks of cover or less, with their sales of the month so far."""
-    first = P.month_start(P.resolve_as_of(tickets, as_of))
-    month = keep(tickets, P.in_period(tickets, first)).groupBy("item_key").agg(
+    start = P.month_start(P.resolve_as_of(tickets, as_of))
+    month = keep(tickets, P.in_period(tickets, start)).groupBy("item_key").agg(
         M.total("price_total", 2).alias("month_sales"),
         M.total("quantity", 0).alias("month_units"),
     )
@@ -83,15 +83,15 @@ def critical_with_sales(
             F.coalesce("month_units", F.lit(0.0)).alias("month_units"),
             L.coverage_label("days_cover", "critical").alias("level"),
         )
-        .orderBy("days_cover", F.desc("month_sales"), "item_key").limit(n).drop("item_key")
+        .orderBy("days_cover", F.desc("month_sales"), "item_key").transform(first, n).drop("item_key")
     )
 
 
-def lost_sales_value(alerts: DataFrame, flt: SalesFilter = SalesFilter(), n: int = 15) -> DataFrame:
+def lost_sales_value(alerts: DataFrame, flt: SalesFilter = SalesFilter(), n: int | None = 15) -> DataFrame:
     """Items that lost most money while out of stock."""
     rows = keep(alerts, P.positive("lost_value"), flt.first_of("subfamily", "family"))
     return (
-        rows.orderBy(F.desc("lost_value"), "item_key").limit(n)
+        rows.orderBy(F.desc("lost_value"), "item_key").transform(first, n)
         .select("description", "family", "subfamily", _supplier(), "lost_value", "lost_units",
                 "days_cover", "stk_total", "risk_level")
     )
@@ -106,7 +106,7 @@ def lost_sales_summary(alerts: DataFrame) -> DataFrame:
     )
 
 
-def budget_by_supplier(alerts: DataFrame, flt: SalesFilter = SalesFilter(), n: int = 15) -> DataFrame:
+def budget_by_supplier(alerts: DataFrame, flt: SalesFilter = SalesFilter(), n: int | None = 15) -> DataFrame:
     """Purchase budget of the next thirty days per supplier; padded names count as one."""
     rows = keep(alerts, P.positive("budget"), flt.first_of("subfamily", "family"))
     return (
@@ -116,31 +116,31 @@ def budget_by_supplier(alerts: DataFrame, flt: SalesFilter = SalesFilter(), n: i
             M.total("budget", 2).alias("budget_total"),
             M.fixed(F.avg("days_cover"), 1).alias("mean_days_cover"),
         )
-        .orderBy(F.desc("budget_total"), "supplier").limit(n)
+        .orderBy(F.desc("budget_total"), "supplier").transform(first, n)
     )
 
 
 def excess_for_transfer(
-    alerts: DataFrame, flt: SalesFilter = SalesFilter(), n: int = 15,
+    alerts: DataFrame, flt: SalesFilter = SalesFilter(), n: int | None = 15,
     branches: Sequence[str] = K.SALE_BRANCHES,
 ) -> DataFrame:
     """Items with more stock than needed and where it lies."""
     rows = keep(alerts, P.positive("excess"), flt.first_of(*ITEM_FIELDS))
     return (
-        rows.orderBy(F.desc("excess"), "item_key").limit(n)
+        rows.orderBy(F.desc("excess"), "item_key").transform(first, n)
         .select("description", "family", "subfamily", "excess", *_stock_of(alerts, branches), "days_cover")
     )
 
 
 def offer_candidates(
-    alerts: DataFrame, flt: SalesFilter = SalesFilter(), n: int = 20,
+    alerts: DataFrame, flt: SalesFilter = SalesFilter(), n: int | None = 20,
     min_markup: float = K.OFFER_MARKUP,
 ) -> DataFrame:
     """Overstocked items that still sell and leave room for a discount."""
     rows = keep(alerts, P.positive("excess"), P.markup_above("price_now", "cost_unit", min_markup),
                 P.positive("units_90d"), flt.first_of(*ITEM_FIELDS))
     return (
-        rows.orderBy(F.desc("excess"), "item_key").limit(n)
+        rows.orderBy(F.desc("excess"), "item_key").transform(first, n)
         .select(
             "description", "family", "subfamily", _supplier(), "excess", "stk_total", "days_cover",
             M.fixed(F.col("price_now"), 2).alias("price_now"),
@@ -151,14 +151,11 @@ def offer_candidates(
     )
 
 
-def _with_purchase_price(rows: DataFrame, prices: DataFrame, short: bool) -> DataFrame:
+def _with_purchase_price(rows: DataFrame, prices: DataFrame) -> DataFrame:
     """Add the latest purchase price where there is one.
 
-    A short list (cut to n rows) first picks its prices where they lie: its keys are
-    broadcast, n of them at most, and the price table is never shuffled.
+    The join carries no hint: a list cut to few rows is broadcast by its measured size.
     """
-    if short:
-        prices = prices.join(F.broadcast(rows.select("item_key")), "item_key", "left_semi")
     price = prices.select(
         "item_key", M.fixed(F.col("last_cost"), 2).alias("last_cost"),
         F.trim("po_supplier").alias("po_supplier"),
@@ -168,14 +165,14 @@ def _with_purchase_price(rows: DataFrame, prices: DataFrame, short: bool) -> Dat
 
 
 def how_much_to_order(
-    alerts: DataFrame, prices: DataFrame, flt: SalesFilter, n: int = 15,
+    alerts: DataFrame, prices: DataFrame, flt: SalesFilter, n: int | None = 15,
 ) -> DataFrame:
     """Units to order, from whom and at what price; needs brands, a subfamily or a family."""
     item = flt.first_of("brands", "subfamily", "family")
     rows = nothing(alerts) if item is None else keep(alerts, P.positive("to_order"), item)
-    best = rows.orderBy(F.desc_nulls_last("budget"), "item_key").limit(n)
+    best = rows.orderBy(F.desc_nulls_last("budget"), "item_key").transform(first, n)
     return (
-        _with_purchase_price(best, prices, short=True)
+        _with_purchase_price(best, prices)
         .orderBy(F.desc_nulls_last("budget"), "item_key")
         .select("description", "family", "subfamily", _supplier(), "to_order", "budget", "days_cover",
                 "stk_total", "units_90d", "last_cost", "po_supplier", "last_po_date")
@@ -190,7 +187,7 @@ def restock_by_supplier(
     largest = [F.desc_nulls_last("budget"), F.col("item_key")]
     best = rows if n is None else rows.orderBy(*largest).limit(n)
     return (
-        _with_purchase_price(best, prices, short=n is not None)
+        _with_purchase_price(best, prices)
         .orderBy(*largest)
         .select("description", "family", "subfamily", _supplier(), "days_cover", "stk_total",
                 "units_90d", "to_order", "budget", "risk_level", "last_cost", "po_supplier",
@@ -218,37 +215,37 @@ def alert_kpis(alerts: DataFrame) -> DataFrame:
 
 # ---- detail lists behind the alert figures -----------------------------------
 
-def _detail(alerts: DataFrame, test: Column, extra: Sequence[str], n: int, order_by: str) -> DataFrame:
+def _detail(alerts: DataFrame, test: Column, extra: Sequence[str], n: int | None, order_by: str) -> DataFrame:
     return (
         keep(alerts, test)
-        .orderBy(F.desc_nulls_last(order_by), "item_key").limit(n)
+        .orderBy(F.desc_nulls_last(order_by), "item_key").transform(first, n)
         .select("description", "family", "subfamily", _supplier(), "days_cover", "pack_units", *extra,
                 *_branch_stock(alerts), "stk_total", *_with_prefix(alerts, "order_"), "to_order",
                 "budget")
     )
 
 
-def detail_no_stock(alerts: DataFrame, n: int = 50) -> DataFrame:
+def detail_no_stock(alerts: DataFrame, n: int | None = 50) -> DataFrame:
     return _detail(alerts, P.needs_restock() & P.cover_between(0, 0), ["units_90d"], n, "budget")
 
 
-def detail_critical(alerts: DataFrame, n: int = 50) -> DataFrame:
+def detail_critical(alerts: DataFrame, n: int | None = 50) -> DataFrame:
     return _detail(alerts, P.needs_restock() & P.cover_between(1, 3), ["units_90d"], n, "budget")
 
 
-def detail_urgent(alerts: DataFrame, n: int = 50) -> DataFrame:
+def detail_urgent(alerts: DataFrame, n: int | None = 50) -> DataFrame:
     return _detail(alerts, P.needs_restock() & P.cover_between(4, 7), ["units_90d"], n, "budget")
 
 
-def detail_excess(alerts: DataFrame, n: int = 50) -> DataFrame:
+def detail_excess(alerts: DataFrame, n: int | None = 50) -> DataFrame:
     return _detail(alerts, P.positive("excess"), ["excess"], n, "budget")
 
 
-def detail_lost_value(alerts: DataFrame, n: int = 50, order_by: str = "budget") -> DataFrame:
+def detail_lost_value(alerts: DataFrame, n: int | None = 50, order_by: str = "budget") -> DataFrame:
     return _detail(alerts, P.positive("lost_value"), ["lost_value", "lost_units"], n, order_by)
 
 
-def detail_budget(alerts: DataFrame, n: int = 50) -> DataFrame:
+def detail_budget(alerts: DataFrame, n: int | None = 50) -> DataFrame:
     return _detail(alerts, P.positive("budget"), [], n, "budget")
 
 
@@ -269,4 +266,4 @@ def seasonal_items(
                 "units_90d", "stk_total")
         .orderBy("month_rank", F.desc("units_90d"), "item_key")
     )
-    return report if n is None else report.limit(n)
+    return report if n is None else report.transform(first, n)

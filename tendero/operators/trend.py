@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tendero import constants as K
 from tendero.functions import labels as L, measures as M, predicates as P
-from tendero.plans.filters import keep
+from tendero.plans.filters import first, keep
 
 
 def weekly_trend(
@@ -62,7 +62,7 @@ def _with_alerts(trend: DataFrame, alerts: DataFrame, extra: list[str]) -> DataF
 
 def trend_detail(
     tickets: DataFrame, alerts: DataFrame, branch: str, trend: str = K.TREND_UP,
-    n: int = 100, days: int = 7, as_of: P.DateLike | None = None,
+    n: int | None = 100, days: int = 7, as_of: P.DateLike | None = None,
 ) -> DataFrame:
     """Items of one branch and class with stock and budget, most sold first."""
     chosen = weekly_trend(tickets, days, as_of, branch).where(F.col("trend") == trend)
@@ -72,13 +72,13 @@ def trend_detail(
                 M.fixed(F.col("units"), 0).alias("units"),
                 M.fixed(F.col("mean_daily"), 1).alias("mean_daily"),
                 M.fixed(F.col("slope"), 2).alias("slope"), "days_cover", "stk_total", "budget")
-        .orderBy(F.desc("units"), "item_key").limit(n).drop("item_key")
+        .orderBy(F.desc("units"), "item_key").transform(first, n).drop("item_key")
     )
 
 
 def trend_items(
     tickets: DataFrame, alerts: DataFrame, trend: str = K.TREND_UP, branch: str | None = None,
-    n: int = 30, days: int = 7, as_of: P.DateLike | None = None,
+    n: int | None = 30, days: int = 7, as_of: P.DateLike | None = None,
 ) -> DataFrame:
     """Items of one class over all branches (or one), most sold first."""
     chosen = weekly_trend(tickets, days, as_of, branch).where(F.col("trend") == trend)
@@ -87,13 +87,13 @@ def trend_items(
         .select("item_key", "description", "branch", "family", "subfamily", "supplier",
                 M.fixed(F.col("units"), 0).alias("units"), M.fixed(F.col("slope"), 2).alias("slope"),
                 "days_cover", "stk_total")
-        .orderBy(F.desc("units"), "item_key", "branch").limit(n).drop("item_key")
+        .orderBy(F.desc("units"), "item_key", "branch").transform(first, n).drop("item_key")
     )
 
 
 def trend_range(tickets: DataFrame, days: int = 7) -> DataFrame:
     """First and last day of the trend window, with short labels."""
-    span = tickets.agg(F.max("sale_date").alias("date_to"))
+    span = tickets.sparkSession.range(1).select(P.last_date(tickets).alias("date_to"))
     start = F.date_sub("date_to", days - 1)
     return span.select(
         start.alias("date_from"), "date_to",

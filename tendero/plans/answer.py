@@ -10,7 +10,7 @@ from tendero import constants as K
 from tendero.functions import predicates as P
 from tendero.functions.text import fold_word
 from tendero.operators import pricing, sales, stock, trend
-from tendero.operators.routing import route_label
+from tendero.operators.routing import all_routes
 from tendero.operators.tagging import Dictionary, tag_texts
 from tendero.plans.filters import SalesFilter
 from tendero.sources.mart import Mart
@@ -36,7 +36,7 @@ def _trend(m: Mart, f: SalesFilter, tags: Row, day: Column) -> DataFrame:
 
 
 def _leaders(m: Mart, f: SalesFilter, tags: Row, day: Column) -> DataFrame:
-    period = (f.date_from, f.date_to) if f.date_from else None
+    period = (f.date_from, f.date_to) if f.date_from or f.date_to else None
     return sales.family_margin_leaders(m.tickets, period)
 
 
@@ -71,11 +71,13 @@ def answer(
 ) -> tuple[str | None, DataFrame | None]:
     """Name and rows of the report a question asks for; (None, None) if it asks for none.
 
-    The question is tagged by the expressions used for whole tables, as a table of one row.
+    The question is tagged by the expressions used for whole tables, as a table of one row. Where
+    a report has no rows, the next rule that holds is tried; if all are empty, the first is returned.
     """
     day = P.resolve_as_of(mart.tickets, as_of)
     one = mart.tickets.sparkSession.createDataFrame([(question,)], "text string")
-    tags = route_label(tag_texts(one, "text", dictionary, day), "text").first()
-    if tags["route"] is None:
+    tags = all_routes(tag_texts(one, "text", dictionary, day), "text").first()
+    reports = [(name, REPORTS[name](mart, filter_of(tags), tags, day)) for name in tags["routes"]]
+    if not reports:
         return None, None
-    return tags["route"], REPORTS[tags["route"]](mart, filter_of(tags), tags, day)
+    return next((report for report in reports if not report[1].isEmpty()), reports[0])

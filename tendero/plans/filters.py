@@ -67,7 +67,7 @@ class SalesFilter:
         return reduce(and_, tests) if tests else None
 
     def period(self, tickets: DataFrame) -> Column | None:
-        if self.date_from is None:
+        if self.date_from is None and self.date_to is None:
             return None
         return P.in_period(tickets, self.date_from, self.date_to)
 
@@ -78,6 +78,11 @@ def keep(df: DataFrame, *tests: Column | None) -> DataFrame:
     return df.where(reduce(and_, present)) if present else df
 
 
+def first(df: DataFrame, n: int | None) -> DataFrame:
+    """The first ``n`` rows, or all where ``n`` is None."""
+    return df if n is None else df.limit(n)
+
+
 def nothing(df: DataFrame) -> DataFrame:
     """No rows: the answer of a report that needs a restriction and got none."""
     return df.where(F.lit(False))

@@ -170,18 +170,28 @@ put("normalised_dates", """
                       ELSE CAST(CAST(l_shipdate AS DATE) AS VARCHAR) END AS d FROM lineitem)""")
 put("adhoc_select", """
     SELECT subfamily, count(*) AS items, CAST(sum(stk_total) AS BIGINT) AS stock, max(days_cover) AS max_cover
-    FROM alerts WHERE family = 'PROMO' AND days_cover <= 30 GROUP BY subfamily ORDER BY subfamily LIMIT 50""",
+    FROM alerts WHERE family = 'PROMO' AND days_cover <= 30 GROUP BY subfamily ORDER BY subfamily""",
     "alerts")
 put("detail_export", """
     SELECT description, trim(supplier) AS supplier, days_cover, to_order, budget FROM alerts
-    WHERE budget > 0 ORDER BY budget DESC, item_key LIMIT 50""", "alerts")
+    WHERE budget > 0 ORDER BY budget DESC, item_key""", "alerts")
 put("query_log", """
     SELECT 1000000000 + q.conv_id*60 + q.turn AS timestamp, q.text AS pregunta, a.text AS respuesta,
            CASE WHEN q.conv_id % 2 = 0 THEN 'template' ELSE 'ninguno' END AS modo,
            CASE WHEN q.turn > 0 THEN round_even(q.turn*0.25::DOUBLE, 1) END AS tiempo_seg
-    FROM conversations q JOIN conversations a
-      ON q.conv_id = a.conv_id AND q.turn + 1 = a.turn
-    WHERE q.role = 'user' AND a.role = 'assistant'""")
+    FROM conversations q LEFT JOIN conversations a
+      ON q.conv_id = a.conv_id AND q.turn + 1 = a.turn AND a.role = 'assistant'
+    WHERE q.role = 'user'""")
+put("load_report", """
+    SELECT 'sale_date' AS column_name, count(*) AS filled, count(*) FILTER (WHERE l_linenumber = 7) AS nulled FROM lineitem
+    UNION ALL SELECT 'item_key', count(*), count(*) FILTER (WHERE l_linenumber = 6) FROM lineitem
+    UNION ALL SELECT 'quantity', count(*), 0 FROM lineitem""")
+put("filter_date_to", """
+    SELECT family, count(*) AS lines FROM tickets WHERE sale_date <= DATE '1995-12-31' GROUP BY family""", "tickets")
+put("pack_size_matches", """
+    WITH c AS (SELECT TRY_CAST(regexp_extract(lower(description), 'x([0-9]+)cc', 1) AS DOUBLE) AS cc FROM catalog)
+    SELECT count(*) FILTER (WHERE cc >= 960) AS from_960, count(*) FILTER (WHERE cc < 355) AS below_355,
+           CAST(0 AS BIGINT) AS from_500g, count(cc) AS with_volume, max(cc) AS largest FROM c""", "catalog")
 
 _FILTERS = {
     "subfamily_contains": ("tickets", "lower(subfamily) LIKE '%brand#2%'"),
@@ -518,11 +528,11 @@ put("alert_kpis", f"""
     FROM alerts""", "alerts")
 
 
-def _detail(name: str, test: str, extra: str) -> None:
+def _detail(name: str, test: str, extra: str, cut: str = "LIMIT 50") -> None:
     put(name, f"""
         SELECT description, family, subfamily, trim(supplier) AS supplier, days_cover, pack_units, {extra}
                {STOCK}, stk_total, {ORDERS}, to_order, budget
-        FROM alerts WHERE {test} ORDER BY budget DESC NULLS LAST, item_key LIMIT 50""", "alerts")
+        FROM alerts WHERE {test} ORDER BY budget DESC NULLS LAST, item_key {cut}""", "alerts")
 
 
 _detail("detail_no_stock", "restock_alert = 'Sí' AND days_cover = 0", "units_90d,")
@@ -531,6 +541,7 @@ _detail("detail_urgent", "restock_alert = 'Sí' AND days_cover BETWEEN 4 AND 7",
 _detail("detail_excess", "excess > 0", "excess,")
 _detail("detail_lost_value", "lost_value > 0", "lost_value, lost_units,")
 _detail("detail_budget", "budget > 0", "")
+_detail("detail_budget_all", "budget > 0", "", "")
 put("coverage_labels", f"""
     SELECT {AT_RISK} AS at_risk, {CRITICAL} AS critical, count(*) AS items FROM alerts GROUP BY ALL""", "alerts")
 put("seasonal_items", """
@@ -570,13 +581,13 @@ put("trend_summary", f"""{_trend(90)},
     FROM per JOIN tot ON per.branch = tot.branch""", "tickets")
 
 
-def _detail_trend(branch: str, trend: str, n: int) -> str:
+def _detail_trend(branch: str, trend: str, n: int | None) -> str:
     return f"""
     SELECT a.description, a.family, a.subfamily, trim(a.supplier) AS supplier, {fx('c.units', 0)} AS units,
            {fx('c.mean_daily', 1)} AS mean_daily, {fx('c.slope', 2)} AS slope, a.days_cover, a.stk_total, a.budget
     FROM trend c JOIN alerts a ON c.item_id = a.item_id
     WHERE c.trend = '{trend}' AND c.branch = '{branch}'
-    ORDER BY {fx('c.units', 0)} DESC, a.item_key LIMIT {n}"""
+    ORDER BY {fx('c.units', 0)} DESC, a.item_key {f'LIMIT {n}' if n else ''}"""
 
 
 put("trend_detail", _trend(90) + _detail_trend("asia", "alta", 100), "tickets", "alerts")
@@ -594,7 +605,7 @@ put("trend_range", f"""
 _ACTIONS = " ".join(f"WHEN urgency_index >= {b} THEN '{s}'" for b, s in L.URGENCY_ACTIONS)
 
 
-def _urgency(n: int, trend: str) -> str:
+def _urgency(n: int | None, trend: str) -> str:
     norm = ("CASE WHEN max({0}) OVER () > min({0}) OVER () THEN ({0}-min({0}) OVER ())"
             "/nullif(max({0}) OVER ()-min({0}) OVER (), 0) ELSE {0}*0 END")
     return f"""{_trend(90)},
@@ -607,7 +618,7 @@ def _urgency(n: int, trend: str) -> str:
 
 
 put("urgency_index", _urgency(100, "alta"), "tickets", "alerts")
-put("urgency_index_flat", _urgency(1000, "estable"), "tickets", "alerts")
+put("urgency_index_flat", _urgency(None, "estable"), "tickets", "alerts")
 
 # ---- selectors ----------------------------------------------------------------
 

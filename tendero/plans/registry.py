@@ -13,9 +13,9 @@ from tendero.operators import (
     marks, pricing, routing, sales, selectors, stock, tagging, trend,
 )
 from tendero.plans import samples as X
-from tendero.plans.filters import SalesFilter
+from tendero.plans.filters import SalesFilter, keep
 from tendero.sources import sinks
-from tendero.sources.mart import Mart, run_select, unparsed_dates
+from tendero.sources.mart import Mart, nulled_values, run_select, unparsed_dates
 from tendero.sources.shared import new_path
 from tendero.sources.star import read_table, star_mart
 from tendero.streaming import questions
@@ -58,6 +58,19 @@ def normalised_dates(spark: SparkSession, folder: str) -> DataFrame:
     return unparsed_dates(lines.select(text.alias("sale_date")))
 
 
+@on_tables
+def load_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Values that do not fit their type, per column, of sale lines held as text."""
+    line = read_table(spark, folder, "lineitem")
+    day, number = F.col("l_shipdate").cast("date"), F.col("l_linenumber")
+    raw = line.select(
+        F.when(number == 7, F.date_format(day, "dd.MM.yyyy")).otherwise(day.cast("string")).alias("sale_date"),
+        F.when(number == 6, "n/a").otherwise(F.col("l_partkey").cast("string")).alias("item_key"),
+        F.col("l_quantity").cast("string").alias("quantity"),
+    )
+    return nulled_values(raw, "tickets")
+
+
 def _select_on(spark: SparkSession, folder: str) -> DataFrame:
     return run_select(
         spark,
@@ -73,7 +86,7 @@ QUERIES["adhoc_select"] = _select_on
 @on_tables
 def detail_export(spark: SparkSession, folder: str) -> DataFrame:
     """A detail report written in order as CSV and read back."""
-    report = stock.detail_budget(star_mart(spark, folder).alerts).select(
+    report = stock.detail_budget(star_mart(spark, folder).alerts, n=None).select(
         "description", "supplier", "days_cover", "to_order", "budget")
     path = new_path(spark, "detail")
     sinks.write_detail(report, path, "csv", [F.desc("budget"), "description"])
@@ -87,7 +100,7 @@ def query_log(spark: SparkSession, folder: str) -> DataFrame:
     asked = turns.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("pregunta"))
     answered = turns.where(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("respuesta"))
-    rows = asked.join(answered, ["conv_id", "turn"]).select(
+    rows = asked.join(answered, ["conv_id", "turn"], "left").select(
         F.timestamp_seconds(F.lit(1_000_000_000) + F.col("conv_id") * 60 + F.col("turn")).alias("timestamp"),
         "pregunta", "respuesta",
         F.when(F.col("conv_id") % 2 == 0, F.lit("template")).alias("modo"),
@@ -112,7 +125,7 @@ def stream_tagged_log(spark: SparkSession, folder: str) -> DataFrame:
     arriving = questions.read_questions(spark, log)
     tagged = questions.tag_and_route(arriving, X.LANGUAGE_DICTIONARY, X.AS_OF).select(
         F.unix_seconds("timestamp").alias("asked_at"), "pregunta", "category", "route")
-    questions.write_tagged(tagged, out).awaitTermination()
+    questions.write_tagged(tagged, out, new_path(spark, "stream")).awaitTermination()
     return spark.read.schema(tagged.schema).json(out)
 
 
@@ -164,6 +177,25 @@ def filter_matches(m: Mart) -> DataFrame:
     return counts(t, on_tickets).unionByName(counts(a, on_alerts))
 
 
+@on_mart
+def filter_date_to(m: Mart) -> DataFrame:
+    """Sale lines per family up to a day, with no first day given."""
+    flt = SalesFilter(date_to="1995-12-31")
+    return keep(m.tickets, flt.period(m.tickets)).groupBy("family").agg(F.count(F.lit(1)).alias("lines"))
+
+
+@on_mart
+def pack_size_matches(m: Mart) -> DataFrame:
+    """Items by the pack volume read from their description."""
+    cc = P.pack_amount("description", P.VOLUME)
+    return m.catalog.agg(
+        F.count_if(P.volume_at_least("description", 960)).alias("from_960"),
+        F.count_if(P.volume_below("description", 355)).alias("below_355"),
+        F.count_if(P.weight_at_least("description", 500)).alias("from_500g"),
+        F.count(cc).alias("with_volume"), F.max(cc).alias("largest"),
+    )
+
+
 @on_mart
 def filter_precedence(m: Mart) -> DataFrame:
     """Items kept by one filter under each order of precedence."""
@@ -463,6 +495,11 @@ def detail_budget(m: Mart) -> DataFrame:
     return stock.detail_budget(m.alerts)
 
 
+@on_mart
+def detail_budget_all(m: Mart) -> DataFrame:
+    return stock.detail_budget(m.alerts, n=None)
+
+
 @on_mart
 def coverage_labels(m: Mart) -> DataFrame:
     """Items per label of both coverage schemes."""
@@ -517,7 +554,7 @@ def urgency_index(m: Mart) -> DataFrame:
 @on_mart
 def urgency_index_flat(m: Mart) -> DataFrame:
     """Items without a slope take the lowest level and come last."""
-    return trend.urgency_index(trend.trend_detail(m.tickets, m.alerts, "africa", "estable", n=1000, days=90))
+    return trend.urgency_index(trend.trend_detail(m.tickets, m.alerts, "africa", "estable", n=None, days=90))
 
 
 # ---- selectors ----------------------------------------------------------------
@@ -588,8 +625,9 @@ def tag_document_brands(spark: SparkSession, folder: str) -> DataFrame:
 @on_mart
 def tag_descriptions(m: Mart) -> DataFrame:
     """Sales lines per category found in the item description."""
-    lines = tagging.tag_category(m.tickets.select("description"), "description", X.DICTIONARY)
-    return lines.groupBy("category").agg(F.count(F.lit(1)).alias("lines"))
+    distinct = m.tickets.groupBy("description").agg(F.count(F.lit(1)).alias("lines"))
+    tagged = tagging.tag_category(distinct, "description", X.DICTIONARY)
+    return tagged.groupBy("category").agg(F.sum("lines").alias("lines"))
 
 
 @on_tables

@@ -17,14 +17,27 @@ SETTINGS = {
 }
 
 
-def session(app_name: str = "tendero", **settings: str) -> SparkSession:
+PARTITION_BYTES = 128 << 20
+
+
+def partitions_for(input_bytes: int) -> str:
+    """Shuffle partitions to start from, so that one holds about what a task should, at any input size."""
+    return str(max(200, -(-input_bytes // PARTITION_BYTES)))
+
+
+def session(app_name: str = "tendero", input_bytes: int | None = None, **settings: str) -> SparkSession:
     """Session with the settings above; keyword names use ``__`` for dots.
 
+    ``input_bytes`` is the size of the largest table a job shuffles: adaptive execution only
+    merges partitions that are too small, so a job over 100 TB has to start with enough of them.
+
     ``session(spark__checkpoint__dir="s3a://bucket/tmp")`` names the folder that written
     intermediate tables go to.
     """
     builder = SparkSession.builder.appName(app_name)
     named = {key.replace("__", "."): value for key, value in settings.items()}
+    if input_bytes:
+        named.setdefault("spark.sql.adaptive.coalescePartitions.initialPartitionNum", partitions_for(input_bytes))
     for key, value in {**SETTINGS, **named}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Mapping
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, fields, replace
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tendero import constants as K
+from tendero.functions.predicates import with_newest
 
 
 @dataclass(frozen=True)
@@ -86,6 +90,9 @@ CATALOG_SCHEMA = T.StructType([
     T.StructField("stk_total", T.DoubleType()),
 ])
 
+# one row for each day with sale lines, written beside them
+DAYS_SCHEMA = T.StructType([T.StructField("sale_date", T.DateType()), T.StructField("lines", T.LongType())])
+
 # type of the open-ended per-branch columns
 BRANCH_PREFIXES = ("stk_", "order_")
 BRANCH_TYPES = {"alerts": T.LongType(), "catalog": T.DoubleType()}
@@ -215,6 +222,41 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     return df.select(*out)
 
 
+def nulled_values(df: DataFrame, table: str) -> DataFrame:
+    """``column_name, filled, nulled`` for each typed column of a table about to be conformed.
+
+    ``nulled`` counts the values that :func:`conform` will turn into null because they do not fit.
+    """
+    wanted = {f.name: f.dataType for f in SCHEMAS[table]}
+    counts = []
+    for field in df.schema:
+        target = wanted.get(field.name.lower())
+        if target is None and field.name.lower().startswith(BRANCH_PREFIXES):
+            target = BRANCH_TYPES.get(table)
+        if target is not None:
+            value = F.col(field.name)
+            lost = F.lit(False) if target == field.dataType else value.isNotNull() & value.try_cast(target).isNull()
+            counts.append(F.struct(F.lit(field.name.lower()).alias("column_name"), F.count(value).alias("filled"), F.count_if(lost).alias("nulled")))
+    return df.agg(F.array(*counts).alias("counts")).select(F.inline("counts"))
+
+
+def load_report(
+    spark: SparkSession,
+    path: str,
+    tables: Mapping[str, str] | None = None,
+    columns: Mapping[str, Mapping[str, str]] | None = None,
+    fmt: str = "parquet",
+) -> DataFrame:
+    """``table_name, column_name, filled, nulled``: what :func:`load_mart` with the same arguments loses."""
+    tables, columns = tables or {}, columns or {}
+    parts = []
+    for name in SCHEMAS:
+        df = spark.read.format(fmt).load(f"{path.rstrip('/')}/{tables.get(name, name)}")
+        df = rename_columns(df, columns[name]) if name in columns else df
+        parts.append(nulled_values(df, name).select(F.lit(name).alias("table_name"), "*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def make_mart(**tables: DataFrame) -> Mart:
     return Mart(**{name: conform(df, name) for name, df in tables.items()})
 
@@ -237,7 +279,15 @@ def load_mart(
     for name in SCHEMAS:
         df = spark.read.format(fmt).load(f"{path.rstrip('/')}/{tables.get(name, name)}")
         frames[name] = rename_columns(df, columns[name]) if name in columns else df
-    return make_mart(**frames)
+    mart = make_mart(**frames)
+    if "tickets" in tables:
+        return mart
+    try:
+        days = spark.read.schema(DAYS_SCHEMA).parquet(f"{path.rstrip('/')}/sale_days")
+    except AnalysisException:  # a mart written without it
+        return mart
+    newest = days.agg(F.max("sale_date")).first()[0]
+    return replace(mart, tickets=with_newest(mart.tickets, newest)) if newest else mart
 
 
 # ---- writing ----------------------------------------------------------------
@@ -254,9 +304,16 @@ def write_tickets(tickets: DataFrame, path: str, mode: str = "overwrite") -> Non
      .write.mode(mode).partitionBy("sale_month").parquet(path))
 
 
+def write_days(spark: SparkSession, base: str, mode: str = "overwrite") -> None:
+    """Lines per day of the written sale lines, so that the newest day is known without reading them."""
+    lines = spark.read.parquet(f"{base}/tickets")
+    lines.groupBy("sale_date").agg(F.count(F.lit(1)).alias("lines")).coalesce(1).write.mode(mode).parquet(f"{base}/sale_days")
+
+
 def write_mart(mart: Mart, path: str, mode: str = "overwrite") -> None:
     base = path.rstrip("/")
     write_tickets(mart.tickets, f"{base}/tickets", mode)
+    write_days(mart.tickets.sparkSession, base)
     for name in ("alerts", "last_prices", "catalog"):
         mart.tables()[name].write.mode(mode).parquet(f"{base}/{name}")
 
@@ -270,26 +327,49 @@ def check_select(sql: str) -> str:
         raise ValueError("empty statement")
     if not re.match(r"(select|with)\b", text, re.IGNORECASE):
         raise ValueError("only SELECT or WITH statements are allowed")
-    found = re.search(rf"\b({'|'.join(K.FORBIDDEN_SQL_WORDS)})\b", text, re.IGNORECASE)
+    found = re.search(rf"\b({'|'.join(K.FORBIDDEN_SQL_WORDS + K.FORBIDDEN_CALLS)})\b", text, re.IGNORECASE)
     if found:
         raise ValueError(f"forbidden word: {found.group(1).lower()}")
     return text
 
 
+def read_tables(spark: SparkSession, statement: str, args: Mapping[str, object]) -> set[str]:
+    """Names a statement reads that it does not define itself, as the parser reports them."""
+    text = spark.sql(f"EXPLAIN EXTENDED {statement}", args=dict(args)).first()[0]
+    parsed = text.partition("== Analyzed Logical Plan ==")[0]
+    own = {name.strip().lower() for names in re.findall(r"CTE \[([^\]]*)\]", parsed) for name in names.split(",")}
+    if "UnresolvedTableValuedFunction" in parsed:
+        raise ValueError("table functions are not allowed")
+    return {name.lower() for name in re.findall(r"UnresolvedRelation \[([^\]]*)\]", parsed)} - own
+
+
 def run_select(
     spark: SparkSession,
     sql: str,
     mart: Mart | Mapping[str, DataFrame] | None = None,
     args: Mapping[str, object] | None = None,
-    max_rows: int = K.ADHOC_MAX_ROWS,
+    max_rows: int | None = None,
 ) -> DataFrame:
-    """Run a caller's SELECT over the mart's tables and keep the first rows.
+    """Run a caller's SELECT over the mart's tables; ``max_rows`` cuts the result, None keeps all.
 
-    The tables appear as temporary views under their names. Values belong in
-    ``args`` as named parameters (``:since``), never in the text.
+    The statement sees the given tables under their names and nothing else: no other table, no
+    files by path, no call into the JVM. The caller's own views stay as they are. Values
+    belong in ``args`` as named parameters (``:since``), never in the text.
     """
     statement = check_select(sql)
-    views = mart.tables() if isinstance(mart, Mart) else dict(mart or {})
-    for name, df in views.items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(statement, args=dict(args or {})).limit(max_rows)
+    tables = mart.tables() if isinstance(mart, Mart) else dict(mart or {})
+    foreign = read_tables(spark, statement, args or {}) - {name.lower() for name in tables}
+    if foreign:
+        raise ValueError(f"not a table of the mart: {', '.join(sorted(foreign))}")
+    names = {name: f"tendero_{uuid.uuid4().hex}" for name in tables}
+    try:
+        for name, view in names.items():
+            tables[name].createTempView(view)
+        given = ", ".join(f"`{name}` AS (SELECT * FROM {view})" for name, view in names.items())
+        body = re.sub(r"^with\b", "", statement, flags=re.IGNORECASE)
+        whole = statement if not given else f"WITH {given}, {body}" if body != statement else f"WITH {given} {statement}"
+        rows = spark.sql(whole, args=dict(args or {}))
+    finally:
+        for view in names.values():
+            spark.catalog.dropTempView(view)
+    return rows if max_rows is None else rows.limit(max_rows)

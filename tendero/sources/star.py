@@ -14,8 +14,8 @@ from operator import add
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tendero.functions.predicates import last_date
-from tendero.sources.mart import Mart, load_mart, make_mart, write_tickets
+from tendero.functions.predicates import last_date, with_newest
+from tendero.sources.mart import Mart, load_mart, make_mart, write_days, write_tickets
 from tendero.sources.shared import new_path
 
 STOCK_BRANCHES = range(1, 8)
@@ -108,12 +108,15 @@ def item_facts(tickets: DataFrame) -> DataFrame:
     """
     as_of = last_date(tickets)
     day, units = F.col("sale_date"), F.col("quantity")
-    latest = F.struct("price_unit", "cost_unit", "sale_date", "supplier_id")
-    newest_first = F.struct(day, -F.col("order_id"), -F.col("line_no"))
+    # one number of fixed width orders the lines, so the sums and the latest line share one hash aggregation
+    whole = lambda value: F.lit(str(value)).cast("decimal(38,0)")
+    place = (F.unix_date(day).cast("decimal(38,0)") * whole(10**26)
+             + (whole(10**19) - F.col("order_id")) * whole(10**6) - F.col("line_no")).cast("decimal(38,0)")
+    latest = ("price_unit", "cost_unit", "sale_date", "supplier_id")
     by_month = [F.sum(F.when(F.month(day) == m, units)).alias(f"month_{m}") for m in range(1, 13)]
     facts = tickets.groupBy("item_key").agg(
         F.sum(F.when(day > F.date_sub(as_of, ALERT_DAYS), units)).alias("units_90d"),
-        F.max_by(latest, newest_first).alias("latest"),
+        *[F.max_by(c, place).alias(c) for c in latest],
         *by_month,
     )
     months = [F.col(f"month_{m}") for m in range(1, 13)]
@@ -121,7 +124,7 @@ def item_facts(tickets: DataFrame) -> DataFrame:
     better = reduce(add, [F.when(m > current, 1).otherwise(0) for m in months])
     active = reduce(add, [m.isNotNull().cast("long") for m in months])
     return facts.select(
-        "item_key", "units_90d", "latest.*",
+        "item_key", "units_90d", *latest,
         F.when(current.isNotNull(), (better + 1).cast("long")).alias("month_rank"),
         F.when(current.isNotNull(), active).alias("active_months"),
     )
@@ -170,7 +173,10 @@ def star_alerts(catalog: DataFrame, facts: DataFrame) -> DataFrame:
 def build_mart(spark: SparkSession, folder: str, path: str) -> None:
     """Derive the mart from the star schema in ``folder`` and write it under ``path``."""
     write_tickets(star_tickets(spark, folder), f"{path}/tickets")
+    write_days(spark, path)
+    newest = spark.read.parquet(f"{path}/sale_days").agg(F.max("sale_date")).first()[0]
     tickets = spark.read.parquet(f"{path}/tickets")
+    tickets = with_newest(tickets, newest) if newest else tickets
     item_facts(tickets).write.parquet(f"{path}/item_facts")
     facts = spark.read.parquet(f"{path}/item_facts")
     catalog = star_catalog(spark, folder)

@@ -12,7 +12,6 @@ from pyspark.sql.streaming import StreamingQuery
 from tendero.functions.predicates import DateLike
 from tendero.operators.routing import route_label
 from tendero.operators.tagging import Dictionary, tag_texts
-from tendero.sources.shared import new_path
 from tendero.sources.sinks import QUERY_LOG_SCHEMA
 
 
@@ -27,15 +26,15 @@ def tag_and_route(
     return route_label(tag_texts(questions, text_col, dictionary, as_of), text_col)
 
 
-def write_tagged(tagged: DataFrame, path: str, checkpoint: str | None = None) -> StreamingQuery:
+def write_tagged(tagged: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append what has arrived to ``path`` as JSON lines and stop.
 
-    A job that runs again and again passes its own ``checkpoint`` folder to go on where the
-    last run ended; without one a fresh folder in the shared place is used.
+    ``checkpoint`` belongs to ``path``: a job that runs again passes the same folder and goes on
+    where the last run ended. A fresh folder for an old path would count batches anew, and the
+    sink would skip those it has written before.
     """
-    folder = checkpoint or new_path(tagged.sparkSession, "stream")
     return (
         tagged.writeStream.format("json").outputMode("append")
-        .option("path", path).option("checkpointLocation", folder)
+        .option("path", path).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )

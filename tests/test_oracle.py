@@ -3,9 +3,9 @@
 import pytest
 from compare import connect, differences
 
-from __spark_entry__ import entry, oracle_sql, queries
-
-QUERIES, ORACLE = queries(), oracle_sql()
+from __spark_entry__ import entry
+from tendero.plans.oracle import ORACLE
+from tendero.plans.registry import QUERIES
 
 
 @pytest.fixture(scope="module")

@@ -9,6 +9,7 @@ from tendero.functions import predicates as P
 from tendero.operators import pricing, sales, stock, trend
 from tendero.plans.filters import SalesFilter
 from tendero.plans.registry import QUERIES
+from tendero.sources.star import item_facts
 
 
 def plan(df) -> str:
@@ -49,7 +50,7 @@ def test_static_periods_are_pushed_into_the_scan(mart):
 
 
 def test_one_scan_for_both_months(mart):
-    df = sales.month_kpis(mart.tickets, mart.alerts, as_of="2001-10-15")
+    df = sales.month_kpis(mart.tickets, mart.alerts)
     assert plan(df).count("price_total") and plan(df).count("FileScan parquet [sale_date") == 1
 
 
@@ -59,9 +60,23 @@ def test_list_is_cut_before_prices_are_joined(mart):
     assert text.index("TakeOrderedAndProject", join) > join
 
 
-def test_short_lists_filter_prices_in_place(mart):
+def test_short_lists_read_the_alerts_once(mart):
     text = plan(stock.how_much_to_order(mart.alerts, mart.last_prices, SalesFilter(family="PROMO")))
-    assert re.search(r"BroadcastHashJoin [^\n]*LeftSemi", text)
+    assert text.count("FileScan parquet") == 2 and "LeftSemi" not in text
+
+
+@pytest.mark.parametrize("name", ["month_kpis", "trend_summary", "critical_with_sales", "family_margin_leaders", "urgency_index", "weekly_trend"])
+def test_every_ticket_scan_has_a_month_filter(name, spark, sf_dir):
+    scans = [x for x in plan(QUERIES[name](spark, sf_dir)).split("\n") if "FileScan" in x and "sale_month" in x]
+    assert scans and all("PartitionFilters: []" not in x for x in scans)
+
+
+def test_high_sales_reads_the_lines_once(mart):
+    assert plan(pricing.high_sales_low_margin(mart.tickets, mart.last_prices)).count("sale_month") <= 2
+
+
+def test_item_facts_need_no_sort(mart):
+    assert "SortAggregate" not in plan(item_facts(mart.tickets))
 
 
 def test_no_window_without_partition_in_urgency(mart):

@@ -3,17 +3,21 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from tendero.functions import predicates as P
+from tendero.plans.filters import SalesFilter, keep
 from tendero.sources import shared, sinks
 from tendero.sources.mart import (
-    SOURCE_COLUMNS, SOURCE_TABLES, check_select, conform, load_mart, run_select, unparsed_dates, write_mart,
+    SOURCE_COLUMNS, SOURCE_TABLES, check_select, conform, load_mart, nulled_values, run_select, unparsed_dates,
+    write_mart,
 )
+from tendero.streaming import questions
 
 
 def test_mart_written_by_month_reads_back(spark, mart, tmp_path):
     write_mart(mart, str(tmp_path))
     back = load_mart(spark, str(tmp_path))
     assert "sale_month" in back.tickets.columns
-    assert (tmp_path / "tickets").glob("sale_month=*")
+    assert list((tmp_path / "tickets").glob("sale_month=*"))
     for name, df in mart.tables().items():
         assert back.tables()[name].count() == df.count()
 
@@ -53,13 +57,74 @@ def test_words_inside_names_are_fine():
     assert check_select("SELECT updated_at FROM tickets;") == "SELECT updated_at FROM tickets"
 
 
-def test_select_is_capped(spark, mart):
-    assert run_select(spark, "SELECT * FROM tickets", mart).count() == 50
+def test_select_is_cut_only_on_request(spark, mart):
+    rows = mart.tickets.count()
+    assert run_select(spark, "SELECT * FROM tickets", mart).count() == rows
+    assert run_select(spark, "SELECT * FROM tickets", mart, max_rows=50).count() == 50
+
+
+def test_select_takes_parameters(spark, mart):
     rows = run_select(spark, "WITH x AS (SELECT branch FROM tickets WHERE branch = :b) SELECT count(*) AS n FROM x",
                       mart, {"b": "asia"})
     assert rows.first()["n"] == mart.tickets.where("branch = 'asia'").count()
 
 
+@pytest.mark.parametrize("sql", [
+    "SELECT count(*) FROM parquet.`/root/testdata/sf0.001/customer.parquet`",
+    "SELECT * FROM foreign_table",
+    "SELECT a.n FROM (SELECT count(*) AS n FROM tickets) a JOIN other_table ON true",
+    "SELECT java_method('java.util.UUID', 'randomUUID') FROM alerts",
+    "SELECT reflect('java.util.UUID', 'randomUUID')",
+    "SELECT * FROM range(10)",
+])
+def test_select_sees_nothing_but_the_mart(spark, mart, sql):
+    spark.range(1).createOrReplaceTempView("foreign_table")
+    with pytest.raises(ValueError):
+        run_select(spark, sql, mart)
+
+
+def test_select_leaves_the_callers_views(spark, mart):
+    spark.range(7).createOrReplaceTempView("alerts")
+    try:
+        rows = run_select(spark, "WITH t AS (SELECT family FROM alerts) SELECT count(family) AS n FROM t", mart)
+        assert rows.first()["n"] == mart.alerts.count()
+        assert spark.table("alerts").count() == 7
+        assert not [t for t in spark.catalog.listTables() if t.name.startswith("tendero_")]
+    finally:
+        spark.catalog.dropTempView("alerts")
+
+
+def test_values_that_do_not_fit_are_counted(spark):
+    df = spark.createDataFrame([("2026-01-01", "5"), ("01/02/26", "x"), (None, None)], "sale_date string, item_key string")
+    found = {r["column_name"]: (r["filled"], r["nulled"]) for r in nulled_values(df, "tickets").collect()}
+    assert found == {"sale_date": (2, 1), "item_key": (2, 1)}
+
+
+def test_last_day_alone_restricts(mart):
+    flt = SalesFilter(date_to="1999-01-01")
+    assert keep(mart.tickets, flt.period(mart.tickets)).agg(F.max("sale_date")).first()[0] <= dt.date(1999, 1, 1)
+
+
+def test_pack_sizes_are_read_as_numbers(spark):
+    df = spark.createDataFrame([("vino 750cc",), ("gaseosa 1,5l",), ("agua 2.25 L",), ("yerba x500g",), ("pan",)], "description string")
+    cc = [r[0] for r in df.select(P.pack_amount("description", P.VOLUME)).collect()]
+    assert cc == [750.0, 1500.0, 2250.0, None, None]
+    assert df.where(P.volume_at_least("description", 500)).count() == 3
+    assert df.where(P.weight_at_least("description", 500)).count() == 1
+
+
+def test_two_stream_runs_keep_all_questions(spark, tmp_path):
+    def ask(text):
+        rows = [(dt.datetime(2026, 1, 1), text, None, None, None)]
+        sinks.append_query_log(spark.createDataFrame(rows, sinks.QUERY_LOG_SCHEMA), str(tmp_path / "log"))
+
+    for text in ("uno", "dos"):
+        ask(text)
+        stream = questions.read_questions(spark, str(tmp_path / "log")).select("pregunta")
+        questions.write_tagged(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
+    assert sorted(r[0] for r in spark.read.json(str(tmp_path / "out")).collect()) == ["dos", "uno"]
+
+
 def test_detail_keeps_its_order(spark, tmp_path):
     df = spark.range(100).select((F.col("id") * 37 % 100).alias("n")).repartition(5)
     sinks.write_detail(df, str(tmp_path / "out"), "csv", [F.desc("n")])
