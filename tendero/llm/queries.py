@@ -12,6 +12,7 @@ from tendero.llm.decontaminate import benchmark_overlaps
 from tendero.llm.embedding import near_vectors
 from tendero.llm.masked_lm import pseudo_likelihood
 from tendero.llm.ngram_join import ngram_components
+from tendero.llm.oracle import ORACLE
 from tendero.llm.packing import pack, word_lengths
 from tendero.llm.substring import cut_repeats
 from tendero.llm.token_files import read_tokens, write_tokens
@@ -19,6 +20,8 @@ from tendero.llm.toxicity import fit, scored
 from tendero.llm.url_filter import judge, tracked
 from tendero.llm.warc import read_archive, write_archive, write_index
 
+__all__ = ["ORACLE", "QUERIES"]
+
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -84,5 +87,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_benchmark_decontamination": decontamination,
     "op10_lm_scoring": lm_scoring,
 }
-
-ORACLE: dict[str, str] = {}
