@@ -207,3 +207,13 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
     return placed.select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its component, all columns as they were.
+
+    Rows without id stay, as they link with nothing; rows that repeat an id stay or go together.
+    """
+    found = ngram_components(docs, size, percent)
+    first = written(found.where("doc_id = component_id").select("doc_id").distinct(), "first")
+    return docs.join(first, docs["doc_id"].cast("long") == first["doc_id"], "left_semi").unionByName(docs.where(docs["doc_id"].isNull()))
