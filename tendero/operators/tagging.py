@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from tendero import constants as K
 from tendero.functions import predicates as P, text as T, words as W
 
-MAX_DICTIONARY_ROWS = 100_000
 DEFAULT_TOP_N = 10
 TOP_N_RANGE = (2, 50)
 
@@ -49,25 +48,24 @@ class Dictionary:
 
     @staticmethod
     def from_frame(df: DataFrame, **names: Sequence[str]) -> "Dictionary":
-        """Read a dictionary table: position, category, family, subfamily, synonyms, brands.
+        """Read a small dictionary table: position, category, family, subfamily, synonyms, brands, sizes.
 
-        The dictionary becomes part of the query, so its size is checked before it is read.
+        It becomes part of the expression, which suits the dictionary of one shop. A large one stays a
+        table: :func:`tag_items` joins with it and collects nothing.
         """
-        rows = df.orderBy("position").limit(MAX_DICTIONARY_ROWS + 1).collect()
-        if len(rows) > MAX_DICTIONARY_ROWS:
-            raise ValueError(f"a dictionary holds at most {MAX_DICTIONARY_ROWS} categories")
+        sizes = "sizes" in df.columns
         return Dictionary(tuple(
-            Category(r["category"], r["family"], r["subfamily"],
-                     tuple(r["synonyms"] or ()), tuple(r["brands"] or ()))
-            for r in rows
+            Category(r["category"], r["family"], r["subfamily"], tuple(r["synonyms"] or ()), tuple(r["brands"] or ()),
+                     {k: tuple(v) for k, v in (r["sizes"] or {}).items()} if sizes else {})
+            for r in df.orderBy("position").collect()
         ), **names)
 
     def to_frame(self, spark: SparkSession) -> DataFrame:
-        rows = [(i, c.key, c.family, c.subfamily, list(c.synonyms), list(c.brands))
+        rows = [(i, c.key, c.family, c.subfamily, list(c.synonyms), list(c.brands), {k: list(v) for k, v in c.sizes.items()})
                 for i, c in enumerate(self.categories)]
         return spark.createDataFrame(
             rows, "position int, category string, family string, subfamily string, "
-                  "synonyms array<string>, brands array<string>")
+                  "synonyms array<string>, brands array<string>, sizes map<string, array<string>>")
 
 
 # ---- dictionary tables --------------------------------------------------------
@@ -88,6 +86,63 @@ def dictionary_frames(dictionary: DataFrame) -> tuple[DataFrame, DataFrame]:
             _word_to_category(dictionary, "brands", "brand"))
 
 
+def _phrase(text: Column) -> Column:
+    """The words of a text, lower-cased, with one space between."""
+    return F.array_join(F.split(F.btrim(F.regexp_replace(F.lower(text), r"(?U)\W+", " ")), " "), " ")
+
+
+def _category_of(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """``text, position`` of the category whose longest synonym stands in each distinct text.
+
+    Every run of words up to the length of the longest synonym is looked up by a join. Of
+    synonyms equally long the one listed first wins; one listed twice belongs to the last category.
+    """
+    listed = dictionary.select("position", F.posexplode("synonyms").alias("place", "word"))
+    listed = listed.withColumn("phrase", _phrase(F.col("word"))).where("phrase != ''")
+    at = F.struct("position", "place")
+    listed = listed.groupBy("phrase").agg(
+        F.max_by("position", at).alias("position"), F.min(at).alias("listed"), F.max(F.length("word")).alias("letters"))
+    longest = listed.agg(F.max(F.size(F.split("phrase", " ")))).first()[0] or 0
+    words = F.split(_phrase(F.col("text")), " ")
+
+    def runs(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size("words") - n + 1)
+        found = F.transform(starts, lambda i: F.array_join(F.slice("words", i, n), " "))
+        return F.when(F.size("words") >= n, found).otherwise(F.array().cast("array<string>"))
+
+    # explode keeps the optimizer from splitting the text again for every run
+    split = texts.select("text").distinct().select("text", F.explode(F.array(words)).alias("words"))
+    looked = split.select("text", F.explode(F.array_distinct(F.flatten(F.array(*map(runs, range(1, longest + 1))))
+                                                             if longest else F.array().cast("array<string>"))).alias("phrase"))
+    return looked.join(listed, "phrase").groupBy("text").agg(
+        F.min_by("position", F.struct(-F.col("letters"), F.col("listed"))).alias("position"))
+
+
+def tag_items(df: DataFrame, text_col: str, dictionary: DataFrame) -> DataFrame:
+    """Add category, family, subfamily, brands and, if the table has them, sizes from a dictionary table.
+
+    The dictionary stays a table, however large: synonyms are looked up by a join on runs of words, so the
+    plan does not grow with it. A text of some category has the brands of that category, any other those of all.
+    """
+    texts = df.select(F.col(text_col).alias("text")).where("text IS NOT NULL")
+    found = _category_of(texts, dictionary)
+    keep = [c for c in ("category", "family", "subfamily", "brands", "sizes") if c in dictionary.columns]
+    entry = dictionary.select("position", F.struct(*keep).alias("_entry"))
+    all_brands = dictionary.select(F.explode("brands").alias("b")).agg(F.sort_array(F.collect_set(F.lower("b")))).scalar()
+    found = found.join(entry, "position").select(F.col("text").alias("_text"), "_entry")
+    rows = df.withColumn("_all", all_brands).join(found, F.col(text_col) == F.col("_text"), "left")
+    lowered = F.lower(F.trim(F.col(text_col)))
+    brands = F.coalesce(F.transform("_entry.brands", lambda b: F.lower(b)), F.col("_all"))
+    tags = {c: F.col(f"_entry.{c}") for c in keep if c not in ("brands", "sizes")}
+    tags["brands"] = F.coalesce(F.filter(brands, lambda b: F.contains(lowered, b)), F.array().cast("array<string>"))
+    if "sizes" in keep:
+        pairs = F.flatten(F.transform(F.map_entries("_entry.sizes"), lambda e: F.transform(
+            e["value"], lambda label: F.struct(e["key"].alias("kind"), label.alias("label")))))
+        size = F.get(F.filter(pairs, lambda s: F.contains(lowered, s["label"])), F.lit(0))
+        tags |= {"size_label": size["label"], "size_kind": size["kind"]}
+    return rows.withColumns(tags).drop("_text", "_entry", "_all")
+
+
 def catalog_dictionary(catalog: DataFrame) -> DataFrame:
     """A dictionary table made from the catalogue itself.
 

@@ -809,6 +809,23 @@ put("catalog_dictionary", """
     FROM catalog
     UNION ALL
     SELECT lower(subfamily), max(family), subfamily, lower(subfamily) FROM catalog GROUP BY subfamily""", "catalog")
+put("tag_turns_by_table", r"""
+    WITH d AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS word FROM part
+               UNION SELECT unnest(['the', 'de la', 'und die', 'le'])),
+    t AS (SELECT conv_id, turn, lower(trim(text)) AS low,
+            concat(' ', trim(regexp_replace(lower(text), '[^\p{L}\p{N}\p{M}_]+', ' ', 'g')), ' ') AS norm FROM conversations),
+    m AS (SELECT conv_id, turn, (list(word ORDER BY length(word) DESC, word))[1] AS word
+          FROM t JOIN d ON contains(norm, concat(' ', word, ' ')) GROUP BY ALL),
+    b AS (SELECT conv_id, turn, string_agg(word, ',' ORDER BY word) AS words FROM t JOIN d ON contains(low, word) GROUP BY ALL)
+    SELECT t.conv_id, t.turn, upper(m.word) AS category,
+           CASE WHEN m.word IS NULL THEN coalesce(b.words, '') WHEN contains(low, m.word) THEN m.word ELSE '' END AS brands
+    FROM t LEFT JOIN m USING (conv_id, turn) LEFT JOIN b USING (conv_id, turn)""")
+put("tag_catalog_by_table", """
+    WITH n AS (SELECT DISTINCT family, split_part(description, ' ', 2) AS noun, split_part(description, ' ', 1) AS adjective FROM catalog),
+    o AS (SELECT noun, max(concat(family, '/', noun)) AS category FROM n GROUP BY noun),
+    b AS (SELECT concat(family, '/', noun) AS category, list_sort(list(adjective)) AS words FROM n GROUP BY ALL)
+    SELECT item_key, category, array_to_string([w FOR w IN words IF contains(lower(description), w)], ',') AS brands
+    FROM catalog JOIN o ON noun = split_part(description, ' ', 2) JOIN b USING (category)""", "catalog")
 put("dictionary_synonyms", f"""WITH p AS ({_PAIRS}), w AS (
       SELECT noun AS synonym, category FROM p UNION ALL SELECT noun || 's', category FROM p
       UNION ALL SELECT lower(p_type) || ' ' || noun, category FROM p)

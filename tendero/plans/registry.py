@@ -670,6 +670,30 @@ def _dictionary_table(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@on_mart
+def tag_catalog_by_table(m: Mart) -> DataFrame:
+    """Category and brands of every item, looked up in a dictionary table made of the catalogue."""
+    nouns = F.split("description", " ")
+    named = m.catalog.select("family", nouns[1].alias("noun"), nouns[0].alias("adjective")).distinct()
+    dictionary = named.groupBy("family", "noun").agg(F.array_sort(F.collect_set("adjective")).alias("brands")).select(
+        F.concat_ws("/", "family", "noun").alias("position"), F.concat_ws("/", "family", "noun").alias("category"), "family",
+        F.lit(None).cast("string").alias("subfamily"), F.array("noun", F.concat_ws(" ", F.lit("the"), "noun")).alias("synonyms"), "brands")
+    tagged = tagging.tag_items(m.catalog.select("item_key", "description"), "description", dictionary)
+    return tagged.select("item_key", "category", F.concat_ws(",", "brands").alias("brands"))
+
+
+@on_tables
+def tag_turns_by_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversation turns looked up in a dictionary table: one category per word of the item names and common phrase."""
+    turns = read_table(spark, folder, "conversations").select("conv_id", "turn", "text")
+    common = F.array(*map(F.lit, ("the", "de la", "und die", "le")))
+    words = read_table(spark, folder, "part").select(F.explode(F.concat(F.split(F.lower("p_name"), " "), common)).alias("word")).distinct()
+    dictionary = words.select(
+        F.col("word").alias("position"), F.upper("word").alias("category"), F.lit(None).cast("string").alias("family"),
+        F.lit(None).cast("string").alias("subfamily"), F.array("word").alias("synonyms"), F.array("word").alias("brands"))
+    return tagging.tag_items(turns, "text", dictionary).select("conv_id", "turn", "category", F.concat_ws(",", "brands").alias("brands"))
+
+
 @on_tables
 def dictionary_synonyms(spark: SparkSession, folder: str) -> DataFrame:
     return tagging.dictionary_frames(_dictionary_table(spark, folder))[0]

@@ -5,6 +5,8 @@ import datetime as dt
 import pytest
 from hypothesis import given, settings, strategies as st
 
+from pyspark.sql import functions as F
+
 from tendero.operators import routing, tagging
 from tendero.operators.tagging import Category, Dictionary
 from tendero.streaming import questions as stream
@@ -122,6 +124,35 @@ def test_dictionary_table(spark):
     assert dict(map(tuple, brands.collect()))["la virginia"] == "cafe"
     back = Dictionary.from_frame(frame)
     assert back.synonyms() == DICTIONARY.synonyms() and back.brands() == DICTIONARY.brands()
+    assert [c.sizes for c in back.categories] == [dict(c.sizes) for c in DICTIONARY.categories]
+
+
+def test_table_and_expression_tag_alike(spark):
+    texts = [*CASES, "una cerveza quilmes", "café 500g", "paleta", "alimento", "ni idea de dolca", "", "CAFÉ  La Virginia 1 kg"]
+    df = spark.createDataFrame([(t,) for t in dict.fromkeys(texts)] + [(None,)], "text string")
+    columns = ("category", "family", "subfamily", "size_label", "size_kind")
+    by_table = {r["text"]: r for r in tagging.tag_items(df, "text", DICTIONARY.to_frame(spark)).collect()}
+    lowered = F.lower(F.trim("text"))
+    number = tagging.category_number(lowered, DICTIONARY)
+    plain = tagging.tag_category(df, "text", DICTIONARY).withColumns({
+        "brands": tagging.brands_in(lowered, number, DICTIONARY), "_size": tagging.size_in(lowered, number, DICTIONARY)})
+    plain = plain.withColumns({"size_label": F.col("_size.label"), "size_kind": F.col("_size.kind")})
+    for r in plain.where("text IS NOT NULL").collect():
+        assert [by_table[r["text"]][c] for c in columns] == [r[c] for c in columns], r["text"]
+        assert set(by_table[r["text"]]["brands"]) == set(r["brands"]), r["text"]
+
+
+def test_plan_does_not_grow_with_the_dictionary(spark):
+    def plan(categories):
+        dictionary = spark.range(categories).selectExpr(
+            "id AS position", "concat('c', id) AS category", "'f' AS family", "'s' AS subfamily",
+            "array(concat('word', id), concat('two words', id)) AS synonyms", "array(concat('brand', id)) AS brands")
+        df = spark.createDataFrame([("word7 brand7",), ("two words9",)], "text string")
+        tagged = tagging.tag_items(df, "text", dictionary)
+        assert {r["category"] for r in tagged.collect()} == {"c7", "c9"}
+        return len(tagged._jdf.queryExecution().optimizedPlan().toString())
+
+    assert plan(10_000) < 1.1 * plan(10)
 
 
 def test_special_characters_are_literal(spark):
