@@ -12,7 +12,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tendero.llm.tables import written
+from tendero.llm.tables import if_small, written
 
 OVERLAP = 13
 SUBSTITUTED = 2
@@ -73,7 +73,8 @@ def _found(docs: DataFrame, items: DataFrame) -> DataFrame:
     train = _seeds(docs, words(F.col("text")), "doc_id", "row")
     hits = train.join(tests, "seed").select(F.col("doc_id").alias("d"), F.col("row").alias("r"), "item", (F.col("at") - F.col("at_item")).alias("offset")).distinct()
     hits = written(hits, "hits")
-    near = docs.join(hits.select("d", "r").distinct(), _same(), "left_semi")
+    rows = if_small(written(hits.select("d", "r").distinct(), "hit-rows"), 24)
+    near = docs.join(rows, _same(), "left_semi")
     near = near.dropDuplicates(["doc_id", "row", "text"]).select("doc_id", "row", words(F.col("text")).alias("w"))
     checked = hits.join(items, "item").join(near, _same()).where(_overlaps(F.col("w"), F.col("v"), F.col("offset")))
     found = checked.groupBy("d", "r").agg(F.count_distinct("item").alias("n_items"), F.min("item_id").alias("first_item"))
@@ -101,6 +102,6 @@ def benchmark_overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that :func:`benchmark_overlaps` does not find contaminated, all columns as they were."""
-    found = _found(_rows(docs), items)
+    found = _found(_rows(docs), items).select("d", "r")
     same = docs["doc_id"].eqNullSafe(found["d"]) & (F.xxhash64(docs["doc_id"], docs["text"].cast("string")) == found["r"])
-    return docs.join(found, same, "left_anti")
+    return docs.join(if_small(found, 24), same, "left_anti")
