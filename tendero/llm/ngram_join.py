@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tendero.llm.components import components
-from tendero.llm.tables import written
+from tendero.llm.tables import if_small, written
 from tendero.llm.words import seeded, shingle_set, slices
 
 ORDERS = 3
@@ -96,16 +96,19 @@ def _prefixes(size: int, percent: int, levels) -> Callable:
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         busy = np.frombuffer(levels.value, np.uint8)
         for batch in slices(batches):
-            counts, alone, classes, first = [], [], [], []
+            counts, alone, classes, prefixes = [], [], [], [[] for _ in range(ORDERS)]
             for text in batch.column(1).to_pylist():
                 own = shingle_set(text, size)
                 counts.append(len(own))
                 alone.append(int((busy[(own >> _SHIFT).astype(np.int64)] == 0).sum()))
                 classes.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
-                first.append(_prefix(own, busy, 0, percent).view(np.int64))
+                for order, made in enumerate(prefixes):
+                    first = _prefix(own, busy, order, percent)
+                    made.append(first.astype(np.uint32).view(np.int32) if order else first.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(alone, pa.int64()), pa.array(classes, pa.binary()), pa.array(first, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "alone", "class", "prefix"])
+                [batch.column(0), pa.array(counts, pa.int64()), pa.array(alone, pa.int64()), pa.array(classes, pa.binary()),
+                 *(pa.array(made, pa.list_(pa.int32() if order else pa.int64())) for order, made in enumerate(prefixes))],
+                names=["doc_id", "n", "alone", "class", *(f"p{k}" for k in range(ORDERS))])
 
     return describe
 
@@ -137,14 +140,26 @@ def _compare(percent: int, levels) -> Callable:
     return compare
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int, levels) -> DataFrame:
-    """``a, b, linked`` for pairs that share a prefix under the first order.
+def _ends(pairs: DataFrame) -> DataFrame:
+    """The documents of some pairs, to pick their rows where they lie."""
+    return if_small(written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "members"), 16)
 
-    The other orders are tried on a pair before its sets are compared.
+
+def _verified(pairs: DataFrame, described: DataFrame, texts: DataFrame, size: int, percent: int, levels) -> DataFrame:
+    """``a, b, linked`` for those of the pairs, which share a prefix under the first order, that pass the others.
+
+    Half of each hash is enough to intersect the other orders' prefixes; what passes is tried
+    by whole hashes before its sets are compared.
     """
-    pairs = written(pairs, "candidates")
-    ids = written(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id"), "members")
-    sets = texts.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(size), "doc_id long, items binary")
+    pairs = written(pairs, "pairs")
+    others = [f"p{k}" for k in range(1, ORDERS)]
+    near = described.join(_ends(pairs), "doc_id", "left_semi")
+    side = lambda end: near.select(F.col("doc_id").alias(end), *(F.col(p).alias(f"{p}_{end}") for p in others))
+    tried = pairs.join(side("a"), "a").join(side("b"), "b")
+    for p in others:
+        tried = tried.where(F.arrays_overlap(f"{p}_a", f"{p}_b"))
+    pairs = written(tried.select("a", "b").distinct(), "candidates")
+    sets = texts.join(_ends(pairs), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(size), "doc_id long, items binary")
     sets = written(sets, "sets")
     paired = (pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("items_a")), "a")
               .join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("items_b")), "b")
@@ -169,14 +184,15 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     levels = spark.sparkContext.broadcast(shingle_levels(texts, size).tobytes())
-    described = written(texts.mapInArrow(_prefixes(size, percent, levels), "doc_id long, n long, alone long, class binary, prefix array<long>"), "prefixes")
+    schema = "doc_id long, n long, alone long, class binary, p0 array<long>, " + ", ".join(f"p{k} array<int>" for k in range(1, ORDERS))
+    described = written(texts.mapInArrow(_prefixes(size, percent, levels), schema), "prefixes")
     classes = described.where("n > 0 AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("rep"))
     members = written(described.select("doc_id", "n", "class").join(classes, "class", "left"), "classes")
     reps = written(members.where("doc_id = rep").select("doc_id").distinct(), "reps")
 
     # shingles no other document has are shared with none, which bounds what a pair can share
-    postings = described.where("n > 0").select("doc_id", "n", (F.col("n") - F.col("alone")).alias("m"), F.explode("prefix").alias("token"))
-    postings = postings.join(reps, "doc_id", "left_semi").withColumnRenamed("doc_id", "rep")
+    postings = described.where("n > 0").select("doc_id", "n", "alone", "p0").join(if_small(reps, 16), "doc_id", "left_semi")
+    postings = postings.select(F.col("doc_id").alias("rep"), "n", (F.col("n") - F.col("alone")).alias("m"), F.explode("p0").alias("token"))
     lists = postings.groupBy("token").agg(F.min(F.struct(F.expr("n - m").alias("alone"), F.col("rep").alias("a"), "n", "m")).alias("lead"), F.count("*").alias("k")).where("k > 1")
     postings = written(postings.join(lists.select("token", "lead"), "token"), "postings")
 
@@ -185,7 +201,7 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
         return 100 * most >= percent * (F.col(n_a) + F.col(n_b) - most)
 
     stars = postings.where((F.col("rep") != F.col("lead.a")) & near("n", "m", "lead.n", "lead.m")).groupBy("rep").agg(F.min("lead").alias("lead"))
-    first = _verified(stars.select(F.col("lead.a").alias("a"), F.col("rep").alias("b")), texts, size, percent, levels)
+    first = _verified(stars.select(F.col("lead.a").alias("a"), F.col("rep").alias("b")), described, texts, size, percent, levels)
     links = first.where("linked").select("a", "b")
     known = components(links, "a", "b")
 
@@ -200,7 +216,7 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
         & ((F.col("component") == F.col("main")) | (F.col("rep") > F.col("x"))))
     across = across.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
     across = across.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    second = _verified(across, texts, size, percent, levels)
+    second = _verified(across, described, texts, size, percent, levels)
     known = components(links.union(second.where("linked").select("a", "b")), "a", "b")
 
     placed = members.join(known.withColumnRenamed("node", "rep"), "rep", "left")
@@ -216,4 +232,4 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """
     found = ngram_components(docs, size, percent)
     first = written(found.where("doc_id = component_id").select("doc_id").distinct(), "first")
-    return docs.join(first, docs["doc_id"].cast("long") == first["doc_id"], "left_semi").unionByName(docs.where(docs["doc_id"].isNull()))
+    return docs.join(if_small(first, 16), docs["doc_id"].cast("long") == first["doc_id"], "left_semi").unionByName(docs.where(docs["doc_id"].isNull()))
