@@ -27,6 +27,8 @@ from tendero.llm.words import seeded, shingle_set, slices
 ORDERS = 3
 COUNTER_BITS = 22
 BLOCK = 4096
+#: Shingles of texts that a task holds before it counts them.
+WAITING = 1 << 18
 
 _SHIFT = np.uint64(64 - COUNTER_BITS)
 
@@ -45,15 +47,20 @@ def _unpacked(raw: bytes) -> np.ndarray:
 def _count_shingles(size: int) -> Callable:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, waiting, held = np.zeros(1 << COUNTER_BITS, np.int64), [], 0
+
+        def add() -> None:
+            slots, counts = np.unique(np.concatenate(waiting), return_counts=True)
+            table[slots] += counts
+
         for batch in slices(batches):
             for text in batch.column(0).to_pylist():
-                waiting.append((shingle_set(text, size) >> _SHIFT).astype(np.int64))
+                waiting.append((shingle_set(text, size) >> _SHIFT).astype(np.int32))
                 held += len(waiting[-1])
-            if held > 1 << COUNTER_BITS:
-                table += np.bincount(np.concatenate(waiting), minlength=len(table))
-                waiting, held = [], 0
+                if held > WAITING:
+                    add()
+                    waiting, held = [], 0
         if held:
-            table += np.bincount(np.concatenate(waiting), minlength=len(table))
+            add()
         parts = table.reshape(-1, BLOCK)
         used = np.flatnonzero(parts.any(axis=1))
         for some in np.array_split(used, max(1, len(used) // 128)):

@@ -28,7 +28,7 @@ WORD_ODDS, STEM_ODDS = 2.5, 3.5
 #: Letters from which a term may be misspelled by one edit.
 FUZZY_LENGTH = 5
 WINDOW = 5
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 PUNCTUATION = ".,;:!?\"'()[]{}«»„“”‚‘’…*_-–—"
 _OPEN, _CLOSE = "\"'«„“‚‘»", "\"'»“”‘’«"

@@ -18,7 +18,7 @@ _MIX = np.uint64(0xD6E8FEB86659FD93)
 _HALF = np.uint64(32)
 
 #: Bytes of text handled together, so that a batch of very long texts stays small.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
