@@ -10,8 +10,11 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,52 +32,82 @@ from tendero.sources.shared import new_path
 
 END_ID = 0
 FILE_BYTES = 512 << 20
-#: Pieces of text whose ids a task remembers.
-REMEMBERED = 400_000
+#: Pieces of text whose ids a worker remembers.
+REMEMBERED = 500_000
+CLOSING = ".,;:!?"
+#: A closing mark after another mark is part of one piece with it.
+RUN = re.compile(rf"(?:[^\w\s]|_)[{CLOSING}]")
+
+
+class _Uncuttable(Exception):
+    """A piece that says nothing about where its text may be cut."""
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself where it prints, else one from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = (b for b in range(256) if b not in plain)
+    return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(rest)}
+
+
+class _Pieces(dict):
+    """Ids of pieces as bytes; an unknown piece is encoded when it is asked for, and kept while there is room."""
+
+    def __init__(self, tokenizer: Tokenizer, code: str, special: list[str]):
+        super().__init__()
+        self.tokenizer, self.model, self.code, self.special = tokenizer, tokenizer.model, code, special
+        self.letters = _byte_letters()
+
+    def __missing__(self, piece: str) -> bytes:
+        word = piece[1:] if piece[:1] == " " else piece
+        if word.isalpha() and max(word) < "\u0530":
+            ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+        elif piece != "\n" and (not word or word[0].isspace() or word[-1].isspace()) or any(s in piece for s in self.special):
+            raise _Uncuttable
+        else:
+            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        made = array(self.code, ids).tobytes()
+        if len(self) < REMEMBERED:
+            self[piece] = made
+        return made
 
 
 class Encoder:
     """Ids of whole texts as bytes, by the tokenizers library.
 
     Byte-level pre-tokenisation always starts a new piece at a single space between two characters that
-    are no space. So a text is cut there, and each piece is encoded once and
-    remembered. A text with other space around a cut, or with the name of a special token, is encoded whole.
+    are no space, makes a piece of a line feed between two such, and parts closing punctuation from a letter
+    or number before it. So a text is cut there, and each piece is encoded once and remembered.
+    A text with other space around a cut, or with the name of a special token, is encoded whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker for each core
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        pre = json.loads(self.tokenizer.to_str())
-        self.cuts = (pre.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and pre["pre_tokenizer"].get("use_regex", True) and not pre["pre_tokenizer"].get("add_prefix_space") and not pre.get("normalizer") and not pre.get("post_processor")
-        self.special = [x["content"] for x in pre.get("added_tokens", [])]
-        self.known: dict[str, bytes | None] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.cuts:
-            return self._encode(texts)
-        pieces = [text.split(" ") for text in texts]
-        pieces = [[x[0], *[" " + y for y in x[1:]]] for x in pieces]
-        known = self.known
-        missing = list({y for x in pieces for y in x if y not in known})
-        whole = {y for y in missing if not y.strip() or y.removeprefix(" ")[:1].isspace() or y[-1].isspace() or any(s in y for s in self.special)}
-        plain = [y for y in missing if y not in whole]
-        more = dict(zip(plain, self._encode(plain), strict=True))
-        if len(known) + len(more) > REMEMBERED:
-            look = known | more
-        else:
-            known.update(more)
-            look = known
-        made: list[bytes | None] = []
-        for x in pieces:
-            made.append(None if whole and not whole.isdisjoint(x) else b"".join(map(look.__getitem__, x)))
-        left = [i for i, x in enumerate(made) if x is None]
-        for i, x in zip(left, self._encode([texts[i] for i in left]), strict=True):
-            made[i] = x
-        return made
+        small = self.tokenizer.get_vocab_size() <= 1 << 16
+        self.kind, self.code = ("<u2", "H") if small else ("<u4", "I")
+        known = json.loads(self.tokenizer.to_str())
+        before = known.get("pre_tokenizer") or {}
+        special = [x["content"] for x in known.get("added_tokens", [])]
+        self.cuts = (before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+                     and not known.get("normalizer") and not known.get("post_processor")
+                     and not any(s.strip().isalpha() for s in special) and sys.byteorder == "little")
+        self.pieces = _Pieces(self.tokenizer, self.code, special)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def encode(self, text: str) -> bytes:
+        if not self.cuts or "\0" in text:
+            return self._whole(text)
+        cut = text.replace(" ", "\0 ").replace("\n", "\0\n\0")
+        if not RUN.search(text):
+            for mark in CLOSING:
+                cut = cut.replace(mark, "\0" + mark)
+        try:
+            return b"".join(map(self.pieces.__getitem__, cut.split("\0")))
+        except _Uncuttable:
+            return self._whole(text)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -148,8 +181,8 @@ def _write(folder: str, tokenizer: str) -> Callable:
         end = np.array([END_ID], encode.kind).tobytes()
         files, out = [], None
         for batch in slices(batches):
-            texts = [text or "" for text in batch.column(1).to_pylist()]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode.encode(texts), strict=True):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = encode.encode(text or "")
                 if out and out.size + len(ids) > FILE_BYTES:
                     files.append(out.close())
                     out = None
