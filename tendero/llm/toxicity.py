@@ -17,13 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tendero.llm.tables import written
+from tendero.llm.tables import if_small, written
 from tendero.llm.words import slices
 
-#: Labelled rows of each class that lexicon and classifier are fitted on, at most.
+#: Labelled rows of each class that the classifier is fitted on, at most; the lexicon is counted in all of them.
 FIT_ROWS = 6000
 MAX_TERMS = 2000
-LEAST_WORD, LEAST_STEM, STEM_WORDS = 12, 20, 5
+#: Share of the lexicon's terms that may be there by chance, as expected.
+FALSE_SHARE = 0.1
 WORD_ODDS, STEM_ODDS = 2.5, 3.5
 #: Letters from which a term may be misspelled by one edit.
 FUZZY_LENGTH = 5
@@ -197,41 +198,87 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50)
     return w
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """``text, toxic`` of at most ``rows`` labelled rows of each class that are not held out, in an order by hash."""
+def training_rows(docs: DataFrame, labels: DataFrame, rows: int | None = None) -> DataFrame:
+    """``doc_id, text, toxic`` of labelled rows that are not held out: all, or ``rows`` of each class at most, in an order by hash."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    by_hash = lambda toxic: known.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    chosen = F.broadcast(by_hash(1).unionByName(by_hash(0)))  # two times ``rows`` at most
+    if rows is None:
+        chosen = if_small(known, 16)
+    else:
+        by_hash = lambda toxic: known.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+        chosen = F.broadcast(by_hash(1).unionByName(by_hash(0)))  # two times ``rows`` at most
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id").select("doc_id", "text", "toxic")
 
 
+def chance(t: int, c: int, toxic: int, clean: int) -> float:
+    """Probability that of ``t + c`` rows drawn from all rows ``t`` or more are toxic."""
+    choose = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+    term = math.exp(choose(toxic, t) + choose(clean, c) - choose(toxic + clean, t + c))
+    total = 0.0
+    while term > total * 1e-9:
+        total += term
+        if not c or t == toxic:
+            break
+        term *= (toxic - t) * c / ((t + 1) * (clean - c + 1))
+        t, c = t + 1, c - 1
+    return min(1.0, total)
+
+
+def significant(counts: DataFrame, candidates: DataFrame, toxic: int, clean: int) -> DataFrame:
+    """The candidates whose rows ``t`` and ``c`` of each class are not by chance, given how many others were counted.
+
+    A level is as high as it can be with ``FALSE_SHARE`` of what it admits expected by chance; only counts that
+    could reach the level in toxic rows alone add to what is expected.
+    """
+    most = 1000  # larger counts reach whatever level this one reaches
+    sizes = {r["n"]: r["words"] for r in counts.groupBy(F.least(F.col("t") + F.col("c"), F.lit(most)).alias("n")).agg(F.count("*").alias("words")).collect()}
+    least = sorted((chance(min(n, toxic), n - min(n, toxic), toxic, clean), words) for n, words in sizes.items() if n <= toxic + clean)
+    pairs = candidates.groupBy("t", "c").agg(F.count("*").alias("words")).collect()  # distinct pairs of counts
+    found = sorted((chance(r["t"], r["c"], toxic, clean), r["t"], r["c"], r["words"]) for r in pairs)
+    level, admitted = -1.0, 0
+    for p, _, _, words in found:
+        admitted += words
+        if p * sum(w for q, w in least if q <= p) <= FALSE_SHARE * admitted:
+            level = p
+    kept = [(t, c) for p, t, c, _ in found if p <= level]
+    return candidates.join(F.broadcast(candidates.sparkSession.createDataFrame(kept, "t long, c long")), ["t", "c"])
+
+
 def held_out(doc_id):
     """Whether the row is kept from training; a null id is not, but has no label either."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model | None:
-    """Lexicon and classifier; None where a class has no rows."""
-    rows_ = written(training_rows(docs, labels, rows), "labelled").repartition(16, "doc_id")
-    counts = rows_.groupBy("toxic").count().collect()  # two rows
-    totals = {r["toxic"]: r["count"] for r in counts}
-    if not totals.get(0) or not totals.get(1):
-        return None
-    odds = F.log((F.col("t") + 0.5) / (totals[1] + 1)) - F.log((F.col("c") + 0.5) / (totals[0] + 1))
+    """Lexicon and classifier; None where a class has no rows or no term tells the classes apart."""
     cut = F.regexp_replace(F.lower("text"), r"[\s" + "".join("\\" + x for x in PUNCTUATION) + "]+", " ")
-    words = rows_.select("toxic", F.explode(F.array_distinct(F.split(cut, " "))).alias("word")).where("word != ''")
-    words = written(words.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")), "word-counts")
+    every = training_rows(docs, labels)
+    words = every.select("toxic", F.explode(F.concat(F.array(F.lit("")), F.array_distinct(F.filter(F.split(cut, " "), lambda w: w != "")))).alias("word"))
+    words = written(words.where("word IS NOT NULL").groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")), "word-counts")
+    totals = words.where("word = ''").first()  # every text has this one
+    if not totals or not totals["t"] or not totals["c"]:
+        return None
+    toxic, clean_ = totals["t"], totals["c"]
+    odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean_ + 1))
+    words = words.where("word != ''")
     best = lambda df, name: df.orderBy(F.desc("odds"), name).limit(MAX_TERMS).collect()
-    terms = best(words.withColumn("odds", odds).where((F.col("t") >= LEAST_WORD) & (F.col("odds") >= WORD_ODDS) & (F.length("word") >= 3)), "word")
+    long = words.where(F.length("word") >= 3)
+    terms = best(significant(long, long.withColumn("odds", odds).where(F.col("odds") >= WORD_ODDS), toxic, clean_), "word")
     starts = words.select("t", "c", F.explode(F.transform(F.sequence(F.lit(4), F.lit(6)), lambda k: F.when(F.length("word") > k, F.left("word", k)))).alias("stem"))
-    starts = starts.where("stem IS NOT NULL").groupBy("stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.sum((F.col("t") > 0).cast("int")).alias("n"))
-    starts = best(starts.withColumn("odds", odds).where((F.col("t") >= LEAST_STEM) & (F.col("n") >= STEM_WORDS) & (F.col("odds") >= STEM_ODDS)), "stem")
+    starts = starts.where("stem IS NOT NULL").groupBy("stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.max(F.struct("t", "c")).alias("top"))
+    # a stem needs evidence besides that of its most frequent word
+    starts = starts.withColumn("odds", odds).select(
+        "stem", "odds", F.least(F.col("t") - F.col("top.t"), F.lit(toxic)).alias("t"), F.least(F.col("c") - F.col("top.c"), F.lit(clean_)).alias("c"))
+    starts = starts.where("t + c > 0")
+    starts = best(significant(starts, starts.where(F.col("odds") >= STEM_ODDS), toxic, clean_), "stem")
     stems: dict[str, float] = {}
     for r in sorted(starts, key=lambda r: (len(r["stem"]), r["stem"])):
         if not any(r["stem"].startswith(s) for s in stems):
             stems[r["stem"]] = r["odds"]
-    model = Model({r["word"]: r["odds"] for r in terms if not any(r["word"].startswith(s) for s in stems)}, stems, [])
+    model = Model({r["word"]: r["odds"] for r in terms}, stems, [])
+    if not model.terms and not model.stems:
+        return None
+    rows_ = written(training_rows(docs, labels, rows), "labelled").repartition(16, "doc_id")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

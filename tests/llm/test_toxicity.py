@@ -2,11 +2,13 @@
 
 import random
 import zlib
+from math import comb
 
 import pytest
 from cases import documents
 
-from tendero.llm.toxicity import Matcher, Model, clean, context, fit, scored
+from corpus_pipeline import STAGES
+from tendero.llm.toxicity import Matcher, Model, chance, clean, context, fit, scored
 
 
 def distance(a, b):
@@ -91,3 +93,38 @@ def test_empty_and_odd_texts_score_alike(docs):
     model = Model({"idiot": 3.0}, {}, [1.0, 1.0, 1.0, 1.0, -3.0])
     rows = [r for r in scored(docs, model).collect() if r["doc_id"] in (8, 9, 10, 16)]
     assert len(rows) == 4 and len({r["score"] for r in rows}) == 1
+
+
+def few(spark, toxic_word):
+    """200 documents, 12 of them labelled toxic and of those not held out fewer than 12."""
+    pick = random.Random(8)
+    rows, labels = [], []
+    for i in range(200):
+        text = [f"v{pick.randrange(400)}" for _ in range(40)]
+        if i % 16 == 5:
+            text[pick.randrange(40)] = toxic_word or text[0]
+        rows.append((i, " ".join(text)))
+        labels.append((i, 1, int(i % 16 == 5)))
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_few_toxic_rows_are_enough(spark, tmp_path):
+    docs, labels = few(spark, "blockhead")
+    model = fit(docs, labels)
+    assert "blockhead" in model.terms and "v1" not in model.terms
+    wanted = {i for i in range(200) if i % 16 == 5}
+    assert {r["doc_id"] for r in scored(docs, model).where("predicted = 1").collect()} == wanted
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    kept = dict(STAGES)["toxicity"](spark, docs, str(tmp_path))
+    assert {r["doc_id"] for r in kept.collect()} == set(range(200)) - wanted
+
+
+def test_labels_without_a_telling_word_reject_nothing(spark):
+    docs, labels = few(spark, None)
+    model = fit(docs, labels)
+    assert model is None and clean(docs, model).count() == 200 and {r["predicted"] for r in scored(docs, model).collect()} == {0}
+
+
+def test_chance_is_the_share_of_draws():
+    assert chance(3, 1, 5, 7) == pytest.approx((comb(5, 3) * comb(7, 1) + comb(5, 4)) / comb(12, 4))
+    assert chance(0, 4, 5, 7) == pytest.approx(1)
