@@ -9,6 +9,9 @@ reporting it counts less, close to another match more.
 from __future__ import annotations
 
 import math
+import re
+import sys
+import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -33,6 +36,25 @@ REMEMBERED = 100_000
 
 PUNCTUATION = ".,;:!?\"'()[]{}«»„“”‚‘’…*_-–—"
 _OPEN, _CLOSE = "\"'«„“‚‘»", "\"'»“”‘’«"
+
+
+def _letters() -> list[tuple[int, int]]:
+    """Ranges of the characters that are letters, digits or marks."""
+    ranges: list[tuple[int, int]] = []
+    for code in range(sys.maxunicode + 1):
+        if unicodedata.category(chr(code))[0] in "LNM":
+            if ranges and ranges[-1][1] == code - 1:
+                ranges[-1] = (ranges[-1][0], code)
+            else:
+                ranges.append((code, code))
+    return ranges
+
+
+_LETTERS = _letters()
+#: Runs of other characters cut words, in learning (the form Java reads) and in matching alike.
+CUT_JAVA = "[^" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in _LETTERS) + "]+"
+CUT = re.compile("[^" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in _LETTERS) + "]+")
+
 #: Words that report what others say, in the corpus languages.
 REPORTING = frozenset((
     "said", "says", "called", "wrote", "writes", "quoted", "quote", "word", "term", "meaning",
@@ -125,7 +147,11 @@ class Model:
     matcher: Matcher | None = None
 
     def matches(self, text: str | None) -> tuple[list[tuple[int, tuple[str, float, int]]], list[str]]:
-        """Place and match of every word that matches, and all words."""
+        """Place and match of every word that matches, and all words.
+
+        A word between spaces is cut like those of the lexicon; if no piece matches it is tried as a whole, so that
+        a sign in place of a letter is one edit.
+        """
         if self.matcher is None:
             self.matcher = Matcher(self.terms, self.stems)
         words, known, matcher = (text or "").lower().split(), self.known, self.matcher
@@ -134,12 +160,16 @@ class Model:
             if word in known:
                 found = known[word]
             else:
-                found = matcher.match(word.strip(PUNCTUATION))
+                pieces = [p for p in CUT.split(word) if p]
+                found = [m for m in map(matcher.match, pieces) if m]
+                if not found and len(pieces) > 1:
+                    inner = word[word.index(pieces[0]):word.rindex(pieces[-1]) + len(pieces[-1])]
+                    found = [m for m in [matcher.match(inner)] if m]
                 if len(known) < REMEMBERED:
                     known[word] = found
             if found:
                 hits[word] = found
-        return ([(i, hits[w]) for i, w in enumerate(words) if w in hits] if hits else []), words
+        return ([(i, m) for i, w in enumerate(words) for m in hits.get(w, ())] if hits else []), words
 
     def features(self, text: str | None) -> np.ndarray:
         """Of a whole text: matches as spelled and misspelled, by context, their share, and the heaviest."""
@@ -251,7 +281,7 @@ def held_out(doc_id):
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model | None:
     """Lexicon and classifier; None where a class has no rows or no term tells the classes apart."""
-    cut = F.regexp_replace(F.lower("text"), r"[\s" + "".join("\\" + x for x in PUNCTUATION) + "]+", " ")
+    cut = F.regexp_replace(F.lower("text"), CUT_JAVA, " ")
     every = training_rows(docs, labels)
     words = every.select("toxic", F.explode(F.concat(F.array(F.lit("")), F.array_distinct(F.filter(F.split(cut, " "), lambda w: w != "")))).alias("word"))
     words = written(words.where("word IS NOT NULL").groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")), "word-counts")

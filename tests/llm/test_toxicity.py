@@ -6,9 +6,10 @@ from math import comb
 
 import pytest
 from cases import documents
+from pyspark.sql import functions as F
 
 from corpus_pipeline import STAGES
-from tendero.llm.toxicity import Matcher, Model, chance, clean, context, fit, scored
+from tendero.llm.toxicity import CUT, CUT_JAVA, Matcher, Model, chance, clean, context, fit, scored
 
 
 def distance(a, b):
@@ -128,3 +129,14 @@ def test_labels_without_a_telling_word_reject_nothing(spark):
 def test_chance_is_the_share_of_draws():
     assert chance(3, 1, 5, 7) == pytest.approx((comb(5, 3) * comb(7, 1) + comb(5, 4)) / comb(12, 4))
     assert chance(0, 4, 5, 7) == pytest.approx(1)
+
+
+def test_words_are_cut_alike_in_learning_and_matching(spark):
+    signs = [chr(k) for k in range(0x2FFFF) if not 0xD800 <= k < 0xE000]
+    text = "a" + "a".join(signs)
+    cut = spark.createDataFrame([(text,)], "text string").select(F.split(F.regexp_replace("text", CUT_JAVA, " "), " ")).first()[0]
+    assert cut == CUT.split(text)
+    model = Model({"idiot": 3.0, "scum": 2.0, "blockhead": 4.0}, {}, [1.0, 1.0, 1.0, 1.0, -3.0])
+    for word, terms in (("idiot###", ["idiot"]), ("$$Scum&&&", ["scum"]), ("x-scum", ["scum"]), ("idiot,blockhead", ["idiot", "blockhead"]),
+                        ("block#ead", ["blockhead"]), ("id#ot!", ["idiot"]), ("###", []), ("scu#m", [])):
+        assert [m[0] for _, m in model.matches(f"you {word} there")[0]] == terms, word
