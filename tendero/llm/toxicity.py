@@ -51,8 +51,10 @@ def _letters() -> list[tuple[int, int]]:
 
 
 _LETTERS = _letters()
-#: Runs of other characters cut words, in learning (the form Java reads) and in matching alike.
-CUT_JAVA = "[^" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in _LETTERS) + "]+"
+#: Runs of other characters cut words, in learning and in matching alike. Java takes one character at a time and
+#: tells the common ones apart first, as it tries the ranges one by one.
+CUT_JAVA = (r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]|(?![\x00-\x7F\xC0-\xD6\xD8-\xF6\xF8-\x{17F}])[^"
+            + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in _LETTERS) + "]")
 CUT = re.compile("[^" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in _LETTERS) + "]+")
 
 #: Words that report what others say, in the corpus languages.
