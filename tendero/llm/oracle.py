@@ -87,6 +87,60 @@ hit AS (SELECT doc_id, item, min(item_id) AS item_id FROM same
 n AS (SELECT doc_id, count(*) AS n_items, min(item_id) AS first_item FROM hit GROUP BY doc_id)
 SELECT w.doc_id, n.doc_id IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, first_item FROM w LEFT JOIN n ON n.doc_id = w.doc_id"""
 
+# CRC-32 bit by bit, over the digits of a number
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], [ascii(x)::BIGINT FOR x IN string_split({}::VARCHAR, '')]), lambda c, b:
+  list_reduce(list_concat([xor(c, b)], [0::BIGINT FOR z IN range(8)]), lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295)"""
+
+TRIE = f"""
+WITH t AS (SELECT conv_id, list(struct_pack(r := coalesce(role, ''), x := coalesce(text, '')) ORDER BY turn NULLS FIRST,
+             md5(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) AS ts FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+r AS (SELECT t.conv_id, list_concat(coalesce(b.ts, [])[1:t.h], t.ts[t.h + 1:]) AS ts FROM (SELECT *, {_CRC.format('conv_id')} % 9 AS h FROM t) t LEFT JOIN t b ON b.conv_id = t.conv_id - t.conv_id % 5),
+p AS (SELECT conv_id, d AS depth, md5(ts[1:d]::VARCHAR) AS key, ts[1:d] AS pre, len(ts) AS n FROM (SELECT *, unnest(range(0, len(ts) + 1)) AS d FROM r)),
+m AS (SELECT *, min(conv_id) OVER (PARTITION BY depth, pre) AS node FROM p),
+g AS (SELECT node, depth, count(*) AS n_convs, any_value(strlen(pre[depth].x)) AS size,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256 FROM m GROUP BY ALL),
+up AS (SELECT g.*, m.node AS parent FROM g LEFT JOIN m ON m.conv_id = g.node AND m.depth = g.depth - 1),
+kids AS (SELECT parent AS node, depth - 1 AS depth, count(*) AS k FROM up WHERE depth > 0 GROUP BY ALL),
+w AS (SELECT up.*, coalesce(k, 0) AS k FROM up LEFT JOIN kids USING (node, depth)),
+s AS (SELECT m.node, m.depth, count(*) FILTER (w.k = 0) AS n_leaves, sum((w.n_convs - 1) * coalesce(w.size, 0)) AS saved FROM w JOIN m ON m.conv_id = w.node AND m.depth <= w.depth GROUP BY ALL)
+SELECT node AS conv_id, depth::BIGINT AS depth, parent AS parent_conv_id, n_convs, k::BIGINT AS n_children, n_leaves, saved::BIGINT AS saved_tokens, ends_sha256 FROM w JOIN s USING (node, depth)"""
+
+_KEY = _FOLD.format("trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13)))")
+LINES = f"""
+WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) AS p, unnest(ls) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+k AS (SELECT *, {_KEY} AS key FROM l),
+c AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+m AS (SELECT k.doc_id, p, line, c.key IS NOT NULL AND k.doc_id IS DISTINCT FROM c.last AS gone FROM k LEFT JOIN c ON c.key = k.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id"""
+
+
+def _leaf(n_chars: str) -> str:
+    fields = [f"CASE WHEN {c} IS NULL THEN '-' ELSE concat(strlen({c}::VARCHAR), ':', {c}::VARCHAR) END" for c in ("doc_id", "source", "lang", n_chars, "text")]
+    return f"sha256(concat({', '.join(fields)}))"
+
+
+MERKLE = f"""
+WITH RECURSIVE a AS (SELECT doc_id, lang, {_leaf('n_chars')} AS leaf, CASE WHEN {_CRC.format('doc_id')} % 7 = 0 THEN {_leaf('(n_chars + 1)')} ELSE {_leaf('n_chars')} END AS claimed FROM documents),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM a),
+up AS (SELECT 0 AS level, tree, pos, n, leaf AS digest FROM b
+  UNION ALL SELECT level + 1, tree, pos // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY pos)) FROM up WHERE n > 1 GROUP BY level, tree, pos // 2, n),
+subs AS (SELECT tree, digest FROM up WHERE n = 1),
+over AS (SELECT 0 AS level, tree AS pos, (SELECT count(*) FROM subs) AS n, digest FROM subs
+  UNION ALL SELECT level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY pos)) FROM over WHERE n > 1 GROUP BY level, pos // 2, n),
+low AS (SELECT tree, max(level) AS height FROM up GROUP BY tree),
+nodes AS (SELECT level, tree, pos, n, digest FROM up WHERE n > 1 UNION ALL SELECT over.level + low.height, tree, over.pos, over.n, digest FROM over, low WHERE over.n > 1),
+heights AS (SELECT tree, height, height + (SELECT max(level) FROM over) AS top FROM low),
+step AS (SELECT doc_id, leaf, claimed, b.tree, b.level, nodes.digest AS sibling, spot, pos2 FROM (
+    SELECT doc_id, leaf, claimed, tree, height, unnest(range(top)) AS level, pos FROM b JOIN heights USING (tree)) b,
+  LATERAL (SELECT CASE WHEN b.level < b.height THEN b.pos >> b.level ELSE b.tree >> (b.level - b.height) END AS spot) x,
+  LATERAL (SELECT xor(spot, 1) AS pos2) y LEFT JOIN nodes ON nodes.tree = b.tree AND nodes.level = b.level AND nodes.pos = pos2),
+way AS (SELECT doc_id, leaf, claimed, tree, list(struct_pack(s := sibling, lefts := spot > pos2) ORDER BY level) AS steps, sha256(coalesce(string_agg(sibling, '' ORDER BY level), '')) AS proof FROM step GROUP BY ALL),
+walk AS (SELECT b.doc_id, b.leaf, b.claimed, b.tree, coalesce(steps, []) AS steps, coalesce(proof, sha256('')) AS proof FROM b LEFT JOIN way ON way.doc_id = b.doc_id AND way.leaf = b.leaf),
+fold AS (SELECT doc_id, leaf, tree, steps, proof, 1 AS k, claimed AS digest FROM walk
+  UNION ALL SELECT doc_id, leaf, tree, steps, proof, k + 1, sha256(CASE WHEN steps[k].s IS NULL THEN digest WHEN steps[k].lefts THEN concat(steps[k].s, digest) ELSE concat(digest, steps[k].s) END) FROM fold WHERE k <= len(steps))
+SELECT doc_id, leaf, subs.digest AS subroot, root.digest AS root, proof AS proof_sha256, fold.digest AS folded_root, fold.digest = root.digest AS verified
+FROM fold JOIN subs USING (tree), (SELECT digest FROM over WHERE n = 1) root WHERE k = len(steps) + 1"""
+
 ORACLE = {
     "op1_ngram_jaccard_join": NGRAM_JOIN,
     "op2_warc_capture_index": WARC,
@@ -94,4 +148,7 @@ ORACLE = {
     "op4_embedding_near_dedup": EMBEDDING,
     "op5_url_filter": URL_FILTER,
     "op9_benchmark_decontamination": DECONTAMINATION,
+    "op11_conversation_prefix_trie": TRIE,
+    "op12_line_dedup": LINES,
+    "op13_merkle_manifest": MERKLE,
 }
