@@ -42,11 +42,7 @@ EVENT_BRANCHES = ("hiper", "sabin", "corrientes")
 MONTH_ABBR = ("ene", "feb", "mar", "abr", "may", "jun",
               "jul", "ago", "sep", "oct", "nov", "dic")
 
-# ---- fixed values: words a read-only statement may not contain --------------
-FORBIDDEN_SQL_WORDS = ("drop", "delete", "truncate", "update", "insert",
-                       "alter", "create", "grant", "revoke", "exec")
-
-# words that reach past the tables of a statement
+# ---- fixed values: functions that reach past the tables of a statement -------
 FORBIDDEN_CALLS = ("reflect", "try_reflect", "java_method")
 
 # ---- fixed values: how pack sizes are spelled in item descriptions ----------

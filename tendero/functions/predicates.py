@@ -66,18 +66,9 @@ def in_branches_exact(column: str | Column, branches: Sequence[str]) -> Column:
 
 # ---- dates -----------------------------------------------------------------
 
-NEWEST = "newest"
-
-
-def with_newest(tickets: DataFrame, day: dt.date) -> DataFrame:
-    """Note the newest sale date on the column, so that reports need not look for it."""
-    return tickets.withMetadata("sale_date", {NEWEST: str(day)})
-
-
 def last_date(tickets: DataFrame) -> Column:
-    """Date of the newest sale line: the one noted on the column, else a scalar subquery over all lines."""
-    noted = tickets.schema["sale_date"].metadata.get(NEWEST)
-    return as_date(noted) if noted else tickets.agg(F.max("sale_date")).scalar()
+    """Date of the newest sale line of these rows, as a scalar subquery. A mart knows that of all its lines: ``Mart.newest``."""
+    return tickets.agg(F.max("sale_date")).scalar()
 
 
 def resolve_as_of(tickets: DataFrame, as_of: DateLike | None) -> Column:

@@ -75,14 +75,15 @@ def family_margin_leaders(
     n: int | None = 8,
     branches: Sequence[str] = K.SALE_BRANCHES,
     days: int = 30,
+    as_of: P.DateLike | None = None,
 ) -> DataFrame:
     """The family with the best mean margin and its best-selling items.
 
     Only families and items above their sales threshold take part. Without a period the
-    report covers the newest sale date and the ``days`` days before it.
+    report covers the day it is for and the ``days`` days before it.
     """
     if period is None:
-        end = P.last_date(tickets)
+        end = P.resolve_as_of(tickets, as_of)
         when = P.in_period(tickets, F.date_sub(end, days))
     else:
         when = P.in_period(tickets, *period)

@@ -91,9 +91,9 @@ def trend_items(
     )
 
 
-def trend_range(tickets: DataFrame, days: int = 7) -> DataFrame:
+def trend_range(tickets: DataFrame, days: int = 7, as_of: P.DateLike | None = None) -> DataFrame:
     """First and last day of the trend window, with short labels."""
-    span = tickets.sparkSession.range(1).select(P.last_date(tickets).alias("date_to"))
+    span = tickets.sparkSession.range(1).select(P.resolve_as_of(tickets, as_of).alias("date_to"))
     start = F.date_sub("date_to", days - 1)
     return span.select(
         start.alias("date_from"), "date_to",

@@ -32,12 +32,12 @@ def filter_of(tags: Row) -> SalesFilter:
 def _trend(m: Mart, f: SalesFilter, tags: Row, day: Column) -> DataFrame:
     text = fold_word(tags["text"])
     wanted = K.TREND_DOWN if any(word in text for word in FALLING) else K.TREND_UP
-    return trend.trend_items(m.tickets, m.alerts, wanted, f.branches[0] if f.branches else None)
+    return trend.trend_items(m.tickets, m.alerts, wanted, f.branches[0] if f.branches else None, as_of=day)
 
 
 def _leaders(m: Mart, f: SalesFilter, tags: Row, day: Column) -> DataFrame:
     period = (f.date_from, f.date_to) if f.date_from or f.date_to else None
-    return sales.family_margin_leaders(m.tickets, period)
+    return sales.family_margin_leaders(m.tickets, period, as_of=day)
 
 
 REPORTS: dict[str, Callable[[Mart, SalesFilter, Row, Column], DataFrame]] = {
@@ -74,7 +74,7 @@ def answer(
     The question is tagged by the expressions used for whole tables, as a table of one row. Where
     a report has no rows, the next rule that holds is tried; if all are empty, the first is returned.
     """
-    day = P.resolve_as_of(mart.tickets, as_of)
+    day = P.resolve_as_of(mart.tickets, as_of or mart.newest)
     one = mart.tickets.sparkSession.createDataFrame([(question,)], "text string")
     tags = all_routes(tag_texts(one, "text", dictionary, day), "text").first()
     reports = [(name, REPORTS[name](mart, filter_of(tags), tags, day)) for name in tags["routes"]]

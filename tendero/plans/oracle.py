@@ -172,6 +172,9 @@ put("adhoc_select", """
     SELECT subfamily, count(*) AS items, CAST(sum(stk_total) AS BIGINT) AS stock, max(days_cover) AS max_cover
     FROM alerts WHERE family = 'PROMO' AND days_cover <= 30 GROUP BY subfamily ORDER BY subfamily""",
     "alerts")
+put("adhoc_select_scoped", """
+    SELECT 'update' AS word, CAST(days AS INT) AS days, count(item_key) AS items, CAST(sum(stk_total) AS BIGINT) AS stock
+    FROM range(31) r(days) LEFT JOIN alerts ON family = 'PROMO' AND days_cover = days GROUP BY days""", "alerts")
 put("detail_export", """
     SELECT description, trim(supplier) AS supplier, days_cover, to_order, budget FROM alerts
     WHERE budget > 0 ORDER BY budget DESC, item_key""", "alerts")
@@ -313,6 +316,7 @@ def _kpis(day: str) -> str:
 
 
 put("month_kpis", _kpis(LAST_DAY), "tickets", "alerts")
+put("appended_month_kpis", _kpis(LAST_DAY), "tickets", "alerts")
 put("month_over_month", f"""
     WITH k AS ({_kpis("DATE '2001-10-15'")})
     SELECT *,
@@ -336,6 +340,10 @@ put("monthly_profit_pivot", f"""
            max(profit_m) FILTER (WHERE year = 2001) AS profit_m_2001
     FROM ({_MONTHLY}) GROUP BY month""", "tickets")
 put("last_data_date", "SELECT max(sale_date) AS last_date FROM tickets", "tickets")
+put("last_data_date_filtered", f"SELECT max(sale_date) AS last_date FROM tickets WHERE sale_date <= DATE '{X.CUT_DATE}'", "tickets")
+put("version_lines", f"""
+    SELECT 1 AS version, max(sale_date) AS newest, count(*) AS lines FROM tickets WHERE sale_date <= DATE '{X.CUT_DATE}'
+    UNION ALL SELECT v, max(sale_date), count(*) FROM tickets, (VALUES (2), (3)) t(v) GROUP BY v""", "tickets")
 put("category_branch_month", f"""
     SELECT branch, {mil('SUM(price_total)', 2)} AS sales_m, {tot('quantity', 0)} AS units
     FROM tickets WHERE lower(subfamily) LIKE '%brand#2%'
@@ -573,12 +581,14 @@ _TREND_ROWS = f"""{{}} SELECT item_id, branch, points, {fx('units', 0)} AS units
     {fx('slope', 2)} AS slope, trend FROM trend"""
 put("weekly_trend", _TREND_ROWS.format(_trend(7)), "tickets")
 put("quarterly_trend", _TREND_ROWS.format(_trend(90)), "tickets")
-put("trend_summary", f"""{_trend(90)},
+_TREND_SUMMARY = f"""{_trend(90)},
     per AS (SELECT branch, trend, count(*) AS items FROM trend GROUP BY ALL),
     tot AS (SELECT branch, CAST(SUM(items) AS BIGINT) AS total_items FROM per GROUP BY branch)
     SELECT per.branch, per.trend, per.items, tot.total_items,
            CAST(round(per.items*100.0::DOUBLE/tot.total_items) AS DOUBLE) AS pct
-    FROM per JOIN tot ON per.branch = tot.branch""", "tickets")
+    FROM per JOIN tot ON per.branch = tot.branch"""
+put("trend_summary", _TREND_SUMMARY, "tickets")
+put("trend_summary_until", f"WITH cut AS (SELECT * FROM tickets WHERE sale_date <= DATE '{X.CUT_DATE}')," + _TREND_SUMMARY.strip()[4:].replace("tickets", "cut"), "tickets")
 
 
 def _detail_trend(branch: str, trend: str, n: int | None) -> str:

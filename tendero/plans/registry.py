@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -15,8 +16,9 @@ from tendero.operators import (
 from tendero.plans import samples as X
 from tendero.plans.filters import SalesFilter, keep
 from tendero.sources import sinks
-from tendero.sources.mart import Mart, nulled_values, run_select, unparsed_dates
+from tendero.sources.mart import Mart, load_mart, nulled_values, run_select, unparsed_dates, write_mart
 from tendero.sources.shared import new_path
+from tendero.sources.snapshots import append_lines, compact_lines
 from tendero.sources.star import read_table, star_mart
 from tendero.streaming import questions
 
@@ -83,6 +85,18 @@ def _select_on(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES["adhoc_select"] = _select_on
 
 
+@on_tables
+def adhoc_select_scoped(spark: SparkSession, folder: str) -> DataFrame:
+    """Names by scope, a recursive list, and words that only look like commands."""
+    return run_select(spark, """
+        -- delete nothing
+        WITH RECURSIVE steps(days) AS (SELECT 0 UNION ALL SELECT days + 1 FROM steps WHERE days < :most),
+        short AS (WITH alerts AS (SELECT * FROM alerts WHERE family = 'PROMO') SELECT * FROM alerts /* drop none */)
+        SELECT 'update' AS word, days, count(item_key) AS items, sum(stk_total) AS stock
+        FROM steps LEFT JOIN short ON short.days_cover = steps.days GROUP BY days""",
+        star_mart(spark, folder), {"most": 30})
+
+
 @on_tables
 def detail_export(spark: SparkSession, folder: str) -> DataFrame:
     """A detail report written in order as CSV and read back."""
@@ -133,7 +147,7 @@ def stream_tagged_log(spark: SparkSession, folder: str) -> DataFrame:
 def filter_matches(m: Mart) -> DataFrame:
     """Rows each predicate keeps."""
     t, a = m.tickets, m.alerts
-    end = P.last_date(t)
+    end = P.resolve_as_of(t, m.newest)
     on_tickets = {
         "subfamily_contains": P.by_subfamily("subfamily", "BRAND#2"),
         "subfamily_equals": P.equals("subfamily", "Brand#2"),
@@ -143,7 +157,7 @@ def filter_matches(m: Mart) -> DataFrame:
         "branches_exact": P.in_branches_exact("branch", ["asia", "Europe"]),
         "period": P.in_period(t, "2000-02-01", "2000-02-29"),
         "since_month_start": P.in_period(t, P.month_start(end)),
-        "last_7_days": P.last_days(t, 7),
+        "last_7_days": P.last_days(t, 7, end),
         "month": P.in_month(t, dt.date(2000, 2, 10)),
         "years": P.in_years(t, (1996, 1998)),
         "previous_month": P.in_month(t, F.add_months(end, -1)),
@@ -243,7 +257,7 @@ def sales_by_branch_filtered(m: Mart) -> DataFrame:
 @on_mart
 def family_margin_leaders(m: Mart) -> DataFrame:
     return sales.family_margin_leaders(
-        m.tickets, min_family=100_000, min_item=10_000, branches=X.SALE_BRANCHES)
+        m.tickets, min_family=100_000, min_item=10_000, branches=X.SALE_BRANCHES, as_of=m.newest)
 
 
 @on_mart
@@ -256,12 +270,12 @@ def family_margin_leaders_period(m: Mart) -> DataFrame:
 @on_mart
 def before_after_event(m: Mart) -> DataFrame:
     return sales.before_after_event(
-        m.tickets, X.EVENT_DATE, ("asia", "europe", "middle east"), X.EVENT_START)
+        m.tickets, X.EVENT_DATE, ("asia", "europe", "middle east"), X.EVENT_START, as_of=m.newest)
 
 
 @on_mart
 def month_kpis(m: Mart) -> DataFrame:
-    return sales.month_kpis(m.tickets, m.alerts, X.ALL_BRANCHES)
+    return sales.month_kpis(m.tickets, m.alerts, X.ALL_BRANCHES, m.newest)
 
 
 @on_mart
@@ -295,6 +309,42 @@ def last_data_date(m: Mart) -> DataFrame:
     return sales.last_data_date(m.tickets)
 
 
+@on_mart
+def last_data_date_filtered(m: Mart) -> DataFrame:
+    """A frame cut from the mart's lines has a newest day of its own."""
+    return sales.last_data_date(m.tickets.where(F.col("sale_date") <= X.CUT_DATE))
+
+
+@on_mart
+def trend_summary_until(m: Mart) -> DataFrame:
+    return trend.trend_summary(m.tickets.where(F.col("sale_date") <= X.CUT_DATE), 90)
+
+
+def _in_two_writes(spark: SparkSession, folder: str) -> str:
+    """A mart written up to a day, to which the lines since are appended."""
+    m, path = star_mart(spark, folder), new_path(spark, "versions")
+    later = F.col("sale_date") > X.CUT_DATE
+    write_mart(replace(m, tickets=m.tickets.where(~later)), path)
+    append_lines(m.tickets.where(later), path)
+    return path
+
+
+@on_tables
+def appended_month_kpis(spark: SparkSession, folder: str) -> DataFrame:
+    """The month's figures of a mart whose newest lines came by an append."""
+    m = load_mart(spark, _in_two_writes(spark, folder))
+    return sales.month_kpis(m.tickets, m.alerts, X.ALL_BRANCHES, m.newest)
+
+
+@on_tables
+def version_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines and newest day of a mart's versions: written, appended to, compacted."""
+    path = _in_two_writes(spark, folder)
+    compact_lines(spark, path)
+    marts = {v: load_mart(spark, path, version=v) for v in (1, 2, 3)}
+    return reduce(DataFrame.union, [m.tickets.groupBy(F.lit(v).alias("version"), F.lit(str(m.newest)).cast("date").alias("newest")).agg(F.count(F.lit(1)).alias("lines"))
+                                    for v, m in marts.items()])
+
 @on_mart
 def category_branch_month(m: Mart) -> DataFrame:
     return sales.category_branch_month(m.tickets, "brand#2", 2000, 6)
@@ -417,7 +467,7 @@ def bestsellers_at_risk_urgent(m: Mart) -> DataFrame:
 
 @on_mart
 def critical_with_sales(m: Mart) -> DataFrame:
-    return stock.critical_with_sales(m.alerts, m.tickets, n=120, branches=("1", "2", "3"))
+    return stock.critical_with_sales(m.alerts, m.tickets, as_of=m.newest, n=120, branches=("1", "2", "3"))
 
 
 @on_mart
@@ -518,43 +568,43 @@ def seasonal_items(m: Mart) -> DataFrame:
 
 @on_mart
 def weekly_trend(m: Mart) -> DataFrame:
-    return trend.trend_report(m.tickets)
+    return trend.trend_report(m.tickets, as_of=m.newest)
 
 
 @on_mart
 def quarterly_trend(m: Mart) -> DataFrame:
-    return trend.trend_report(m.tickets, 90)
+    return trend.trend_report(m.tickets, 90, m.newest)
 
 
 @on_mart
 def trend_summary(m: Mart) -> DataFrame:
-    return trend.trend_summary(m.tickets, 90)
+    return trend.trend_summary(m.tickets, 90, m.newest)
 
 
 @on_mart
 def trend_detail(m: Mart) -> DataFrame:
-    return trend.trend_detail(m.tickets, m.alerts, "asia", "alta", days=90)
+    return trend.trend_detail(m.tickets, m.alerts, "asia", "alta", days=90, as_of=m.newest)
 
 
 @on_mart
 def trend_items(m: Mart) -> DataFrame:
-    return trend.trend_items(m.tickets, m.alerts, "baja", days=90)
+    return trend.trend_items(m.tickets, m.alerts, "baja", days=90, as_of=m.newest)
 
 
 @on_mart
 def trend_range(m: Mart) -> DataFrame:
-    return trend.trend_range(m.tickets)
+    return trend.trend_range(m.tickets, as_of=m.newest)
 
 
 @on_mart
 def urgency_index(m: Mart) -> DataFrame:
-    return trend.urgency_index(trend.trend_detail(m.tickets, m.alerts, "africa", "alta", days=90))
+    return trend.urgency_index(trend.trend_detail(m.tickets, m.alerts, "africa", "alta", days=90, as_of=m.newest))
 
 
 @on_mart
 def urgency_index_flat(m: Mart) -> DataFrame:
     """Items without a slope take the lowest level and come last."""
-    return trend.urgency_index(trend.trend_detail(m.tickets, m.alerts, "africa", "estable", n=None, days=90))
+    return trend.urgency_index(trend.trend_detail(m.tickets, m.alerts, "africa", "estable", n=None, days=90, as_of=m.newest))
 
 
 # ---- selectors ----------------------------------------------------------------

@@ -12,6 +12,7 @@ from tendero.sources.star import read_table
 SALE_BRANCHES = ("africa", "america", "asia", "europe")
 ALL_BRANCHES = SALE_BRANCHES + ("middle east",)
 AS_OF = dt.date(2001, 11, 4)
+CUT_DATE = dt.date(1999, 1, 1)
 EVENT_DATE = dt.date(2001, 6, 6)
 EVENT_START = dt.date(2001, 5, 1)
 YEARS = (1999, 2000, 2001)

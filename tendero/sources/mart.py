@@ -2,30 +2,37 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 import uuid
 from collections.abc import Mapping
-from dataclasses import dataclass, fields, replace
+from dataclasses import dataclass, replace
 from functools import reduce
+from typing import Any
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tendero import constants as K
-from tendero.functions.predicates import with_newest
+from tendero.sources.snapshots import Snapshot, publish, read_batches, snapshot, write_batch
 
 
 @dataclass(frozen=True)
 class Mart:
-    """The four frames every operator works on."""
+    """The four frames every operator works on.
+
+    ``newest`` is the newest sale date of ``tickets`` as a whole, where the version that was read tells it: the day to
+    pass to reports over those lines. A frame cut from ``tickets`` has a newest day of its own.
+    """
 
     tickets: DataFrame
     alerts: DataFrame
     last_prices: DataFrame
     catalog: DataFrame
+    newest: dt.date | None = None
 
     def tables(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self)}
+        return {name: getattr(self, name) for name in SCHEMAS}
 
 
 # ---- columns an operator may rely on ----------------------------------------
@@ -90,9 +97,6 @@ CATALOG_SCHEMA = T.StructType([
     T.StructField("stk_total", T.DoubleType()),
 ])
 
-# one row for each day with sale lines, written beside them
-DAYS_SCHEMA = T.StructType([T.StructField("sale_date", T.DateType()), T.StructField("lines", T.LongType())])
-
 # type of the open-ended per-branch columns
 BRANCH_PREFIXES = ("stk_", "order_")
 BRANCH_TYPES = {"alerts": T.LongType(), "catalog": T.DoubleType()}
@@ -267,80 +271,95 @@ def load_mart(
     tables: Mapping[str, str] | None = None,
     columns: Mapping[str, Mapping[str, str]] | None = None,
     fmt: str = "parquet",
+    version: int | None = None,
 ) -> Mart:
     """Read the four tables under ``path``.
 
     ``tables`` and ``columns`` give the names used in the source; pass
     ``SOURCE_TABLES`` and ``SOURCE_COLUMNS`` for a warehouse extract, nothing for a
-    folder written by ``write_mart``.
+    folder written by ``write_mart``. Of such a folder the newest version is read, or the one asked for.
     """
+    found = None if tables else snapshot(spark, path, version)
+    if found:
+        return mart_of(spark, found)
+    if version is not None:
+        raise ValueError(f"no version {version}")
     tables, columns = tables or {}, columns or {}
     frames = {}
     for name in SCHEMAS:
         df = spark.read.format(fmt).load(f"{path.rstrip('/')}/{tables.get(name, name)}")
         frames[name] = rename_columns(df, columns[name]) if name in columns else df
-    mart = make_mart(**frames)
-    if "tickets" in tables:
-        return mart
-    try:
-        days = spark.read.schema(DAYS_SCHEMA).parquet(f"{path.rstrip('/')}/sale_days")
-    except AnalysisException:  # a mart written without it
-        return mart
-    newest = days.agg(F.max("sale_date")).first()[0]
-    return replace(mart, tickets=with_newest(mart.tickets, newest)) if newest else mart
+    return make_mart(**frames)
 
 
-# ---- writing ----------------------------------------------------------------
+def mart_of(spark: SparkSession, found: Snapshot) -> Mart:
+    """The tables of one version."""
+    return replace(make_mart(**{name: read_batches(spark, found.base, found.of(name)) for name in SCHEMAS}), newest=found.newest)
 
-def write_tickets(tickets: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write sale lines partitioned by month and ordered by day inside each file.
 
-    ``rebalance`` lets adaptive execution cut a busy month into several files and put
-    quiet months together, so neither file size nor task size follows the calendar.
-    """
-    (tickets.withColumn("sale_month", F.trunc("sale_date", "month").cast("date"))
-     .hint("rebalance", "sale_month")
-     .sortWithinPartitions("sale_month", "sale_date")
-     .write.mode(mode).partitionBy("sale_month").parquet(path))
+# ---- writing ----------------------------------------------------------------
 
+def write_mart(mart: Mart, path: str, mode: str = "overwrite") -> Snapshot:
+    """Write the four tables as the next version of the mart under ``path``.
 
-def write_days(spark: SparkSession, base: str, mode: str = "overwrite") -> None:
-    """Lines per day of the written sale lines, so that the newest day is known without reading them."""
-    lines = spark.read.parquet(f"{base}/tickets")
-    lines.groupBy("sale_date").agg(F.count(F.lit(1)).alias("lines")).coalesce(1).write.mode(mode).parquet(f"{base}/sale_days")
+    They replace what is there, or with ``mode="append"`` are added to it. The version counts once all
+    four are written; until then, and if the job breaks off, readers see the one before.
+    """
+    if mode not in ("overwrite", "append"):
+        raise ValueError(f"mode: {mode}")
+    batches = [write_batch(df, path, name) for name, df in mart.tables().items()]
+    return publish(mart.tickets.sparkSession, path, batches, mode == "overwrite")
 
 
-def write_mart(mart: Mart, path: str, mode: str = "overwrite") -> None:
-    base = path.rstrip("/")
-    write_tickets(mart.tickets, f"{base}/tickets", mode)
-    write_days(mart.tickets.sparkSession, base)
-    for name in ("alerts", "last_prices", "catalog"):
-        mart.tables()[name].write.mode(mode).parquet(f"{base}/{name}")
+# ---- caller's own SQL -------------------------------------------------------
 
+_OPENING = re.compile(r"(?:\s|--[^\n]*(?:\n|$)|/\*.*?\*/)*(select|with)\b", re.IGNORECASE | re.DOTALL)
+#: Parts of an analysed plan that read nothing by themselves.
+_OWN_LEAVES = {"OneRowRelation", "LocalRelation", "ResolvedInlineTable", "CTERelationRef", "UnionLoopRef"}
+#: Parts that run programs.
+_OUTSIDE = {"ScriptTransformation"}
 
-# ---- caller's own SQL -------------------------------------------------------
 
 def check_select(sql: str) -> str:
-    """Return the statement if it only reads; raise ``ValueError`` otherwise."""
-    text = (sql or "").strip().rstrip(";").strip()
+    """The statement without its closing semicolon; ``ValueError`` if it is empty or opens as no SELECT or WITH."""
+    text = re.sub(r"[\s;]+$", "", sql or "")
     if not text:
         raise ValueError("empty statement")
-    if not re.match(r"(select|with)\b", text, re.IGNORECASE):
+    if not _OPENING.match(text):
         raise ValueError("only SELECT or WITH statements are allowed")
-    found = re.search(rf"\b({'|'.join(K.FORBIDDEN_SQL_WORDS + K.FORBIDDEN_CALLS)})\b", text, re.IGNORECASE)
-    if found:
-        raise ValueError(f"forbidden word: {found.group(1).lower()}")
     return text
 
 
-def read_tables(spark: SparkSession, statement: str, args: Mapping[str, object]) -> set[str]:
-    """Names a statement reads that it does not define itself, as the parser reports them."""
-    text = spark.sql(f"EXPLAIN EXTENDED {statement}", args=dict(args)).first()[0]
-    parsed = text.partition("== Analyzed Logical Plan ==")[0]
-    own = {name.strip().lower() for names in re.findall(r"CTE \[([^\]]*)\]", parsed) for name in names.split(",")}
-    if "UnresolvedTableValuedFunction" in parsed:
-        raise ValueError("table functions are not allowed")
-    return {name.lower() for name in re.findall(r"UnresolvedRelation \[([^\]]*)\]", parsed)} - own
+def _items(found: Any) -> list:
+    return [found.apply(i) for i in range(found.size())]
+
+
+def foreign_parts(rows: DataFrame, views: set[str]) -> list[str]:
+    """What the analysed plan of some rows reads or calls besides the given views.
+
+    Names are already resolved in it, each in its own scope, so the plan is looked at and not the text: every
+    leaf must lie in one of the views, and no expression may call into the JVM.
+    """
+    found, plans = [], [rows._jdf.queryExecution().analyzed()]
+    while plans:
+        node = plans.pop()
+        kind = node.getClass().getSimpleName()
+        below = _items(node.children())
+        if kind == "View":
+            name = node.desc().identifier().table()
+            if name not in views:
+                found.append(name)
+            continue
+        if kind in _OUTSIDE or not below and kind not in _OWN_LEAVES:
+            found.append(str(node.simpleString(100)))
+        plans += below + _items(node.subqueries())
+        calls = _items(node.expressions())
+        while calls:
+            call = calls.pop()
+            if call.prettyName().lower() in K.FORBIDDEN_CALLS:
+                found.append(call.prettyName())
+            calls += _items(call.children())
+    return sorted(set(found))
 
 
 def run_select(
@@ -352,24 +371,29 @@ def run_select(
 ) -> DataFrame:
     """Run a caller's SELECT over the mart's tables; ``max_rows`` cuts the result, None keeps all.
 
-    The statement sees the given tables under their names and nothing else: no other table, no
-    files by path, no call into the JVM. The caller's own views stay as they are. Values
-    belong in ``args`` as named parameters (``:since``), never in the text.
+    The statement sees the given tables under their names and nothing else: no other table or view, no
+    files by path, no call into the JVM, no program. The caller's own views stay as they are. It must be one query:
+    it is parsed as a subquery, which no other kind of statement can be, and nothing of it runs before its plan has been
+    looked at. Values belong in ``args`` as named parameters (``:since``), never in the text.
     """
     statement = check_select(sql)
     tables = mart.tables() if isinstance(mart, Mart) else dict(mart or {})
-    foreign = read_tables(spark, statement, args or {}) - {name.lower() for name in tables}
-    if foreign:
-        raise ValueError(f"not a table of the mart: {', '.join(sorted(foreign))}")
     names = {name: f"tendero_{uuid.uuid4().hex}" for name in tables}
     try:
         for name, view in names.items():
             tables[name].createTempView(view)
         given = ", ".join(f"`{name}` AS (SELECT * FROM {view})" for name, view in names.items())
-        body = re.sub(r"^with\b", "", statement, flags=re.IGNORECASE)
-        whole = statement if not given else f"WITH {given}, {body}" if body != statement else f"WITH {given} {statement}"
-        rows = spark.sql(whole, args=dict(args or {}))
+        rows = spark.sql(f"{f'WITH {given} ' if given else ''}SELECT * FROM (\n{statement}\n)", args=dict(args or {}))
+    except ParseException as wrong:
+        raise ValueError(f"only one SELECT or WITH statement is allowed: {wrong}") from wrong
+    except AnalysisException as wrong:
+        if wrong.getCondition() != "TABLE_OR_VIEW_NOT_FOUND":
+            raise
+        raise ValueError(f"not a table of the mart: {wrong}") from wrong
     finally:
         for view in names.values():
             spark.catalog.dropTempView(view)
+    foreign = foreign_parts(rows, set(names.values()))
+    if foreign:
+        raise ValueError(f"not of the mart: {', '.join(foreign)}")
     return rows if max_rows is None else rows.limit(max_rows)

@@ -14,9 +14,10 @@ from operator import add
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tendero.functions.predicates import last_date, with_newest
-from tendero.sources.mart import Mart, load_mart, make_mart, write_days, write_tickets
+from tendero.functions.predicates import DateLike, resolve_as_of
+from tendero.sources.mart import Mart, load_mart, make_mart
 from tendero.sources.shared import new_path
+from tendero.sources.snapshots import publish, read_batches, write_batch
 
 STOCK_BRANCHES = range(1, 8)
 ORDER_BRANCHES = range(1, 6)
@@ -100,13 +101,13 @@ def star_catalog(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def item_facts(tickets: DataFrame) -> DataFrame:
+def item_facts(tickets: DataFrame, as_of: DateLike | None = None) -> DataFrame:
     """One row per item: recent units, the latest line, and this month's place in the year.
 
     A single aggregation. Partial results are built before the shuffle, so an item
     that makes up a third of all lines sends one row per task like any other.
     """
-    as_of = last_date(tickets)
+    as_of = resolve_as_of(tickets, as_of)
     day, units = F.col("sale_date"), F.col("quantity")
     # one number of fixed width orders the lines, so the sums and the latest line share one hash aggregation
     whole = lambda value: F.lit(str(value)).cast("decimal(38,0)")
@@ -172,12 +173,9 @@ def star_alerts(catalog: DataFrame, facts: DataFrame) -> DataFrame:
 
 def build_mart(spark: SparkSession, folder: str, path: str) -> None:
     """Derive the mart from the star schema in ``folder`` and write it under ``path``."""
-    write_tickets(star_tickets(spark, folder), f"{path}/tickets")
-    write_days(spark, path)
-    newest = spark.read.parquet(f"{path}/sale_days").agg(F.max("sale_date")).first()[0]
-    tickets = spark.read.parquet(f"{path}/tickets")
-    tickets = with_newest(tickets, newest) if newest else tickets
-    item_facts(tickets).write.parquet(f"{path}/item_facts")
+    lines = write_batch(star_tickets(spark, folder), path, "tickets")
+    tickets = read_batches(spark, path, [lines])
+    item_facts(tickets, lines.newest).write.parquet(f"{path}/item_facts")
     facts = spark.read.parquet(f"{path}/item_facts")
     catalog = star_catalog(spark, folder)
     tables = make_mart(
@@ -185,8 +183,7 @@ def build_mart(spark: SparkSession, folder: str, path: str) -> None:
         alerts=star_alerts(catalog, facts),
         last_prices=star_last_prices(spark, folder, facts),
     ).tables()
-    for name in ("catalog", "alerts", "last_prices"):
-        tables[name].write.parquet(f"{path}/{name}")
+    publish(spark, path, [lines, *(write_batch(tables[name], path, name) for name in ("catalog", "alerts", "last_prices"))], replace=True)
 
 
 _paths: dict[tuple[str, str], str] = {}

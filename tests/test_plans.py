@@ -50,7 +50,7 @@ def test_static_periods_are_pushed_into_the_scan(mart):
 
 
 def test_one_scan_for_both_months(mart):
-    df = sales.month_kpis(mart.tickets, mart.alerts)
+    df = sales.month_kpis(mart.tickets, mart.alerts, as_of=mart.newest)
     assert plan(df).count("price_total") and plan(df).count("FileScan parquet [sale_date") == 1
 
 
@@ -76,7 +76,7 @@ def test_high_sales_reads_the_lines_once(mart):
 
 
 def test_item_facts_need_no_sort(mart):
-    assert "SortAggregate" not in plan(item_facts(mart.tickets))
+    assert "SortAggregate" not in plan(item_facts(mart.tickets, mart.newest))
 
 
 def test_no_window_without_partition_in_urgency(mart):
