@@ -118,29 +118,67 @@ def _category_of(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
         F.min_by("position", F.struct(-F.col("letters"), F.col("listed"))).alias("position"))
 
 
+#: Length of the character runs that brands are filed under; shorter brands are filed whole.
+GRAM = 4
+
+
+def _grams(text: Column, lengths: Sequence[int]) -> Column:
+    """Every run of so many characters in a text, each once, found in one pass per length."""
+    runs = [F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths]
+    return F.array_distinct(F.flatten(F.array(*runs)))
+
+
+def _brands_of(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """``text, brands`` for the distinct ``texts`` (``text``, ``position`` of its category or null) that name a brand.
+
+    An inverted index of character runs: each brand is filed under that of its runs which fewest texts hold, so a
+    run that is everywhere brings up only brands that are no more than that run. Texts are known by a hash until a
+    brand has come up for them; then the brand is looked for in the text itself. A text of a category has the brands of
+    that category as they are listed there, any other those of all categories by name. An empty brand is none.
+    """
+    listed = dictionary.select("position", F.posexplode("brands").alias("place", "brand")).withColumn("brand", F.lower("brand")).where("brand != ''")
+    names = listed.select("brand").distinct()
+    lengths = [r[0] for r in names.select(F.least(F.length("brand"), F.lit(GRAM))).distinct().collect()]  # GRAM of them at most
+    if not lengths:
+        return texts.select("text", F.array().cast("array<string>").alias("brands")).where("false")
+    searched = texts.select("text", "position", F.lower(F.trim("text")).alias("lowered")).withColumn("id", F.md5(F.col("lowered").cast("binary")))
+    held = searched.select("id", "lowered").distinct().select("id", F.explode(_grams(F.col("lowered"), lengths)).alias("gram"))
+    by_length = F.array(*[F.when(F.least(F.length("brand"), F.lit(GRAM)) == n, _grams(F.col("brand"), [n])) for n in lengths])
+    filed = names.select("brand", F.explode(F.flatten(F.array_compact(by_length))).alias("gram"))
+    busy = held.groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
+    filed = filed.join(busy, "gram", "left").groupBy("brand").agg(F.min_by("gram", F.struct(F.coalesce("texts", F.lit(0)), "gram")).alias("gram"))
+    met = held.join(filed, "gram").select("id", "brand")
+    hits = searched.join(met, "id").where(F.contains("lowered", F.col("brand"))).select("text", "position", "brand")
+    own = hits.where("position IS NOT NULL").join(listed, ["position", "brand"]).select("text", "place", "brand")
+    other = hits.where("position IS NULL").select("text", F.lit(0).alias("place"), "brand")
+    named = own.union(other).groupBy("text").agg(F.array_sort(F.collect_list(F.struct("place", "brand"))).alias("named"))
+    return named.select("text", F.col("named.brand").alias("brands"))
+
+
 def tag_items(df: DataFrame, text_col: str, dictionary: DataFrame) -> DataFrame:
     """Add category, family, subfamily, brands and, if the table has them, sizes from a dictionary table.
 
-    The dictionary stays a table, however large: synonyms are looked up by a join on runs of words, so the
-    plan does not grow with it. A text of some category has the brands of that category, any other those of all.
+    The dictionary stays a table, however large: synonyms are looked up by a join on runs of words and brands by
+    one on runs of characters, so the plan does not grow with it. A text of some category has the brands of that
+    category, any other those of all; a null text has no tags. All other columns of ``df`` stay as they are, of whatever name;
+    one that is called like a tag gives way to it.
     """
-    texts = df.select(F.col(text_col).alias("text")).where("text IS NOT NULL")
-    found = _category_of(texts, dictionary)
-    keep = [c for c in ("category", "family", "subfamily", "brands", "sizes") if c in dictionary.columns]
-    entry = dictionary.select("position", F.struct(*keep).alias("_entry"))
-    all_brands = dictionary.select(F.explode("brands").alias("b")).agg(F.sort_array(F.collect_set(F.lower("b")))).scalar()
-    found = found.join(entry, "position").select(F.col("text").alias("_text"), "_entry")
-    rows = df.withColumn("_all", all_brands).join(found, F.col(text_col) == F.col("_text"), "left")
-    lowered = F.lower(F.trim(F.col(text_col)))
-    brands = F.coalesce(F.transform("_entry.brands", lambda b: F.lower(b)), F.col("_all"))
-    tags = {c: F.col(f"_entry.{c}") for c in keep if c not in ("brands", "sizes")}
-    tags["brands"] = F.coalesce(F.filter(brands, lambda b: F.contains(lowered, b)), F.array().cast("array<string>"))
+    keep = [c for c in ("category", "family", "subfamily", "sizes") if c in dictionary.columns]
+    texts = df.select(F.col(f"`{text_col}`").alias("text")).where("text IS NOT NULL").distinct()
+    placed = texts.join(_category_of(texts, dictionary), "text", "left")
+    found = placed.join(dictionary.select("position", F.struct(*keep).alias("entry")), "position", "left").select("text", "entry")
+    found = found.join(_brands_of(placed, dictionary), "text", "left")
+    row = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    rows = row.join(found, F.col(f"row.`{text_col}`") == F.col("text"), "left")
+    tags = {c: F.col(f"entry.{c}") for c in keep if c != "sizes"}
+    tags["brands"] = F.coalesce("brands", F.array().cast("array<string>"))
     if "sizes" in keep:
-        pairs = F.flatten(F.transform(F.map_entries("_entry.sizes"), lambda e: F.transform(
+        pairs = F.flatten(F.transform(F.map_entries("entry.sizes"), lambda e: F.transform(
             e["value"], lambda label: F.struct(e["key"].alias("kind"), label.alias("label")))))
-        size = F.get(F.filter(pairs, lambda s: F.contains(lowered, s["label"])), F.lit(0))
+        size = F.get(F.filter(pairs, lambda s: F.contains(F.lower(F.trim("text")), s["label"])), F.lit(0))
         tags |= {"size_label": size["label"], "size_kind": size["kind"]}
-    return rows.withColumns(tags).drop("_text", "_entry", "_all")
+    kept = [F.col(f"row.`{c}`") for c in df.columns if c not in tags]
+    return rows.select(*kept, *(tag.alias(name) for name, tag in tags.items()))
 
 
 def catalog_dictionary(catalog: DataFrame) -> DataFrame:

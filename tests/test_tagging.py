@@ -203,3 +203,58 @@ def test_stream_tags_each_question_once(spark, tmp_path):
     back = spark.read.json(out).collect()
     assert len(back) == 8
     assert all(r.asDict().get("route") == ROUTES[r["pregunta"]] for r in back)
+
+
+def _brand_table(spark, categories):
+    rows = [(i, f"c{i}", None, None, list(s), list(b)) for i, (s, b) in enumerate(categories)]
+    return spark.createDataFrame(rows, "position int, category string, family string, subfamily string, synonyms array<string>, brands array<string>")
+
+
+BRANDS = [
+    (["café"], ["La Virginia", "ñ", "virginia", "LA", "La Virginia", None, ""]),
+    (["té", "té verde"], ["taragüi", "a.b*c", "😀 ok", "x" * 300]),
+    (["nada"], []),
+    ([], ["zz", "the", "the best of the best", "best", "aaaa", "aaaaaaaa"]),
+]
+
+
+def test_brands_by_table_against_looking_for_each(spark):
+    texts = ["café LA VIRGINIA", "  café de la virginia y ñandú", "té A.B*C taragüi the", "the best of the best", "aaaaaaa", "aaaaaaaaa", "zz😀 ok", "nada zz", "", " ",
+             "x" * 299, "té " + "x" * 301, "the " * 20000 + "virginia", "taragüi sin categoría", "taragui", "best\nof", "😀", "é ñ"]
+    df = spark.createDataFrame([(t,) for t in texts] * 3 + [(None,)], "text string").repartition(3)
+    table = _brand_table(spark, BRANDS)
+
+    def expected(text, category):
+        lowered = text.strip(" ").lower()
+        if category is not None:
+            return [b.lower() for b in BRANDS[int(category[1:])][1] if b and b.lower() in lowered]
+        return sorted({b.lower() for _, bs in BRANDS for b in bs if b and b.lower() in lowered}, key=str.encode)
+
+    found = tagging.tag_items(df, "text", table).collect()
+    assert len(found) == 3 * len(texts) + 1
+    for r in found:
+        assert r["brands"] == ([] if r["text"] is None else expected(r["text"], r["category"])), r["text"][:60]
+
+
+def test_tagging_by_table_keeps_the_callers_columns(spark):
+    df = spark.createDataFrame([("té zz", 1, 2, 3, 4, "own", 5)], "`a.text` string, _text int, _entry int, _all int, entry int, brands string, text int")
+    made = tagging.tag_items(df, "a.text", _brand_table(spark, BRANDS))
+    assert made.columns == ["a.text", "_text", "_entry", "_all", "entry", "text", "category", "family", "subfamily", "brands"]
+    assert tuple(made.first()) == ("té zz", 1, 2, 3, 4, 5, "c1", None, None, [])
+    assert tagging.tag_items(df.limit(0), "a.text", _brand_table(spark, BRANDS)).collect() == []
+    none = tagging.tag_items(df, "a.text", _brand_table(spark, BRANDS).limit(0))
+    assert (none.first()["category"], none.first()["brands"]) == (None, [])
+    only = tagging.tag_items(df, "a.text", _brand_table(spark, [(["té"], [])]))
+    assert (only.first()["category"], only.first()["brands"]) == ("c0", [])
+
+
+def test_many_brands_come_up_by_their_rarest_run(spark):
+    """A hundred thousand brands that share all runs but a few, and a text that a third of the rows repeat."""
+    dictionary = spark.range(100_000).selectExpr(
+        "id AS position", "concat('c', id) AS category", "'f' AS family", "'s' AS subfamily", "array(concat('word', id)) AS synonyms",
+        "array(concat('grand maison no. ', id, '!')) AS brands")
+    asked = spark.range(3000).selectExpr("id", "if(id % 3 = 0, 'from grand maison no. 77!', concat('a grand maison no. ', id * 31, '! please')) AS text")
+    made = tagging.tag_items(asked, "text", dictionary)
+    found = {r["id"]: r["brands"] for r in made.collect()}
+    assert all(found[i] == [f"grand maison no. {77 if i % 3 == 0 else i * 31}!"] for i in range(3000))
+    assert "collect_set" not in made._jdf.queryExecution().optimizedPlan().toString()
