@@ -50,3 +50,14 @@ def change_pct(current: Column, previous: Column, places: int = 1) -> Column:
     """Percent change; a zero base counts as one, a missing base stays missing."""
     base = F.when(previous == 0, F.lit(1.0)).otherwise(previous)
     return fixed((current - base) / base * 100.0, places)
+
+
+def line_place() -> Column:
+    """One number of fixed width that grows the later a sale line counts.
+
+    Later days come first, then smaller order numbers, then smaller line numbers; an order's line number names one line. As a
+    number it lets sums and the latest line share one hash aggregation.
+    """
+    whole = lambda value: F.lit(str(value)).cast("decimal(38,0)")
+    return (F.unix_date("sale_date").cast("decimal(38,0)") * whole(10**26)
+            + (whole(10**19) - F.col("order_id")) * whole(10**6) - F.col("line_no")).cast("decimal(38,0)")

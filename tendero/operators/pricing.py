@@ -23,14 +23,35 @@ def newest_first(tickets: DataFrame) -> list[Column]:
     return [F.desc("sale_date"), *ties]
 
 
+#: What tells the lines of a mart apart, where it has both.
+NUMBERED = ("order_id", "line_no")
+#: What the latest line of an item is asked by and for.
+LATEST = ("sale_date", "order_id", "line_no", "price_unit")
+
+
+def latest_state(tickets: DataFrame) -> DataFrame:
+    """The latest line with a price of each item, description and subfamily, by one hash aggregation.
+
+    It can stand for the lines in every report on latest prices, whatever items that asks for, and the state of several
+    tables of lines is the state of their states.
+    """
+    priced = tickets.where(P.positive("price_unit")).withColumn("place", M.line_place())
+    return priced.groupBy("item_key", "description", "subfamily").agg(*[F.max_by(c, "place").alias(c) for c in LATEST])
+
+
 def latest_lines(tickets: DataFrame, key: str) -> DataFrame:
-    """The latest sale line of each key.
+    """The latest sale line of each key: its key, item, day and price.
 
-    Spark keeps one row per key and task before the shuffle, so a key with very many
+    Numbered lines are first reduced to one row per key and item by a hash aggregation with partial results
+    on the map side; Spark then keeps one row per key and task before the shuffle. So a key with very many
     lines costs the reducers no more than any other.
     """
-    place = F.row_number().over(Window.partitionBy(key).orderBy(*newest_first(tickets)))
-    return tickets.withColumn("_place", place).where(F.col("_place") == 1).drop("_place")
+    rows = tickets
+    if set(NUMBERED) <= set(tickets.columns):
+        by = list(dict.fromkeys([key, "item_key"]))
+        rows = tickets.withColumn("place", M.line_place()).groupBy(*by).agg(*[F.max_by(c, "place").alias(c) for c in LATEST])
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*newest_first(rows)))
+    return rows.withColumn("_place", place).where(F.col("_place") == 1).drop("_place")
 
 
 def _price_columns() -> list[Column]:
@@ -157,16 +178,18 @@ def high_sales_low_margin(
     """
     wanted = flt.first_of("subfamily", "brands", exact_subfamily=True)
     asked = P.positive("price_unit") if wanted is None else P.positive("price_unit") & wanted
-    ties = [F.col(c) for c in TIE_BREAKERS if c in tickets.columns]
-    # the smallest struct is the latest line: days count down, ties go up with nulls last
-    line = F.struct((-F.unix_date("sale_date")).alias("day"), *[x for t in ties for x in (t.isNull(), t)], F.col("price_unit").alias("price"))
-    totals = tickets.groupBy("item_key", "description").agg(
-        M.total("price_total", 2).alias("sales_total"),
-        M.total("quantity", 0).alias("units"),
-        F.min(F.when(asked, line)).alias("line"),
-    )
-    latest = F.min("line").over(Window.partitionBy("item_key"))["price"]
-    totals = totals.withColumn("last_sale_price", M.fixed(latest, 2)).where("last_sale_price IS NOT NULL").drop("line")
+    totals = [M.total("price_total", 2).alias("sales_total"), M.total("quantity", 0).alias("units")]
+    item = Window.partitionBy("item_key")
+    if set(NUMBERED) <= set(tickets.columns):
+        place = F.when(asked, M.line_place())
+        line, latest = [F.max(place).alias("line"), F.max_by("price_unit", place).alias("price")], F.max(F.struct("line", "price")).over(item)["price"]
+    else:
+        ties = [F.col(c) for c in TIE_BREAKERS if c in tickets.columns]
+        # the smallest struct is the latest line: days count down, ties go up with nulls last
+        line = F.struct((-F.unix_date("sale_date")).alias("day"), *[x for t in ties for x in (t.isNull(), t)], F.col("price_unit").alias("price"))
+        line, latest = [F.min(F.when(asked, line)).alias("line")], F.min("line").over(item)["price"]
+    totals = tickets.groupBy("item_key", "description").agg(*totals, *line)
+    totals = totals.withColumn("last_sale_price", M.fixed(latest, 2)).where("last_sale_price IS NOT NULL")
     report = (
         totals.join(keep(prices, P.positive("last_cost")).select("item_key", "last_cost"), "item_key")
         .select(

@@ -419,6 +419,7 @@ put("sale_vs_purchase", _sale_vs_purchase(
     "subfamily = 'Brand#2'", "ORDER BY real_margin_pct ASC NULLS LAST, pv.description LIMIT 20"),
     "tickets", "last_prices")
 put("sale_vs_purchase_all", _sale_vs_purchase("true", ""), "tickets", "last_prices")
+put("sale_vs_purchase_appended", _sale_vs_purchase("true", ""), "tickets", "last_prices")
 put("margin_bands", f"""
     WITH s AS (SELECT * FROM ({_sale_vs_purchase("true", "")}))
     SELECT CASE WHEN real_margin_pct < 0 THEN 'negative' WHEN real_margin_pct < 10 THEN 'low'

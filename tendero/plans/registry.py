@@ -336,6 +336,13 @@ def appended_month_kpis(spark: SparkSession, folder: str) -> DataFrame:
     return sales.month_kpis(m.tickets, m.alerts, X.ALL_BRANCHES, m.newest)
 
 
+@on_tables
+def sale_vs_purchase_appended(spark: SparkSession, folder: str) -> DataFrame:
+    """Latest sale prices of a mart whose newest lines came by an append, from the latest lines kept beside it."""
+    m = load_mart(spark, _in_two_writes(spark, folder))
+    return pricing.sale_vs_purchase(m.latest, m.last_prices, n=None)
+
+
 @on_tables
 def version_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Lines and newest day of a mart's versions: written, appended to, compacted."""

@@ -19,10 +19,14 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
+from tendero.operators.pricing import latest_state
+
 LOG = "versions"
 LOG_SCHEMA = "version long, replaces boolean, table_name string, batch string, columns string, oldest date, newest date"
 #: The table that is laid out by month and tells the newest day.
 LINES = "tickets"
+#: The latest line of each item in each batch of lines, kept beside it.
+LATEST = "latest"
 
 
 @dataclass(frozen=True)
@@ -144,9 +148,19 @@ def publish(spark: SparkSession, base: str, batches: Iterable[Batch], replace: b
     return snapshot(spark, base)
 
 
+def line_batches(tickets: DataFrame, base: str, latest: bool) -> list[Batch]:
+    """Write sale lines as a batch and, if asked for, the latest line of each item in it."""
+    spark, lines = tickets.sparkSession, write_batch(tickets, base, LINES)
+    if not latest:
+        return [lines]
+    return [lines, write_batch(latest_state(read_batches(spark, base, [lines])), base, LATEST)]
+
+
 def append_lines(tickets: DataFrame, base: str) -> Snapshot:
     """Add sale lines to a mart, as its next version. Nothing that is there is read or written again."""
-    return publish(tickets.sparkSession, base, [write_batch(tickets, base, LINES)], replace=False)
+    spark = tickets.sparkSession
+    last = snapshot(spark, base)
+    return publish(spark, base, line_batches(tickets, base, bool(last and last.of(LATEST))), replace=False)
 
 
 def compact_lines(spark: SparkSession, base: str) -> Snapshot:
@@ -154,4 +168,8 @@ def compact_lines(spark: SparkSession, base: str) -> Snapshot:
     now = snapshot(spark, base)
     if now is None:
         raise ValueError("nothing was published")
-    return publish(spark, base, [write_batch(read_batches(spark, base, now.of(LINES)), base, LINES)], replace=True)
+    lines = read_batches(spark, base, now.of(LINES))
+    batches = [write_batch(lines, base, LINES)]
+    if now.of(LATEST):
+        batches.append(write_batch(latest_state(read_batches(spark, base, now.of(LATEST))), base, LATEST))
+    return publish(spark, base, batches, replace=True)

@@ -14,6 +14,7 @@ from operator import add
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tendero.functions.measures import line_place
 from tendero.functions.predicates import DateLike, resolve_as_of
 from tendero.sources.mart import Mart, load_mart, make_mart
 from tendero.sources.shared import new_path
@@ -109,10 +110,7 @@ def item_facts(tickets: DataFrame, as_of: DateLike | None = None) -> DataFrame:
     """
     as_of = resolve_as_of(tickets, as_of)
     day, units = F.col("sale_date"), F.col("quantity")
-    # one number of fixed width orders the lines, so the sums and the latest line share one hash aggregation
-    whole = lambda value: F.lit(str(value)).cast("decimal(38,0)")
-    place = (F.unix_date(day).cast("decimal(38,0)") * whole(10**26)
-             + (whole(10**19) - F.col("order_id")) * whole(10**6) - F.col("line_no")).cast("decimal(38,0)")
+    place = line_place()
     latest = ("price_unit", "cost_unit", "sale_date", "supplier_id")
     by_month = [F.sum(F.when(F.month(day) == m, units)).alias(f"month_{m}") for m in range(1, 13)]
     facts = tickets.groupBy("item_key").agg(

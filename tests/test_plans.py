@@ -23,8 +23,12 @@ def test_top_k_is_taken_without_a_full_sort(mart):
 
 def test_latest_rows_are_cut_before_the_shuffle(mart):
     text = plan(pricing.sale_vs_purchase(mart.tickets, mart.last_prices))
-    assert text.count("WindowGroupLimit") == 2
-    assert text.index("Final") < text.index("Exchange hashpartitioning(description") < text.index("Partial")
+    assert text.count("WindowGroupLimit") == 2 and "SortAggregate" not in text
+    assert re.search(r"HashAggregate.*partial_max_by", text) and "ObjectHashAggregate" not in text
+
+
+def test_totals_and_latest_prices_share_a_hash_aggregation(mart):
+    assert "SortAggregate" not in plan(pricing.high_sales_low_margin(mart.tickets, mart.last_prices))
 
 
 def test_only_needed_columns_are_read(mart):

@@ -6,7 +6,8 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from tendero.operators import sales, trend
+from tendero.operators import pricing, sales, trend
+from tendero.plans.filters import SalesFilter
 from tendero.sources import snapshots
 from tendero.sources.mart import load_mart, write_mart
 
@@ -99,3 +100,30 @@ def test_odd_appends(spark, mart, tmp_path):
     assert empty.version == 3 and lines.count() == 6 and lines.where("sale_date IS NULL").count() == 3
     with pytest.raises(ValueError):
         snapshots.snapshot(spark, base, 9)
+
+
+@pytest.mark.parametrize("flt", [SalesFilter(), SalesFilter(subfamily="Brand#2"), SalesFilter(brands=("ring", "BLUE")), SalesFilter(subfamily="Brand#2", size_label="550cc")])
+def test_latest_lines_stand_for_all_lines(spark, mart, tmp_path, flt):
+    base = str(tmp_path)
+    write_mart(replace(mart, tickets=mart.tickets.where(F.col("sale_date") <= CUT)), base)
+    snapshots.append_lines(mart.tickets.where((F.col("sale_date") > CUT) & (F.col("item_key") % 3 != 0)), base)
+    snapshots.append_lines(mart.tickets.where((F.col("sale_date") > CUT) & (F.col("item_key") % 3 == 0)), base)
+    kept = load_mart(spark, base)
+    assert kept.latest.count() < mart.tickets.count() and not any("/tickets/" in f for f in kept.latest.inputFiles())
+    wanted = pricing.sale_vs_purchase(mart.tickets, mart.last_prices, flt, n=None).collect()
+    assert pricing.sale_vs_purchase(kept.latest, mart.last_prices, flt, n=None).collect() == wanted
+    assert pricing.last_sale_price(kept.latest, flt).collect() == pricing.last_sale_price(mart.tickets, flt).collect()
+    snapshots.compact_lines(spark, base)
+    packed = load_mart(spark, base)
+    assert packed.latest.count() < kept.latest.count()
+    assert pricing.sale_vs_purchase(packed.latest, mart.last_prices, flt, n=None).collect() == wanted
+
+
+def test_lines_without_numbers_have_no_latest_table(spark, mart, tmp_path):
+    write_mart(replace(mart, tickets=mart.tickets.drop("order_id", "line_no")), str(tmp_path))
+    back = load_mart(spark, str(tmp_path))
+    assert back.latest is None
+    # days and prices decide, as before
+    rows = pricing.last_sale_price(back.tickets)
+    assert rows.select("description", "last_date").collect() == pricing.last_sale_price(mart.tickets).select("description", "last_date").collect()
+    assert pricing.high_sales_low_margin(back.tickets, back.last_prices, n=None).count() == pricing.high_sales_low_margin(mart.tickets, mart.last_prices, n=None).count()
