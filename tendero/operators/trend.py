@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import datetime as dt
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tendero import constants as K
 from tendero.functions import labels as L, measures as M, predicates as P
@@ -31,9 +35,80 @@ def weekly_trend(
     return per_item.withColumn("trend", L.trend_class(F.col("points"), F.col("slope")))
 
 
+# ---- trends from kept sums -----------------------------------------------------
+
+#: Sums that a slope is made of; those of two sets of days without a common day add up.
+MOMENTS = ("n", "sx", "sxx", "sy", "sxy")
+
+
+@dataclass(frozen=True)
+class Rollup:
+    """What trends over any window can be added up from.
+
+    ``daily`` has the units of each item, branch and day, ``months`` the moments of each item, branch and month. Blocks of a month are
+    valid up to the month of ``open_from``, where it is given: from there on lines came later than the blocks.
+    """
+
+    daily: DataFrame
+    months: DataFrame | None = None
+    open_from: dt.date | None = None
+
+
+def daily_units(tickets: DataFrame) -> DataFrame:
+    """Units of each item, branch and day. The daily units of several tables of lines are their sum."""
+    return tickets.groupBy("item_id", "branch", "sale_date").agg(F.sum("quantity").alias("quantity"))
+
+
+def _moments(x: Column, y: Column) -> list[Column]:
+    return [F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(x * x).alias("sxx"), F.sum(y).alias("sy"), F.sum(x * y).alias("sxy")]
+
+
+def month_moments(daily: DataFrame) -> DataFrame:
+    """Moments of the daily units over the days of each month, days counted from its first."""
+    month = F.trunc("sale_date", "month").cast("date")
+    x = (F.dayofmonth("sale_date") - 1).cast("long")
+    return daily_units(daily).where("sale_date IS NOT NULL").groupBy("item_id", "branch", month.alias("month")).agg(*_moments(x, F.col("quantity")))
+
+
+def window_trend(rollup: Rollup, start: dt.date, end: dt.date, branch: str | None = None) -> DataFrame:
+    """What :func:`weekly_trend` gives for the days from ``start`` to ``end``, from a rollup.
+
+    Months that lie whole in the window are one row each, only the days at its ends are added up by day. All
+    days are counted from ``start``, so the sums are those of small whole numbers.
+    """
+    asked = None if branch is None else P.equals("branch", branch)
+    first_whole = start if start.day == 1 else (start.replace(day=1) + dt.timedelta(days=32)).replace(day=1)
+    after = (end + dt.timedelta(days=1)).replace(day=1)
+    if rollup.open_from is not None:
+        after = min(after, rollup.open_from.replace(day=1))
+    by_day = F.col("sale_date").between(F.lit(start), F.lit(end))
+    parts = []
+    if rollup.months is not None and first_whole < after:
+        by_day &= ~((F.col("sale_date") >= F.lit(first_whole)) & (F.col("sale_date") < F.lit(after)))
+        blocks = keep(rollup.months, asked, (F.col("month") >= F.lit(first_whole)) & (F.col("month") < F.lit(after)))
+        shift = F.datediff("month", F.lit(start)).cast("long")
+        parts.append(blocks.select("item_id", "branch", "n", (F.col("sx") + shift * F.col("n")).alias("sx"),
+                                   (F.col("sxx") + 2 * shift * F.col("sx") + shift * shift * F.col("n")).alias("sxx"),
+                                   "sy", (F.col("sxy") + shift * F.col("sy")).alias("sxy")))
+    x = F.datediff("sale_date", F.lit(start)).cast("long")
+    parts.append(daily_units(keep(rollup.daily, asked, by_day)).groupBy("item_id", "branch").agg(*_moments(x, F.col("quantity"))))
+    sums = reduce(DataFrame.unionByName, parts).groupBy("item_id", "branch").agg(*[F.sum(c).alias(c) for c in MOMENTS])
+    n, sx, sxx, sy, sxy = map(F.col, MOMENTS)
+    slope = F.when(n > 1, F.try_divide(n * sxy - sx * sy, (n * sxx - sx * sx).cast("double")))
+    per_item = sums.select("item_id", "branch", n.alias("points"), sy.alias("units"), (sy / n).alias("mean_daily"), F.round(slope, 9).alias("slope"))
+    return per_item.withColumn("trend", L.trend_class(F.col("points"), F.col("slope")))
+
+
+# ---- reports --------------------------------------------------------------------
+
 def trend_report(tickets: DataFrame, days: int = 7, as_of: P.DateLike | None = None) -> DataFrame:
     """Every item and branch with its class, rounded for reading."""
-    return weekly_trend(tickets, days, as_of).select(
+    return report_of(weekly_trend(tickets, days, as_of))
+
+
+def report_of(trends: DataFrame) -> DataFrame:
+    """The report over trends that are already there."""
+    return trends.select(
         "item_id", "branch", "points", M.fixed(F.col("units"), 0).alias("units"),
         M.fixed(F.col("mean_daily"), 1).alias("mean_daily"),
         M.fixed(F.col("slope"), 2).alias("slope"), "trend",
@@ -41,12 +116,16 @@ def trend_report(tickets: DataFrame, days: int = 7, as_of: P.DateLike | None = N
 
 
 def trend_summary(tickets: DataFrame, days: int = 7, as_of: P.DateLike | None = None) -> DataFrame:
-    """Items per branch and class, with their share of the branch.
+    """Items per branch and class, with their share of the branch."""
+    return summary_of(weekly_trend(tickets, days, as_of))
+
+
+def summary_of(trends: DataFrame) -> DataFrame:
+    """The summary over trends that are already there.
 
     The window runs over the three class rows of a branch, not over its items.
     """
-    classes = weekly_trend(tickets, days, as_of).groupBy("branch", "trend").agg(
-        F.count(F.lit(1)).alias("items"))
+    classes = trends.groupBy("branch", "trend").agg(F.count(F.lit(1)).alias("items"))
     return (
         classes.withColumn("total_items", F.sum("items").over(Window.partitionBy("branch")))
         .withColumn("pct", F.round(F.col("items") * 100.0 / F.col("total_items"), 0))

@@ -589,6 +589,9 @@ _TREND_SUMMARY = f"""{_trend(90)},
            CAST(round(per.items*100.0::DOUBLE/tot.total_items) AS DOUBLE) AS pct
     FROM per JOIN tot ON per.branch = tot.branch"""
 put("trend_summary", _TREND_SUMMARY, "tickets")
+put("trend_summary_rolled", _TREND_SUMMARY.replace("INTERVAL 89 DAY", "INTERVAL 1199 DAY"), "tickets")
+put("trend_report_rolled", f"WITH cut AS (SELECT * FROM tickets WHERE sale_date <= DATE '{X.CUT_DATE}')," + _TREND_ROWS.format(_trend(1200)).strip()[4:].replace("tickets", "cut")
+    .replace("(SELECT max(sale_date) FROM cut)", f"DATE '{X.CUT_DATE}'"), "tickets")
 put("trend_summary_until", f"WITH cut AS (SELECT * FROM tickets WHERE sale_date <= DATE '{X.CUT_DATE}')," + _TREND_SUMMARY.strip()[4:].replace("tickets", "cut"), "tickets")
 
 

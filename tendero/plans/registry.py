@@ -320,11 +320,16 @@ def trend_summary_until(m: Mart) -> DataFrame:
     return trend.trend_summary(m.tickets.where(F.col("sale_date") <= X.CUT_DATE), 90)
 
 
-def _in_two_writes(spark: SparkSession, folder: str) -> str:
-    """A mart written up to a day, to which the lines since are appended."""
+LONG_DAYS = 1200
+
+
+def _in_two_writes(spark: SparkSession, folder: str, compact: bool = False) -> str:
+    """A mart written up to a day, put into one batch if asked for, to which the lines since are appended."""
     m, path = star_mart(spark, folder), new_path(spark, "versions")
     later = F.col("sale_date") > X.CUT_DATE
     write_mart(replace(m, tickets=m.tickets.where(~later)), path)
+    if compact:
+        compact_lines(spark, path)
     append_lines(m.tickets.where(later), path)
     return path
 
@@ -343,6 +348,20 @@ def sale_vs_purchase_appended(spark: SparkSession, folder: str) -> DataFrame:
     return pricing.sale_vs_purchase(m.latest, m.last_prices, n=None)
 
 
+@on_tables
+def trend_summary_rolled(spark: SparkSession, folder: str) -> DataFrame:
+    """Trends of two years from month blocks and the days at the window's ends, after an append."""
+    path = _in_two_writes(spark, folder, compact=True)
+    m = load_mart(spark, path)
+    return trend.summary_of(trend.window_trend(m.rollup, m.newest - dt.timedelta(days=LONG_DAYS - 1), m.newest))
+
+
+@on_tables
+def trend_report_rolled(spark: SparkSession, folder: str) -> DataFrame:
+    m = load_mart(spark, _in_two_writes(spark, folder, compact=True))
+    return trend.report_of(trend.window_trend(m.rollup, X.CUT_DATE - dt.timedelta(days=LONG_DAYS - 1), X.CUT_DATE))
+
+
 @on_tables
 def version_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Lines and newest day of a mart's versions: written, appended to, compacted."""

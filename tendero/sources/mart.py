@@ -14,7 +14,8 @@ from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tendero import constants as K
-from tendero.sources.snapshots import LATEST, LINES, Snapshot, line_batches, publish, read_batches, snapshot, write_batch
+from tendero.operators.trend import Rollup
+from tendero.sources.snapshots import DAILY, LATEST, LINES, MONTHS, Snapshot, can_keep, line_batches, publish, read_batches, snapshot, write_batch
 
 
 @dataclass(frozen=True)
@@ -23,7 +24,8 @@ class Mart:
 
     ``newest`` is the newest sale date of ``tickets`` as a whole, where the version that was read tells it: the day to
     pass to reports over those lines. A frame cut from ``tickets`` has a newest day of its own. ``latest`` holds the latest
-    lines of ``tickets``, where the mart keeps them: a small table that reports on latest sale prices can take for all lines.
+    lines of ``tickets``, where the mart keeps them: a small table that reports on latest sale prices can take for all lines;
+    ``rollup`` likewise has what trends are added up from.
     """
 
     tickets: DataFrame
@@ -32,6 +34,7 @@ class Mart:
     catalog: DataFrame
     newest: dt.date | None = None
     latest: DataFrame | None = None
+    rollup: Rollup | None = None
 
     def tables(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in SCHEMAS}
@@ -297,8 +300,10 @@ def load_mart(
 def mart_of(spark: SparkSession, found: Snapshot) -> Mart:
     """The tables of one version."""
     mart = make_mart(**{name: read_batches(spark, found.base, found.of(name)) for name in SCHEMAS})
-    latest = read_batches(spark, found.base, found.of(LATEST)) if found.of(LATEST) else None
-    return replace(mart, newest=found.newest, latest=latest)
+    kept = {name: read_batches(spark, found.base, found.of(name)) for name in (LATEST, DAILY, MONTHS) if found.of(name)}
+    late = min((b.oldest for b in found.of(DAILY)[1:] if b.oldest), default=None)
+    rollup = Rollup(kept[DAILY], kept.get(MONTHS), late) if DAILY in kept else None
+    return replace(mart, newest=found.newest, latest=kept.get(LATEST), rollup=rollup)
 
 
 # ---- writing ----------------------------------------------------------------
@@ -307,13 +312,12 @@ def write_mart(mart: Mart, path: str, mode: str = "overwrite") -> Snapshot:
     """Write the four tables as the next version of the mart under ``path``.
 
     They replace what is there, or with ``mode="append"`` are added to it. The version counts once all
-    four are written; until then, and if the job breaks off, readers see the one before. Of numbered sale lines (``order_id``,
-    ``line_no``) the latest ones are kept as well, and later appends add theirs.
+    four are written; until then, and if the job breaks off, readers see the one before. What reports on latest prices (of lines with
+    ``order_id`` and ``line_no``) and trends need is kept beside the lines, and later appends add theirs.
     """
     if mode not in ("overwrite", "append"):
         raise ValueError(f"mode: {mode}")
-    numbered = {"order_id", "line_no"} <= set(mart.tickets.columns)
-    batches = line_batches(mart.tickets, path, numbered)
+    batches = line_batches(mart.tickets, path, can_keep(mart.tickets))
     batches += [write_batch(df, path, name) for name, df in mart.tables().items() if name != LINES]
     return publish(mart.tickets.sparkSession, path, batches, mode == "overwrite")
 

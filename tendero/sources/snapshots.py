@@ -14,19 +14,23 @@ import datetime as dt
 import json
 import uuid
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace as changed
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
-from tendero.operators.pricing import latest_state
+from tendero.operators.pricing import NUMBERED, latest_state
+from tendero.operators.trend import daily_units, month_moments
 
 LOG = "versions"
 LOG_SCHEMA = "version long, replaces boolean, table_name string, batch string, columns string, oldest date, newest date"
 #: The table that is laid out by month and tells the newest day.
 LINES = "tickets"
-#: The latest line of each item in each batch of lines, kept beside it.
-LATEST = "latest"
+#: Kept beside each batch of lines: the latest line of each item, and the units of each item, branch and day.
+LATEST, DAILY = "latest", "daily"
+#: Made when batches are put together: the sums of daily units that slopes are made of, by month.
+MONTHS = "months"
+KEPT = {LATEST: latest_state, DAILY: daily_units}
 
 
 @dataclass(frozen=True)
@@ -129,6 +133,15 @@ def snapshot(spark: SparkSession, base: str, version: int | None = None) -> Snap
     return Snapshot(base, rows[-1]["version"], tuple(b for own in batches.values() for b in own))
 
 
+def check_columns(last: Snapshot, table: str, columns: str) -> None:
+    """``ValueError`` naming the columns in which an addition differs from the rows it joins."""
+    for before in last.of(table)[-1:]:
+        kinds = [{f["name"]: f["type"] for f in json.loads(x)["fields"]} for x in (before.columns, columns)]
+        odd = [c for c in {*kinds[0], *kinds[1]} if kinds[0].get(c) != kinds[1].get(c)]
+        if odd:
+            raise ValueError(f"{table}: columns differ from those written before: {', '.join(sorted(odd))}")
+
+
 def publish(spark: SparkSession, base: str, batches: Iterable[Batch], replace: bool) -> Snapshot:
     """Make written batches the next version, all or none: one row each, in one file that appears at once.
 
@@ -136,40 +149,49 @@ def publish(spark: SparkSession, base: str, batches: Iterable[Batch], replace: b
     columns of the rows it joins.
     """
     batches, last = list(batches), snapshot(spark, base)
-    for b in batches:
-        for before in last.of(b.table)[-1:] if last and not replace else ():
-            kinds = [{f["name"]: f["type"] for f in json.loads(x.columns)["fields"]} for x in (before, b)]
-            odd = [c for c in {*kinds[0], *kinds[1]} if kinds[0].get(c) != kinds[1].get(c)]
-            if odd:
-                raise ValueError(f"{b.table}: columns differ from those written before: {', '.join(sorted(odd))}")
+    for b in batches if last and not replace else ():
+        check_columns(last, b.table, b.columns)
     version = last.version + 1 if last else 1
     rows = [(version, replace, b.table, b.name, b.columns, b.oldest, b.newest) for b in batches]
     spark.createDataFrame(rows, LOG_SCHEMA).coalesce(1).write.mode("append").json(f"{base.rstrip('/')}/{LOG}")
     return snapshot(spark, base)
 
 
-def line_batches(tickets: DataFrame, base: str, latest: bool) -> list[Batch]:
-    """Write sale lines as a batch and, if asked for, the latest line of each item in it."""
-    spark, lines = tickets.sparkSession, write_batch(tickets, base, LINES)
-    if not latest:
-        return [lines]
-    return [lines, write_batch(latest_state(read_batches(spark, base, [lines])), base, LATEST)]
+def line_batches(tickets: DataFrame, base: str, kept: Iterable[str]) -> list[Batch]:
+    """Write sale lines as a batch, and the tables that are kept beside it, from the lines just written."""
+    lines = write_batch(tickets, base, LINES)
+    rows = read_batches(tickets.sparkSession, base, [lines])
+    return [lines, *(changed(write_batch(KEPT[name](rows), base, name), oldest=lines.oldest, newest=lines.newest) for name in kept)]
+
+
+def can_keep(tickets: DataFrame) -> list[str]:
+    """The tables that can be kept of such lines; the latest line needs numbered ones."""
+    return [name for name in KEPT if name != LATEST or set(NUMBERED) <= set(tickets.columns)]
 
 
 def append_lines(tickets: DataFrame, base: str) -> Snapshot:
     """Add sale lines to a mart, as its next version. Nothing that is there is read or written again."""
     spark = tickets.sparkSession
     last = snapshot(spark, base)
-    return publish(spark, base, line_batches(tickets, base, bool(last and last.of(LATEST))), replace=False)
+    if last:
+        check_columns(last, LINES, _schema_text(tickets.drop("sale_month")))
+    kept = [name for name in KEPT if last.of(name)] if last else can_keep(tickets)
+    return publish(spark, base, line_batches(tickets, base, kept), replace=False)
 
 
 def compact_lines(spark: SparkSession, base: str) -> Snapshot:
-    """Put the lines of all batches into one, as the next version. Earlier versions stay readable."""
+    """Put the lines of all batches into one, as the next version, and what is kept beside them. Earlier versions stay readable.
+
+    Daily units are also summed up by month then: of the months so far no day will be split over batches.
+    """
     now = snapshot(spark, base)
     if now is None:
         raise ValueError("nothing was published")
-    lines = read_batches(spark, base, now.of(LINES))
-    batches = [write_batch(lines, base, LINES)]
-    if now.of(LATEST):
-        batches.append(write_batch(latest_state(read_batches(spark, base, now.of(LATEST))), base, LATEST))
+    batches = [write_batch(read_batches(spark, base, now.of(LINES)), base, LINES)]
+    for name, merge in KEPT.items():
+        if now.of(name):
+            rows = merge(read_batches(spark, base, now.of(name)))
+            batches.append(changed(write_batch(rows, base, name), oldest=now.oldest, newest=now.newest))
+            if name == DAILY:
+                batches.append(write_batch(month_moments(read_batches(spark, base, batches[-1:])), base, MONTHS))
     return publish(spark, base, batches, replace=True)

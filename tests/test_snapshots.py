@@ -119,6 +119,34 @@ def test_latest_lines_stand_for_all_lines(spark, mart, tmp_path, flt):
     assert pricing.sale_vs_purchase(packed.latest, mart.last_prices, flt, n=None).collect() == wanted
 
 
+@pytest.mark.parametrize("compact", [False, True])
+def test_trends_are_added_up_from_kept_sums(spark, mart, tmp_path, compact):
+    """Windows of any length and place, with lines that came late for months already summed up."""
+    base = str(tmp_path)
+    late = (F.col("sale_date") > dt.date(2000, 3, 14)) | ((F.col("item_id") % 5 == 0) & (F.col("sale_date") > dt.date(1998, 6, 20)))
+    write_mart(replace(mart, tickets=mart.tickets.where(~late)), base)
+    if compact:
+        snapshots.compact_lines(spark, base)
+    snapshots.append_lines(mart.tickets.where(late), base)
+    rollup = load_mart(spark, base).rollup
+    assert (rollup.months is not None) == compact and rollup.open_from.replace(day=1) == dt.date(1998, 6, 1)
+    for end, days, branch in ((dt.date(2001, 11, 4), 1900, None), (dt.date(1998, 7, 31), 91, "asia"), (dt.date(1999, 2, 28), 1, None), (dt.date(1997, 12, 31), 365, None), (dt.date(1996, 5, 15), 14, "africa")):
+        lines = mart.tickets.where(F.col("sale_date") <= end)
+        wanted = trend.report_of(trend.weekly_trend(lines, days, end, branch)).orderBy("item_id", "branch").collect()
+        found = trend.window_trend(rollup, end - dt.timedelta(days=days - 1), end, branch)
+        assert trend.report_of(found).orderBy("item_id", "branch").collect() == wanted and wanted
+
+
+def test_a_month_block_is_read_once_for_all_its_days(spark, mart, tmp_path):
+    write_mart(mart, str(tmp_path))
+    snapshots.compact_lines(spark, str(tmp_path))
+    rollup = load_mart(spark, str(tmp_path)).rollup
+    days = replace(rollup, months=None)
+    whole = (dt.date(1997, 1, 1), dt.date(1999, 12, 31))
+    assert trend.window_trend(replace(rollup, daily=rollup.daily.where("false")), *whole).count() == trend.window_trend(days, *whole).count() > 0
+    assert rollup.months.count() < rollup.daily.count()
+
+
 def test_lines_without_numbers_have_no_latest_table(spark, mart, tmp_path):
     write_mart(replace(mart, tickets=mart.tickets.drop("order_id", "line_no")), str(tmp_path))
     back = load_mart(spark, str(tmp_path))
