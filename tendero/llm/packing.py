@@ -1,6 +1,7 @@
 """Documents packed into sequences of several permitted lengths by variable-capacity best fit.
 
-Pieces are dealt into blocks of bounded size by a hash, and each block is packed for itself. A piece
+Pieces are dealt into blocks of bounded size by a number each got when it was written, so that rows that repeat are dealt
+apart, and each block is packed for itself. A piece
 goes to the open bin it leaves least room in; where none has room, the bin size of least cost
 for each token still to be placed is opened. The same is tried with each size as the one to open, the
 cheapest result stays, and every bin is cut down to the smallest size that holds its contents.
@@ -21,6 +22,7 @@ from tendero.llm.tables import written
 CAPACITIES = (1024, 2048, 4096, 8192)
 #: What a sequence costs besides its length.
 OVERHEAD = 64
+#: Pieces in a block on average.
 BLOCK_PIECES = 16384
 
 
@@ -96,9 +98,10 @@ def pack(lengths: DataFrame, capacities: Sequence[int] = CAPACITIES) -> DataFram
     most = capacities[-1]
     rows = lengths.select("doc_id", "row", F.col("n_tokens").cast("long").alias("n")).where("n > 0")
     rows = rows.select("doc_id", "row", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / most))).alias("piece"))
-    rows = written(rows.select("doc_id", "row", "piece", (F.col("piece") * most).alias("start"), F.least(F.lit(most).cast("long"), F.col("n") - F.col("piece") * most).alias("n_tokens")), "pieces")
+    rows = written(rows.select("doc_id", "row", "piece", (F.col("piece") * most).alias("start"), F.least(F.lit(most).cast("long"), F.col("n") - F.col("piece") * most).alias("n_tokens"),
+                               F.monotonically_increasing_id().alias("at")), "pieces")
     blocks = rows.count() // BLOCK_PIECES + 1
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "row", "piece"), F.lit(blocks)))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("at"), F.lit(blocks))).drop("at")
     schema = "doc_id long, row long, piece long, start long, n_tokens long, bin_id long, offset long, capacity long"
     return dealt.groupBy("block").applyInArrow(_pack(capacities), schema)
 

@@ -6,6 +6,7 @@ import random
 import pytest
 from cases import documents, tokens
 
+from tendero.llm import packing
 from tendero.llm.packing import best_fit, cost, pack, word_lengths
 
 
@@ -74,3 +75,11 @@ def test_empty_and_null_lengths(spark, no_docs):
     assert pack(word_lengths(no_docs)).collect() == []
     odd = spark.createDataFrame([(1, 1, None), (2, 2, 0), (3, 3, -1)], "doc_id long, row long, n_tokens long")
     assert pack(odd).collect() == []
+
+
+def test_rows_that_repeat_are_dealt_apart(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_PIECES", 1024)
+    lengths = spark.range(60000).selectExpr("if(id % 2 = 0, 5, id) AS doc_id", "if(id % 2 = 0, 1, id) AS row", "30L AS n_tokens").repartition(4)
+    packed = packing.pack(lengths)
+    blocks = packed.groupBy((packed["bin_id"].bitwiseAND(~((1 << 32) - 1))).alias("block")).count().collect()
+    assert sum(r["count"] for r in blocks) == 60000 and max(r["count"] for r in blocks) < 2 * 1024
