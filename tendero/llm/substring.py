@@ -6,7 +6,8 @@ an anchor at the same place inside them, as long as an anchor is ``window - peri
 Only windows around an anchor that occurs twice are then hashed whole.
 
 Documents are dealt into blocks of bounded size. A block sends each hash once, with a mark if it
-holds it twice, so a passage that a third of all documents share costs a row a block.
+holds it twice, so a passage that a third of all documents share costs a row a block. Rows that are equal in all
+columns are counted and dealt as one; texts without words are dealt nowhere.
 """
 
 from __future__ import annotations
@@ -16,14 +17,18 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from tendero.llm.tables import if_small, written
 from tendero.llm.words import window_hashes
 
 BLOCK_BYTES = 8 << 20
+BLOCK_ROWS = 1 << 16
+#: Equal rows that are laid out by one task.
+RUN = 1 << 16
 LEAST_ANCHOR = 8
 
 #: Perfect difference sets; every remainder is a difference of two members.
@@ -39,7 +44,8 @@ def cover_for(window: int) -> tuple[int, tuple[int, ...]]:
 class _Block:
     """The words of a block's texts, one after the other."""
 
-    def __init__(self, texts: list[str | None], window: int):
+    def __init__(self, table: pa.Table, window: int):
+        texts = table.column("text").to_pylist()
         self.words = [(text or "").encode().split() for text in texts]
         self.lengths = np.array([len(x) for x in self.words], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
@@ -47,6 +53,7 @@ class _Block:
         self.hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for words in self.words for w in words), np.uint64, total)
         self.at = np.arange(total) - np.repeat(self.starts, self.lengths)
         self.left = np.repeat(self.lengths, self.lengths) - self.at
+        self.copied = np.repeat(table.column("copies").to_numpy() > 1, self.lengths)
         self.window = window
         self.period, self.cover = cover_for(window)
 
@@ -68,9 +75,12 @@ def _among(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
     return sorted_set[np.minimum(np.searchsorted(sorted_set, values), len(sorted_set) - 1)] == values
 
 
-def _hash_rows(block: int, hashes: np.ndarray) -> pa.Table:
-    found, counts = np.unique(hashes, return_counts=True)
-    return pa.table({"h": pa.array(found.view(np.int64)), "block": pa.array(np.full(len(found), block, np.int32)), "twice": pa.array(counts > 1)})
+def _hash_rows(block: int, hashes: np.ndarray, copied: np.ndarray) -> pa.Table:
+    """Each hash of a block once, and whether the block holds it twice: in two places or in a row that stands for several."""
+    found, inverse, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+    twice = counts > 1
+    twice[inverse[copied]] = True
+    return pa.table({"h": pa.array(found.view(np.int64)), "block": pa.array(np.full(len(found), block, np.int32)), "twice": pa.array(twice)})
 
 
 def _given(table: pa.Table) -> np.ndarray:
@@ -79,7 +89,9 @@ def _given(table: pa.Table) -> np.ndarray:
 
 def _anchor_rows(window: int) -> Callable:
     def make(table: pa.Table) -> pa.Table:
-        return _hash_rows(table.column("block")[0].as_py(), _Block(table.column("text").to_pylist(), window).anchors()[1])
+        block = _Block(table, window)
+        at, anchors = block.anchors()
+        return _hash_rows(table.column("block")[0].as_py(), anchors, block.copied[at])
 
     return make
 
@@ -87,8 +99,8 @@ def _anchor_rows(window: int) -> Callable:
 def _window_rows(window: int) -> Callable:
     def make(table: pa.Table, repeated: pa.Table) -> pa.Table:
         if not table.num_rows or not repeated.num_rows:
-            return _hash_rows(0, np.empty(0, np.uint64))
-        block = _Block(table.column("text").to_pylist(), window)
+            return _hash_rows(0, np.empty(0, np.uint64), np.empty(0, bool))
+        block = _Block(table, window)
         at, anchors = block.anchors()
         marks = np.zeros(len(block.hashes) + 1, np.int64)
         marks[at[_among(anchors, _given(repeated))] + 1] = 1
@@ -96,7 +108,8 @@ def _window_rows(window: int) -> Callable:
         found = block.windows()
         start = np.arange(len(found))
         near = upto[np.minimum(start + block.period, len(block.hashes))] > upto[start]
-        return _hash_rows(table.column("block")[0].as_py(), found[near & (block.left[:len(found)] >= window)])
+        use = np.flatnonzero(near & (block.left[:len(found)] >= window))
+        return _hash_rows(table.column("block")[0].as_py(), found[use], block.copied[use])
 
     return make
 
@@ -105,7 +118,7 @@ def _cut(window: int, schema: pa.Schema) -> Callable:
     def cut(table: pa.Table, repeated: pa.Table) -> pa.Table:
         if not table.num_rows:
             return schema.empty_table()
-        block = _Block(table.column("text").to_pylist(), window)
+        block = _Block(table, window)
         found = block.windows()
         hits = np.flatnonzero(_among(found, _given(repeated)) & (block.left[:len(found)] >= window))
         edges = np.zeros(len(block.hashes) + 1, np.int64)
@@ -118,16 +131,37 @@ def _cut(window: int, schema: pa.Schema) -> Callable:
             if gone:
                 words = [w for w, x in zip(words, drop[start:start + len(words)], strict=True) if not x]
             kept.append(b" ".join(words).decode())
-        return pa.table([table.column("rest"), table.column("text"), pa.array(block.lengths), pa.array(np.asarray(removed, np.int64)), pa.array(kept, pa.string())], names=schema.names)
+        return pa.table([table.column("rest"), table.column("text"), pa.array(block.lengths), pa.array(np.asarray(removed, np.int64)), pa.array(kept, pa.string()), table.column("copies")], names=schema.names)
 
     return cut
 
 
 def _repeated(hashes: DataFrame) -> DataFrame:
-    """For each block those of its hashes that occur elsewhere or there twice."""
-    everywhere = Window.partitionBy("h")
-    counted = hashes.withColumn("n", F.count("*").over(everywhere))
-    return counted.where("n > 1 OR twice").select("block", "h")
+    """For each block those of its hashes that occur elsewhere or there twice. A common hash is counted by partial sums."""
+    often = hashes.groupBy("h").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).where("n > 1 OR twice")
+    return hashes.join(often.select("h"), "h", "left_semi").select("block", "h")
+
+
+def _counted(texts: DataFrame) -> DataFrame:
+    """``rest, text, copies``: rows that are equal in all columns as one, each other row as it is.
+
+    Hashes of rows are counted first; only rows whose hash repeats are grouped by their columns.
+    """
+    row = F.xxhash64("rest", "text").alias("row")
+    again = written(texts.select(row).groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select("row"), "again")
+    if again.isEmpty():
+        return texts.withColumn("copies", F.lit(1).cast("long"))
+    again, marked = if_small(again, 32), texts.select("*", row)
+    many = marked.join(again, "row", "left_semi").groupBy("rest", "text").agg(F.count("*").alias("copies"))
+    return marked.join(again, "row", "left_anti").select("rest", "text", F.lit(1).cast("long").alias("copies")).unionByName(many)
+
+
+def _laid_out(rows: DataFrame) -> DataFrame:
+    """Each row as many times as it was counted."""
+    once = rows.where("copies = 1")
+    parts = rows.where("copies > 1").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / RUN))).alias("part")).hint("rebalance")
+    size = F.least(F.lit(RUN).cast("long"), F.col("copies") - F.col("part") * RUN)
+    return once.drop("copies").unionByName(parts.select("*", F.explode(F.array_repeat(F.lit(0), size.cast("int"))).alias("copy")).drop("copies", "part", "copy"))
 
 
 def cut_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
@@ -141,23 +175,27 @@ def cut_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     """
     rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("rest")
     texts = docs.select(rest, F.col("text").cast("string").alias("text"))
-    volume = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = volume // BLOCK_BYTES + 1
-    dealt = texts.withColumn("block", F.pmod(F.xxhash64("rest.doc_id", "text"), F.lit(blocks)).cast("int")).repartition("block")
+    blank = F.coalesce(F.btrim("text", F.lit(" \t\n\x0b\x0c\r")), F.lit("")) == ""
+    counted = _counted(texts.where(~blank))
+    size = texts.where(~blank).agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    blocks = (size[0] or 0) // BLOCK_BYTES + size[1] // BLOCK_ROWS + 1
+    dealt = counted.withColumn("block", F.pmod(F.xxhash64("rest.doc_id", "text"), F.lit(blocks)).cast("int")).repartition("block")
     schema = "h long, block int, twice boolean"
     anchors = _repeated(dealt.groupBy("block").applyInArrow(_anchor_rows(window), schema))
     windows = _repeated(dealt.groupBy("block").cogroup(anchors.groupBy("block")).applyInArrow(_window_rows(window), schema))
     more = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
-    made = T.StructType([dealt.schema["rest"], dealt.schema["text"], *more])
-    return dealt.groupBy("block").cogroup(windows.groupBy("block")).applyInArrow(_cut(window, to_arrow_schema(made)), made)
+    made = T.StructType([dealt.schema["rest"], dealt.schema["text"], *more, T.StructField("copies", T.LongType())])
+    cut = _laid_out(dealt.groupBy("block").cogroup(windows.groupBy("block")).applyInArrow(_cut(window, to_arrow_schema(made)), made))
+    none = F.lit(0).cast("long")
+    return cut.unionByName(texts.where(blank).select("rest", "text", none.alias("n_words"), none.alias("n_removed"), F.lit("").alias("kept")))
 
 
 def without_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     """``docs`` with the repeats cut from ``text``, and ``n_chars``, if there, counted again.
 
-    A text that loses nothing stays as it was to the letter; a row that loses all its words is dropped.
+    A text that loses nothing stays as it was to the letter; one that loses all its words is empty, and its row stays.
     """
-    cut = cut_repeats(docs, window).where("n_removed = 0 OR n_removed < n_words")
+    cut = cut_repeats(docs, window)
     lost = F.col("n_removed") > 0
     columns = []
     for name in docs.columns:

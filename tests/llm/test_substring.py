@@ -3,8 +3,9 @@
 from collections import Counter
 
 import pytest
-from cases import documents, tokens
+from cases import DOC_SCHEMA, documents, tokens, words
 
+from tendero.llm import substring
 from tendero.llm.substring import COVERS, cover_for, cut_repeats, without_repeats
 
 
@@ -47,4 +48,17 @@ def test_rows_keep_their_columns(docs):
     assert kept.schema.names == docs.schema.names
     by_id = {r["doc_id"]: r for r in kept.collect()}
     assert by_id[17]["text"] == dict((r[0], r[1]) for r in documents())[17]
-    assert by_id[5]["n_chars"] == len(by_id[5]["text"]) and 1 not in by_id and 9 in by_id
+    assert by_id[5]["n_chars"] == len(by_id[5]["text"]) and by_id[1]["text"] == "" and by_id[9]["text"] is None and len(by_id) == len({r[0] for r in documents()})
+
+
+def test_no_block_holds_the_rows_that_repeat(spark, monkeypatch):
+    """A third each of equal rows, of empty texts and of null rows are dealt as one row or not at all."""
+    monkeypatch.setattr(substring, "RUN", 100)
+    passage = words(40, 1)
+    rows = [(7, " ".join(words(50, 2)))] * 20000 + [(8, "")] * 20000 + [(None, None)] * 20000
+    rows += [(9, " ".join(words(10, 3) + passage)), (9, " ".join(words(10, 4) + passage)), (10, " ".join(words(60, 5))), (11, "short")] + [(12, "too short to cut")] * 2
+    docs = spark.createDataFrame([(i, t, None, None, 1, "c", None, "r", "k") for i, t in rows], DOC_SCHEMA).repartition(4)
+    rest = substring.F.struct(*(c for c in docs.columns if c != "text")).alias("rest")
+    assert substring._counted(docs.select(rest, "text").where("text != ''")).count() == 6
+    found = Counter(map(tuple, cut_repeats(docs, 35).select("rest.doc_id", "n_words", "n_removed", "kept").collect()))
+    assert found == Counter((i, *e) for (i, _), e in zip(rows, expected([t for _, t in rows], 35)))
