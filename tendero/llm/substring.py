@@ -17,7 +17,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -137,9 +137,12 @@ def _cut(window: int, schema: pa.Schema) -> Callable:
 
 
 def _repeated(hashes: DataFrame) -> DataFrame:
-    """For each block those of its hashes that occur elsewhere or there twice. A common hash is counted by partial sums."""
-    often = hashes.groupBy("h").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).where("n > 1 OR twice")
-    return hashes.join(often.select("h"), "h", "left_semi").select("block", "h")
+    """For each block those of its hashes that occur elsewhere or there twice.
+
+    A hash has a row a block at most. Counting by partial sums and joining back would make the hashes twice.
+    """
+    counted = hashes.withColumn("n", F.count("*").over(Window.partitionBy("h")))
+    return counted.where("n > 1 OR twice").select("block", "h")
 
 
 def _counted(texts: DataFrame) -> DataFrame:
