@@ -77,9 +77,10 @@ def _among(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
 
 def _hash_rows(block: int, hashes: np.ndarray, copied: np.ndarray) -> pa.Table:
     """Each hash of a block once, and whether the block holds it twice: in two places or in a row that stands for several."""
-    found, inverse, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+    found, counts = np.unique(hashes, return_counts=True)
     twice = counts > 1
-    twice[inverse[copied]] = True
+    if copied.any():
+        twice |= _among(found, np.unique(hashes[copied]))
     return pa.table({"h": pa.array(found.view(np.int64)), "block": pa.array(np.full(len(found), block, np.int32)), "twice": pa.array(twice)})
 
 
