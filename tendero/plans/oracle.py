@@ -185,6 +185,16 @@ put("query_log", """
     FROM conversations q LEFT JOIN conversations a
       ON q.conv_id = a.conv_id AND q.turn + 1 = a.turn AND a.role = 'assistant'
     WHERE q.role = 'user'""")
+_TURNS_ASKED = """
+    SELECT 1000000000 + conv_id*7200 + turn AS asked_at,
+           CAST(to_timestamp(1000000000 + conv_id*7200 + turn) AT TIME ZONE 'UTC' AS DATE) AS day, text AS pregunta,
+           CASE WHEN length(role) > 0 THEN role ELSE 'ninguno' END AS modo,
+           CASE WHEN turn <> 0 THEN round_even(turn*0.25::DOUBLE, 1) END AS tiempo_seg
+    FROM conversations"""
+put("folded_query_log", _TURNS_ASKED)
+put("questions_by_day", f"""
+    SELECT day, modo, count(*) AS questions, sum(tiempo_seg) AS seconds FROM ({_TURNS_ASKED})
+    WHERE day BETWEEN DATE '2001-09-15' AND DATE '2001-09-28' GROUP BY day, modo""")
 put("load_report", """
     SELECT 'sale_date' AS column_name, count(*) AS filled, count(*) FILTER (WHERE l_linenumber = 7) AS nulled FROM lineitem
     UNION ALL SELECT 'item_key', count(*), count(*) FILTER (WHERE l_linenumber = 6) FROM lineitem
@@ -834,6 +844,19 @@ put("tag_turns_by_table", r"""
     SELECT t.conv_id, t.turn, upper(m.word) AS category,
            CASE WHEN m.word IS NULL THEN coalesce(b.words, '') WHEN contains(low, m.word) THEN m.word ELSE '' END AS brands
     FROM t LEFT JOIN m USING (conv_id, turn) LEFT JOIN b USING (conv_id, turn)""")
+put("tag_arrivals", r"""
+    WITH n AS (SELECT DISTINCT string_split(lower(p_name), ' ') AS w FROM part),
+    a AS (SELECT w[2] AS word, 0 AS late FROM n UNION ALL SELECT w[1], 1 FROM n UNION ALL SELECT unnest(['the', 'de la']), 0),
+    d AS (SELECT word, min(late) AS late FROM a WHERE word IS NOT NULL GROUP BY word),
+    t AS (SELECT conv_id, turn, text, lower(trim(text)) AS low,
+            concat(' ', trim(regexp_replace(lower(text), '[^\p{L}\p{N}\p{M}_]+', ' ', 'g')), ' ') AS norm FROM conversations),
+    m AS (SELECT conv_id, turn, (list(word ORDER BY length(word) DESC, word))[1] AS word
+          FROM t JOIN d ON contains(norm, concat(' ', word, ' ')) AND late <= conv_id % 2 GROUP BY ALL),
+    b AS (SELECT conv_id, turn, string_agg(word, ',' ORDER BY word) AS words
+          FROM t JOIN d ON contains(low, word) AND late <= conv_id % 2 GROUP BY ALL)
+    SELECT 1000000000 + t.conv_id*60 + t.turn AS asked_at, t.text AS pregunta, upper(m.word) AS category,
+           CASE WHEN m.word IS NULL THEN coalesce(b.words, '') WHEN contains(low, m.word) THEN m.word ELSE '' END AS brands
+    FROM t LEFT JOIN m USING (conv_id, turn) LEFT JOIN b USING (conv_id, turn)""")
 put("tag_catalog_by_table", """
     WITH n AS (SELECT DISTINCT family, split_part(description, ' ', 2) AS noun, split_part(description, ' ', 1) AS adjective FROM catalog),
     o AS (SELECT noun, max(concat(family, '/', noun)) AS category FROM n GROUP BY noun),

@@ -15,7 +15,7 @@ from tendero.operators import (
 )
 from tendero.plans import samples as X
 from tendero.plans.filters import SalesFilter, keep
-from tendero.sources import sinks
+from tendero.sources import question_log, sinks
 from tendero.sources.mart import Mart, load_mart, nulled_values, run_select, unparsed_dates, write_mart
 from tendero.sources.shared import new_path
 from tendero.sources.snapshots import append_lines, compact_lines
@@ -126,6 +126,57 @@ def query_log(spark: SparkSession, folder: str) -> DataFrame:
     return log.withColumn("timestamp", F.unix_seconds("timestamp"))
 
 
+def _turns_asked(spark: SparkSession, folder: str, apart: int) -> DataFrame:
+    """Conversation turns as rows of the question log, conversations ``apart`` seconds from each other."""
+    turns = read_table(spark, folder, "conversations")
+    return turns.select(
+        F.timestamp_seconds(F.lit(1_000_000_000) + F.col("conv_id") * apart + F.col("turn")).alias("timestamp"),
+        F.col("text").alias("pregunta"), F.lit(None).cast("string").alias("respuesta"), F.col("role").alias("modo"),
+        (F.col("turn") * 0.25).alias("tiempo_seg"), (F.col("conv_id") % 2).alias("round"))
+
+
+@on_tables
+def folded_query_log(spark: SparkSession, folder: str) -> DataFrame:
+    """Every turn, arriving in the log in two rounds, folded after each and put together, by day."""
+    log, base = new_path(spark, "arriving-log"), new_path(spark, "folded-log")
+    asked = _turns_asked(spark, folder, 7_200)
+    for number in (0, 1):
+        sinks.append_query_log(asked.where(F.col("round") == number).drop("round"), log)
+        question_log.fold_log(spark, log, base)
+    question_log.compact_log(spark, base)
+    rows = question_log.read_folded_log(spark, base)
+    return rows.select("day", F.unix_seconds("timestamp").alias("asked_at"), "pregunta", "modo", "tiempo_seg")
+
+
+@on_tables
+def questions_by_day(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns of each day and role in two weeks of the folded log, whose other days are not opened."""
+    log, base = new_path(spark, "arriving-log"), new_path(spark, "folded-log")
+    sinks.append_query_log(_turns_asked(spark, folder, 7_200).drop("round"), log)
+    question_log.fold_log(spark, log, base)
+    rows = question_log.read_folded_log(spark, base, dt.date(2001, 9, 15), dt.date(2001, 9, 28))
+    return rows.groupBy("day", "modo").agg(
+        F.count(F.lit(1)).alias("questions"), F.sum("tiempo_seg").alias("seconds"))
+
+
+@on_tables
+def tag_arrivals(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns arriving in two rounds, tagged from a dictionary table of item nouns that gains the adjectives in between."""
+    log, base, words = new_path(spark, "arriving-log"), new_path(spark, "tagged-log"), new_path(spark, "dictionary")
+    names = read_table(spark, folder, "part").select(F.split(F.lower("p_name"), " ").alias("name"))
+    nouns = names.select(F.explode(F.concat(F.array(F.col("name")[1]), F.array(F.lit("the"), F.lit("de la")))).alias("word")).distinct()
+    adjectives = names.select(F.col("name")[0].alias("word")).distinct().join(nouns, "word", "left_anti")
+    empty = F.lit(None).cast("string")
+    asked = _turns_asked(spark, folder, 60)
+    for number, added in enumerate((nouns, adjectives)):
+        added.select(F.col("word").alias("position"), F.upper("word").alias("category"), empty.alias("family"), empty.alias("subfamily"),
+                     F.array("word").alias("synonyms"), F.array("word").alias("brands")).write.mode("append").parquet(words)
+        sinks.append_query_log(asked.where(F.col("round") == number).drop("round"), log)
+        questions.tag_arriving(spark, log, base, lambda: spark.read.parquet(words))
+    rows = question_log.read_folded_log(spark, base, table="tagged")
+    return rows.select(F.unix_seconds("timestamp").alias("asked_at"), "pregunta", "category", F.concat_ws(",", "brands").alias("brands"))
+
+
 @on_tables
 def stream_tagged_log(spark: SparkSession, folder: str) -> DataFrame:
     """User turns arriving in the question log, tagged and routed as a stream."""

@@ -65,7 +65,8 @@ class Snapshot:
         return min((b.oldest for b in self.batches if b.oldest), default=None)
 
 
-def _schema_text(df: DataFrame) -> str:
+def columns_of(df: DataFrame) -> str:
+    """Names and types of a table's columns, as a batch notes them."""
     return json.dumps(json.loads(df.schema.json()), sort_keys=True)
 
 
@@ -77,10 +78,10 @@ def write_batch(df: DataFrame, base: str, table: str) -> Batch:
     noted on the way, in the same job.
     """
     name = uuid.uuid4().hex
-    path = _path(base, table, name)
+    path = batch_path(base, table, name)
     if table != LINES:
         df.write.parquet(path)
-        return Batch(table, name, _schema_text(df))
+        return Batch(table, name, columns_of(df))
     lines = df.drop("sale_month")
     days = Observation()
     seen = lines.observe(days, F.min("sale_date").alias("oldest"), F.max("sale_date").alias("newest"))
@@ -88,10 +89,11 @@ def write_batch(df: DataFrame, base: str, table: str) -> Batch:
      .hint("rebalance", "sale_month")
      .sortWithinPartitions("sale_month", "sale_date")
      .write.partitionBy("sale_month").parquet(path))
-    return Batch(table, name, _schema_text(lines), days.get.get("oldest"), days.get.get("newest"))
+    return Batch(table, name, columns_of(lines), days.get.get("oldest"), days.get.get("newest"))
 
 
-def _path(base: str, table: str, batch: str) -> str:
+def batch_path(base: str, table: str, batch: str) -> str:
+    """The folder of a batch."""
     return f"{base.rstrip('/')}/{table}/batch={batch}"
 
 
@@ -101,10 +103,11 @@ def read_batches(spark: SparkSession, base: str, batches: Sequence[Batch]) -> Da
     laid_out = [T.StructField("sale_month", T.DateType())] if table == LINES else []
     schema = T.StructType([*columns.fields, *laid_out, T.StructField("batch", T.StringType())])
     reader = spark.read.schema(schema).option("basePath", f"{base.rstrip('/')}/{table}")
-    return reader.parquet(*(_path(base, table, b.name) for b in batches)).drop("batch")
+    return reader.parquet(*(batch_path(base, table, b.name) for b in batches)).drop("batch")
 
 
-def _log(spark: SparkSession, base: str) -> list:
+def noted_rows(spark: SparkSession, base: str) -> list:
+    """The rows of the log of versions, oldest first; none where nothing was ever published."""
     try:
         rows = spark.read.schema(LOG_SCHEMA).json(f"{base.rstrip('/')}/{LOG}").collect()
     except AnalysisException as missing:
@@ -119,15 +122,17 @@ def snapshot(spark: SparkSession, base: str, version: int | None = None) -> Snap
 
     The log has a row for each table a write touched, and is read whole.
     """
-    rows = [r for r in _log(spark, base) if version is None or r["version"] <= version]
+    rows = [r for r in noted_rows(spark, base) if version is None or r["version"] <= version]
     if version is not None and version not in {r["version"] for r in rows}:
         raise ValueError(f"no version {version}")
     if not rows:
         return None
     batches: dict[str, list[Batch]] = {}
+    replaced = set()
     for r in rows:
         own = batches.setdefault(r["table_name"], [])
-        if r["replaces"]:
+        if r["replaces"] and (r["version"], r["table_name"]) not in replaced:
+            replaced.add((r["version"], r["table_name"]))
             own.clear()
         own.append(Batch(r["table_name"], r["batch"], r["columns"], r["oldest"], r["newest"]))
     return Snapshot(base, rows[-1]["version"], tuple(b for own in batches.values() for b in own))
@@ -174,7 +179,7 @@ def append_lines(tickets: DataFrame, base: str) -> Snapshot:
     spark = tickets.sparkSession
     last = snapshot(spark, base)
     if last:
-        check_columns(last, LINES, _schema_text(tickets.drop("sale_month")))
+        check_columns(last, LINES, columns_of(tickets.drop("sale_month")))
     kept = [name for name in KEPT if last.of(name)] if last else can_keep(tickets)
     return publish(spark, base, line_batches(tickets, base, kept), replace=False)
 

@@ -1,18 +1,23 @@
 """Questions tagged and routed as they arrive.
 
 Tags and routes are stateless projections, so a stream needs no watermark and keeps no
-state; the checkpoint alone makes every question appear in the log exactly once.
+state; the checkpoint alone makes every question appear in the log exactly once. Tags from a
+dictionary table are joins, made for each round of arrivals with the table as it is then.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from tendero.functions.predicates import DateLike
 from tendero.operators.routing import route_label
-from tendero.operators.tagging import Dictionary, tag_texts
+from tendero.operators.tagging import Dictionary, tag_items, tag_texts
+from tendero.sources.question_log import fold_log
 from tendero.sources.sinks import QUERY_LOG_SCHEMA
+from tendero.sources.snapshots import Snapshot
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
@@ -38,3 +43,16 @@ def write_tagged(tagged: DataFrame, path: str, checkpoint: str) -> StreamingQuer
         .option("path", path).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
+
+
+def tag_arriving(
+    spark: SparkSession, log: str, base: str, dictionary: Callable[[], DataFrame], text_col: str = "pregunta",
+    table: str = "tagged",
+) -> Snapshot | None:
+    """Fold what has arrived in the log and publish its tags from a dictionary table with it, each row once.
+
+    ``dictionary`` is called for every round of arrivals and returns the table as it is then; it may grow to any
+    size (:func:`tag_items`). Rows and tags of a round appear in one version, or neither does. Read the tags by
+    ``read_folded_log(spark, base, table=table)``.
+    """
+    return fold_log(spark, log, base, {table: lambda rows: tag_items(rows, text_col, dictionary())})
