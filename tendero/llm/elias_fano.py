@@ -59,12 +59,24 @@ class EliasFano:
             byte, skip = byte + 64, 0
 
     def all(self) -> np.ndarray:
-        places = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[:self.count]
-        high = (places - np.arange(self.count)).astype(np.uint64) << np.uint64(self.width)
+        return self.between(0, self.count)
+
+    def between(self, first: int, last: int) -> np.ndarray:
+        """The numbers from place ``first`` up to ``last``, decoded from the sample before on."""
+        if first >= last:
+            return np.empty(0, np.uint64)
+        start, behind = first // SAMPLE, -(-last // SAMPLE)
+        place = int(self.samples[start])
+        stop = int(self.samples[behind]) // 8 + 1 if behind < len(self.samples) else len(self.high)
+        bits = np.unpackbits(self.high[place // 8:stop], bitorder="little")
+        bits[:place % 8] = 0
+        ones = np.flatnonzero(bits)[first - start * SAMPLE:last - start * SAMPLE] + place // 8 * 8
+        high = (ones - np.arange(first, last)).astype(np.uint64) << np.uint64(self.width)
         if not self.width:
             return high
-        bits = np.unpackbits(self.low, bitorder="little", count=self.count * self.width).reshape(self.count, self.width)
-        return high | (bits.astype(np.uint64) << np.arange(self.width, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+        at = first * self.width
+        low = np.unpackbits(self.low[at // 8:(last * self.width + 7) // 8], bitorder="little")[at % 8:][:(last - first) * self.width]
+        return high | (low.reshape(-1, self.width).astype(np.uint64) << np.arange(self.width, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
     def parts(self) -> tuple[dict, list[bytes]]:
         """Header and byte strings to write, for :meth:`from_parts`."""

@@ -31,7 +31,10 @@ from tendero.llm.words import slices
 from tendero.sources.shared import new_path
 
 END_ID = 0
-FILE_BYTES = 512 << 20
+#: A file is closed at either of these.
+FILE_BYTES, FILE_DOCUMENTS = 512 << 20, 1 << 20
+#: Documents whose boundaries are decoded together, and ids that are read at once.
+READ_DOCUMENTS, READ_IDS = 4096, 1 << 20
 #: Pieces of text whose ids a worker remembers.
 REMEMBERED = 500_000
 CLOSING = ".,;:!?"
@@ -170,6 +173,23 @@ class TokenFile:
     def between(self, start: int, end: int) -> np.ndarray:
         return np.frombuffer(self.file.read_at((end - start) * self.kind.itemsize, start * self.kind.itemsize), self.kind)
 
+    def sums(self, bounds: np.ndarray) -> list[int]:
+        """CRC of the ids between each boundary and the next, as 32-bit numbers. Short neighbours are read together, a long one in parts."""
+        sums, i, last = [], 0, len(bounds) - 1
+        while i < last:
+            j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + READ_IDS, "right")) - 1)
+            if bounds[j] - bounds[i] > READ_IDS:
+                crc = 0
+                for at in range(int(bounds[i]), int(bounds[j]), READ_IDS):
+                    crc = zlib.crc32(self.between(at, min(at + READ_IDS, int(bounds[j]))).astype("<u4").tobytes(), crc)
+                sums.append(crc)
+            else:
+                ids = self.between(int(bounds[i]), int(bounds[j])).astype("<u4")
+                cuts = (bounds[i:j + 1] - bounds[i]).tolist()
+                sums += [zlib.crc32(ids[a:b]) for a, b in zip(cuts, cuts[1:])]
+            i = j
+        return sums
+
     def document(self, i: int) -> np.ndarray:
         """The ids of the i-th document, read alone."""
         return self.between(self.bounds.select(i), self.bounds.select(i + 1))
@@ -183,7 +203,7 @@ def _write(folder: str, tokenizer: str) -> Callable:
         for batch in slices(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = encode.encode(text or "")
-                if out and out.size + len(ids) > FILE_BYTES:
+                if out and (out.size + len(ids) > FILE_BYTES or len(out.ids) >= FILE_DOCUMENTS):
                     files.append(out.close())
                     out = None
                 out = out or _Writer(folder, encode.kind)
@@ -204,17 +224,13 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for uri, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             file = TokenFile(uri)
-            bounds = file.bounds.all().astype(np.int64)
-            for first in range(0, len(file), 4096):
-                last = min(first + 4096, len(file))
-                sums = []
-                for i in range(first, last):
-                    ids = file.between(int(bounds[i]), int(bounds[i + 1]))
-                    sums.append(zlib.crc32(ids.astype("<u4").tobytes()))
+            for first in range(0, len(file), READ_DOCUMENTS):
+                last = min(first + READ_DOCUMENTS, len(file))
+                bounds = file.bounds.between(first, last + 1).astype(np.int64)
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": pa.array(file.doc_ids.slice(first, last - first).to_pylist(), pa.int64()),
-                    "start": pa.array(bounds[first:last] + base), "n_tokens": pa.array(np.diff(bounds[first:last + 1])),
-                    "ids_crc32": pa.array(sums, pa.int64())})
+                    "doc_id": file.doc_ids.slice(first, last - first).combine_chunks(),
+                    "start": pa.array(bounds[:-1] + base), "n_tokens": pa.array(np.diff(bounds)),
+                    "ids_crc32": pa.array(file.sums(bounds), pa.int64())})
 
 
 def write_tokens(docs: DataFrame, tokenizer: str) -> DataFrame:

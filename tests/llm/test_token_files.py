@@ -20,6 +20,10 @@ def test_selection_gives_every_number(values):
     coded = EliasFano.of(np.array(values))
     head, parts = coded.parts()
     again = EliasFano.from_parts(head, parts)
+    for first in {0, 1, 255, 256, 257, len(values) - 1}:
+        for last in {first, first + 1, first + 300, len(values)}:
+            if first <= last <= len(values):
+                assert again.between(first, last).tolist() == values[first:last]
     assert again.all().tolist() == values and [again.select(i) for i in range(len(values))] == values
     with pytest.raises(IndexError):
         again.select(len(values))
@@ -36,9 +40,10 @@ def test_pieces_encode_like_whole_texts():
         assert np.frombuffer(made, encode.kind).tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
 
 
-@pytest.mark.parametrize("file_bytes", [1 << 29, 3000])
-def test_documents_come_back_in_order(docs, monkeypatch, file_bytes):
-    monkeypatch.setattr("tendero.llm.token_files.FILE_BYTES", file_bytes)
+@pytest.mark.parametrize("settings", [{}, {"FILE_BYTES": 3000}, {"FILE_DOCUMENTS": 2}, {"READ_IDS": 5, "READ_DOCUMENTS": 3}])
+def test_documents_come_back_in_order(docs, monkeypatch, settings):
+    for name, value in settings.items():
+        monkeypatch.setattr(f"tendero.llm.token_files.{name}", value)
     whole = Tokenizer.from_file(PATH)
     wanted = {}
     for i, text, *_ in documents():
