@@ -36,7 +36,7 @@ FILE_BYTES, FILE_DOCUMENTS = 512 << 20, 1 << 20
 #: Documents whose boundaries are decoded together, and ids that are read at once.
 READ_DOCUMENTS, READ_IDS = 4096, 1 << 20
 #: Pieces of text whose ids a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 CLOSING = ".,;:!?"
 #: A closing mark after another mark is part of one piece with it.
 RUN = re.compile(rf"(?:[^\w\s]|_)[{CLOSING}]")
@@ -62,8 +62,11 @@ class _Pieces(dict):
         self.letters = _byte_letters()
 
     def __missing__(self, piece: str) -> bytes:
-        word = piece[1:] if piece[:1] == " " else piece
-        if word.isalpha() and max(word) < "\u0530":
+        spaced = piece[:1] == " "
+        word = piece[1:] if spaced else piece
+        if word.isascii() and word.isalpha():  # stands for itself but for the space
+            ids = [t.id for t in self.model.tokenize(self.letters[32] + word if spaced else word)]
+        elif word.isalpha() and max(word) < "\u0530":
             ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
         elif piece != "\n" and (not word or word[0].isspace() or word[-1].isspace()) or any(s in piece for s in self.special):
             raise _Uncuttable
