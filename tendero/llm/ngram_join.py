@@ -5,6 +5,10 @@ Sets with a Jaccard similarity of at least t share a shingle among the first
 test under each of several orders; the candidates of the first order are intersected with
 the tests of the others before any set is compared.
 
+Before that, pairs are tried by signatures: each shingle flips one of 256 bits, so two sets differ in at least
+as many shingles as their signatures differ in bits. The test leaves no link out, and it is part
+of the joins that make pairs, so that documents which merely share frequent shingles never become rows.
+
 Every order puts shingles of busy counters last and breaks ties by its own hash. Counters are a
 table of fixed size over the shingles of all documents, so it may be broadcast; a shared counter
 only makes an order worse, never wrong.
@@ -17,7 +21,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tendero.llm.components import components
@@ -27,6 +31,8 @@ from tendero.llm.words import seeded, shingle_set, slices
 ORDERS = 3
 COUNTER_BITS = 22
 BLOCK = 4096
+#: Signature columns of 64 bits each.
+SIGNATURE = ("s0", "s1", "s2", "s3")
 #: Shingles of texts that a task holds before it counts them.
 WAITING = 1 << 18
 
@@ -99,23 +105,33 @@ def _prefix(own: np.ndarray, busy: np.ndarray, order: int, percent: int) -> np.n
     return own[np.argpartition(key, take - 1)[:take]]
 
 
+def _signature(own: np.ndarray) -> np.ndarray:
+    """For each bit whether an odd number of the shingles fall on it."""
+    width = 64 * len(SIGNATURE)
+    bits = (seeded(own, ORDERS) % np.uint64(width)).astype(np.int64)
+    return np.packbits((np.bincount(bits, minlength=width) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _prefixes(size: int, percent: int, levels) -> Callable:
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         busy = np.frombuffer(levels.value, np.uint8)
         for batch in slices(batches):
-            counts, alone, classes, prefixes = [], [], [], [[] for _ in range(ORDERS)]
+            counts, alone, classes, signs, prefixes = [], [], [], [], [[] for _ in range(ORDERS)]
             for text in batch.column(1).to_pylist():
                 own = shingle_set(text, size)
                 counts.append(len(own))
                 alone.append(int((busy[(own >> _SHIFT).astype(np.int64)] == 0).sum()))
+                signs.append(_signature(own))
                 classes.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
                 for order, made in enumerate(prefixes):
                     first = _prefix(own, busy, order, percent)
                     made.append(first.astype(np.uint32).view(np.int32) if order else first.view(np.int64))
+            signs = np.array(signs).T
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(alone, pa.int64()), pa.array(classes, pa.binary()),
+                 *(pa.array(part, pa.int64()) for part in signs),
                  *(pa.array(made, pa.list_(pa.int32() if order else pa.int64())) for order, made in enumerate(prefixes))],
-                names=["doc_id", "n", "alone", "class", *(f"p{k}" for k in range(ORDERS))])
+                names=["doc_id", "n", "alone", "class", *SIGNATURE, *(f"p{k}" for k in range(ORDERS))])
 
     return describe
 
@@ -152,8 +168,14 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return if_small(written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "members"), 16)
 
 
+def _may_link(a: str, b: str, percent: int) -> Column:
+    """Whether sets, whose columns end in ``a`` and ``b``, may link by their signatures: a link allows that many different shingles."""
+    apart = sum((F.bit_count(F.col(s + a).bitwiseXOR(F.col(s + b))) for s in SIGNATURE), F.lit(0))
+    return (100 + percent) * apart <= (100 - percent) * (F.col("n" + a) + F.col("n" + b))
+
+
 def _verified(pairs: DataFrame, described: DataFrame, texts: DataFrame, size: int, percent: int, levels) -> DataFrame:
-    """``a, b, linked`` for those of the pairs, which share a prefix under the first order, that pass the others.
+    """``a, b, linked`` for those of the pairs, which share a prefix under the first order, that pass their signatures and the others.
 
     Half of each hash is enough to intersect the other orders' prefixes; what passes is tried
     by whole hashes before its sets are compared.
@@ -161,8 +183,8 @@ def _verified(pairs: DataFrame, described: DataFrame, texts: DataFrame, size: in
     pairs = written(pairs, "pairs")
     others = [f"p{k}" for k in range(1, ORDERS)]
     near = described.join(_ends(pairs), "doc_id", "left_semi")
-    side = lambda end: near.select(F.col("doc_id").alias(end), *(F.col(p).alias(f"{p}_{end}") for p in others))
-    tried = pairs.join(side("a"), "a").join(side("b"), "b")
+    side = lambda end: near.select(F.col("doc_id").alias(end), *(F.col(p).alias(f"{p}_{end}") for p in ("n", *SIGNATURE, *others)))
+    tried = pairs.join(side("a"), "a").join(side("b"), "b").where(_may_link("_a", "_b", percent))
     for p in others:
         tried = tried.where(F.arrays_overlap(f"{p}_a", f"{p}_b"))
     pairs = written(tried.select("a", "b").distinct(), "candidates")
@@ -191,7 +213,7 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     levels = spark.sparkContext.broadcast(shingle_levels(texts, size).tobytes())
-    schema = "doc_id long, n long, alone long, class binary, p0 array<long>, " + ", ".join(f"p{k} array<int>" for k in range(1, ORDERS))
+    schema = "doc_id long, n long, alone long, class binary, " + "".join(f"{s} long, " for s in SIGNATURE) + "p0 array<long>, " + ", ".join(f"p{k} array<int>" for k in range(1, ORDERS))
     described = written(texts.mapInArrow(_prefixes(size, percent, levels), schema), "prefixes")
     classes = described.where("n > 0 AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("rep"))
     members = written(described.select("doc_id", "n", "class").join(classes, "class", "left"), "classes")
@@ -216,10 +238,13 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
     placed = placed.withColumn("component", F.coalesce("component", "rep"))
     groups = placed.groupBy("token", "component").agg(F.count("*").alias("k")).groupBy("token").agg(
         F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("groups"))
-    placed = written(placed.join(groups.where("groups > 1").select("token", "main"), "token"), "placed")
-    rest = placed.where("component != main").select("token", F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("m").alias("m_x"), F.col("component").alias("c_x"))
+    placed = placed.join(groups.where("groups > 1").select("token", "main"), "token")
+    signs = described.select(F.col("doc_id").alias("rep"), "n", F.expr("n - alone").alias("m"), *SIGNATURE).distinct()
+    placed = written(placed.join(signs, ["rep", "n", "m"]), "placed")
+    rest = placed.where("component != main").select(
+        "token", F.col("rep").alias("x"), F.col("component").alias("c_x"), *(F.col(c).alias(c + "_x") for c in ("n", "m", *SIGNATURE)))
     across = rest.join(placed, "token").where(
-        (F.col("component") != F.col("c_x")) & near("n", "m", "n_x", "m_x")
+        (F.col("component") != F.col("c_x")) & near("n", "m", "n_x", "m_x") & _may_link("", "_x", percent)
         & ((F.col("component") == F.col("main")) | (F.col("rep") > F.col("x"))))
     across = across.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
     across = across.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")

@@ -1,9 +1,13 @@
 """The n-gram join against all pairs."""
 
+import random
+
+import numpy as np
 import pytest
 from cases import documents, groups, shingles
 
-from tendero.llm.ngram_join import ngram_components, one_of_each
+from tendero.llm.ngram_join import _signature, ngram_components, one_of_each
+from tendero.llm.words import seeded
 
 
 @pytest.mark.parametrize(("size", "percent"), [(3, 90), (5, 80)])
@@ -49,3 +53,32 @@ def test_one_of_each_keeps_columns_and_rows_without_id(docs):
     assert kept.columns == docs.columns
     ids = [r["doc_id"] for r in kept.collect()]
     assert ids.count(None) == 2 and {0, 4, 8, 9}.issubset(ids) and not {1, 2, 18}.intersection(ids)
+
+
+def test_signatures_differ_in_no_more_bits_than_the_sets_in_shingles():
+    pool = seeded(np.arange(4000, dtype=np.uint64), 77)
+    draw = np.random.default_rng(5)
+    for size in (1, 7, 60, 900, 4000):
+        for _ in range(40):
+            x, y = (draw.choice(pool, draw.integers(1, size + 1), replace=False) for _ in range(2))
+            apart = len(np.setxor1d(x, y))
+            bits = int(np.bitwise_count((_signature(x) ^ _signature(y)).view(np.uint64)).sum())
+            assert bits <= apart and (bits - apart) % 2 == 0
+
+
+def test_a_large_group_around_the_threshold_keeps_every_link(spark):
+    """Members share most of one passage; some pairs reach 0.9, others stay just below."""
+    draw = random.Random(3)
+    base = [f"g{k}" for k in range(240)]
+    rows = []
+    for k in range(160):
+        words = list(base)
+        for at in draw.sample(range(240), draw.choice((1, 2, 3, 4, 5, 7))):
+            words[at] = f"own{k}x{at}" if k % 3 else "x"
+        rows.append((k, " ".join(words)))
+    sets = {i: shingles(t, 3) for i, t in rows}
+    alike = [len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b]
+    assert min(alike) < 0.85 and sum(0.85 < x < 0.95 for x in alike) > 1000
+    expected = groups(sets, lambda a, b: 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]))
+    found = ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == expected
