@@ -274,6 +274,10 @@ _BY_BRANCH = f"""SELECT branch, {mil('SUM(price_total)', 2)} AS sales_m, {mil(f'
     {tot('quantity', 0)} AS units, {SUM_MARGIN} AS margin_pct, count(DISTINCT item_id) AS items
     FROM tickets %s GROUP BY branch ORDER BY sales_m DESC"""
 put("sales_by_branch", _BY_BRANCH % "", "tickets")
+put("branch_totals_kept", _BY_BRANCH % "", "tickets")
+put("month_totals_kept", f"""SELECT CAST(date_trunc('month', sale_date) AS DATE) AS month, {mil('SUM(price_total)', 2)} AS sales_m,
+    {mil(f'SUM({PROFIT})', 2)} AS profit_m, {tot('quantity', 0)} AS units, {SUM_MARGIN} AS margin_pct, count(DISTINCT item_id) AS items
+    FROM tickets WHERE {FOUR} AND sale_date BETWEEN '1997-03-10' AND DATE '{X.CUT_DATE}' + 200 GROUP BY 1""", "tickets")
 put("sales_by_branch_filtered", _BY_BRANCH % """WHERE lower(subfamily) LIKE '%brand#1%'
     AND sale_date BETWEEN '1999-03-01' AND '2001-08-31'""", "tickets")
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tendero.functions import labels as L, predicates as P
 from tendero.operators import (
-    marks, pricing, routing, sales, selectors, stock, tagging, trend,
+    daybook, marks, pricing, routing, sales, selectors, stock, tagging, trend,
 )
 from tendero.plans import samples as X
 from tendero.plans.filters import SalesFilter, keep
@@ -399,6 +399,19 @@ def sale_vs_purchase_appended(spark: SparkSession, folder: str) -> DataFrame:
     return pricing.sale_vs_purchase(m.latest, m.last_prices, n=None)
 
 
+@on_tables
+def branch_totals_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """Sales of branches with distinct items from day totals kept beside the lines, after an append."""
+    return daybook.branch_totals(load_mart(spark, _in_two_writes(spark, folder)).sold)
+
+
+@on_tables
+def month_totals_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """Months of some branches, distinct items united over days, branches and batches."""
+    m = load_mart(spark, _in_two_writes(spark, folder, compact=True))
+    return daybook.month_totals(m.sold, X.SALE_BRANCHES, "1997-03-10", X.CUT_DATE + dt.timedelta(days=200))
+
+
 @on_tables
 def trend_summary_rolled(spark: SparkSession, folder: str) -> DataFrame:
     """Trends of two years from month blocks and the days at the window's ends, after an append."""

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tendero import constants as K
 from tendero.operators.trend import Rollup
-from tendero.sources.snapshots import DAILY, LATEST, LINES, MONTHS, Snapshot, can_keep, line_batches, publish, read_batches, snapshot, write_batch
+from tendero.sources.snapshots import DAILY, LATEST, LINES, MONTHS, SOLD, Snapshot, can_keep, line_batches, publish, read_batches, snapshot, write_batch
 
 
 @dataclass(frozen=True)
@@ -25,7 +25,7 @@ class Mart:
     ``newest`` is the newest sale date of ``tickets`` as a whole, where the version that was read tells it: the day to
     pass to reports over those lines. A frame cut from ``tickets`` has a newest day of its own. ``latest`` holds the latest
     lines of ``tickets``, where the mart keeps them: a small table that reports on latest sale prices can take for all lines;
-    ``rollup`` likewise has what trends are added up from.
+    ``rollup`` likewise has what trends are added up from, and ``sold`` the day totals that ``operators.daybook`` reports on.
     """
 
     tickets: DataFrame
@@ -35,6 +35,7 @@ class Mart:
     newest: dt.date | None = None
     latest: DataFrame | None = None
     rollup: Rollup | None = None
+    sold: DataFrame | None = None
 
     def tables(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in SCHEMAS}
@@ -300,10 +301,10 @@ def load_mart(
 def mart_of(spark: SparkSession, found: Snapshot) -> Mart:
     """The tables of one version."""
     mart = make_mart(**{name: read_batches(spark, found.base, found.of(name)) for name in SCHEMAS})
-    kept = {name: read_batches(spark, found.base, found.of(name)) for name in (LATEST, DAILY, MONTHS) if found.of(name)}
+    kept = {name: read_batches(spark, found.base, found.of(name)) for name in (LATEST, DAILY, MONTHS, SOLD) if found.of(name)}
     late = min((b.oldest for b in found.of(DAILY)[1:] if b.oldest), default=None)
     rollup = Rollup(kept[DAILY], kept.get(MONTHS), late) if DAILY in kept else None
-    return replace(mart, newest=found.newest, latest=kept.get(LATEST), rollup=rollup)
+    return replace(mart, newest=found.newest, latest=kept.get(LATEST), rollup=rollup, sold=kept.get(SOLD))
 
 
 # ---- writing ----------------------------------------------------------------

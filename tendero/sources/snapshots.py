@@ -19,6 +19,7 @@ from dataclasses import dataclass, replace as changed
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
+from tendero.operators.daybook import day_sales
 from tendero.operators.pricing import NUMBERED, latest_state
 from tendero.operators.trend import daily_units, month_moments
 
@@ -26,11 +27,12 @@ LOG = "versions"
 LOG_SCHEMA = "version long, replaces boolean, table_name string, batch string, columns string, oldest date, newest date"
 #: The table that is laid out by month and tells the newest day.
 LINES = "tickets"
-#: Kept beside each batch of lines: the latest line of each item, and the units of each item, branch and day.
-LATEST, DAILY = "latest", "daily"
+#: Kept beside each batch of lines: the latest line of each item, the units of each item, branch and day, and the totals of each
+#: branch and day with the set of items sold.
+LATEST, DAILY, SOLD = "latest", "daily", "sold"
 #: Made when batches are put together: the sums of daily units that slopes are made of, by month.
 MONTHS = "months"
-KEPT = {LATEST: latest_state, DAILY: daily_units}
+KEPT = {LATEST: latest_state, DAILY: daily_units, SOLD: day_sales}
 
 
 @dataclass(frozen=True)
