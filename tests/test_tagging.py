@@ -258,3 +258,14 @@ def test_many_brands_come_up_by_their_rarest_run(spark):
     found = {r["id"]: r["brands"] for r in made.collect()}
     assert all(found[i] == [f"grand maison no. {77 if i % 3 == 0 else i * 31}!"] for i in range(3000))
     assert "collect_set" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_table_tags_are_looked_up_in_written_steps(spark):
+    """No run of characters moves in the last plan, and a text that repeats or is null keeps all its rows."""
+    texts = ["una cerveza quilmes", "una cerveza quilmes", "ni idea", "", None, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, text string")
+    tagged = tagging.tag_items(df, "text", DICTIONARY.to_frame(spark))
+    plan = tagged._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan and plan.count("Exchange") <= 10
+    rows = {r["n"]: r for r in tagged.collect()}
+    assert sorted(rows) == list(range(6)) and rows[0]["category"] == rows[1]["category"] == "cervezas" and rows[5]["brands"] == []
