@@ -19,7 +19,7 @@ from tendero.sources import question_log, sinks
 from tendero.sources.mart import Mart, load_mart, nulled_values, run_select, unparsed_dates, write_mart
 from tendero.sources.shared import new_path
 from tendero.sources.snapshots import append_lines, compact_lines
-from tendero.sources.star import read_table, star_mart
+from tendero.sources.star import read_table, star_items, star_mart
 from tendero.streaming import questions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,12 @@ def on_mart(fn: Callable[[Mart], DataFrame]) -> Callable[[Mart], DataFrame]:
     return fn
 
 
+def on_catalog(fn: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """Register a query over the mart's catalogue alone, for which no sale lines are derived."""
+    QUERIES[fn.__name__] = lambda spark, folder: fn(star_items(spark, folder))
+    return fn
+
+
 def on_tables(fn: Query) -> Query:
     """Register a query over the given tables under the function's name."""
     QUERIES[fn.__name__] = fn
@@ -249,11 +255,11 @@ def filter_date_to(m: Mart) -> DataFrame:
     return keep(m.tickets, flt.period(m.tickets)).groupBy("family").agg(F.count(F.lit(1)).alias("lines"))
 
 
-@on_mart
-def pack_size_matches(m: Mart) -> DataFrame:
+@on_catalog
+def pack_size_matches(catalog: DataFrame) -> DataFrame:
     """Items by the pack volume read from their description."""
     cc = P.pack_amount("description", P.VOLUME)
-    return m.catalog.agg(
+    return catalog.agg(
         F.count_if(P.volume_at_least("description", 960)).alias("from_960"),
         F.count_if(P.volume_below("description", 355)).alias("below_355"),
         F.count_if(P.weight_at_least("description", 500)).alias("from_500g"),
@@ -540,9 +546,9 @@ def last_sale_price(m: Mart) -> DataFrame:
 
 # ---- stock --------------------------------------------------------------------
 
-@on_mart
-def stock_by_category(m: Mart) -> DataFrame:
-    return stock.stock_by_category(m.catalog, SalesFilter(subfamily="brand#2"), 25)
+@on_catalog
+def stock_by_category(catalog: DataFrame) -> DataFrame:
+    return stock.stock_by_category(catalog, SalesFilter(subfamily="brand#2"), 25)
 
 
 @on_mart
@@ -699,24 +705,24 @@ def urgency_index_flat(m: Mart) -> DataFrame:
 
 # ---- selectors ----------------------------------------------------------------
 
-@on_mart
-def families(m: Mart) -> DataFrame:
-    return selectors.families(m.catalog)
+@on_catalog
+def families(catalog: DataFrame) -> DataFrame:
+    return selectors.families(catalog)
 
 
-@on_mart
-def subfamilies(m: Mart) -> DataFrame:
-    return selectors.subfamilies(m.catalog, "PROMO")
+@on_catalog
+def subfamilies(catalog: DataFrame) -> DataFrame:
+    return selectors.subfamilies(catalog, "PROMO")
 
 
-@on_mart
-def suppliers(m: Mart) -> DataFrame:
-    return selectors.suppliers(m.catalog)
+@on_catalog
+def suppliers(catalog: DataFrame) -> DataFrame:
+    return selectors.suppliers(catalog)
 
 
-@on_mart
-def suppliers_of_subfamily(m: Mart) -> DataFrame:
-    return selectors.suppliers(m.catalog, "PROMO", "Brand#2")
+@on_catalog
+def suppliers_of_subfamily(catalog: DataFrame) -> DataFrame:
+    return selectors.suppliers(catalog, "PROMO", "Brand#2")
 
 
 # ---- text ---------------------------------------------------------------------
@@ -780,14 +786,14 @@ def route_counts(spark: SparkSession, folder: str) -> DataFrame:
     return routing.route_counts(routing.route_label(_tagged(spark, folder), "text"))
 
 
-@on_mart
-def subfamily_to_family(m: Mart) -> DataFrame:
-    return tagging.subfamily_to_family(m.catalog)
+@on_catalog
+def subfamily_to_family(catalog: DataFrame) -> DataFrame:
+    return tagging.subfamily_to_family(catalog)
 
 
-@on_mart
-def catalog_dictionary(m: Mart) -> DataFrame:
-    return tagging.catalog_dictionary(m.catalog).select(
+@on_catalog
+def catalog_dictionary(catalog: DataFrame) -> DataFrame:
+    return tagging.catalog_dictionary(catalog).select(
         "category", "family", "subfamily", F.concat_ws("|", "synonyms").alias("synonyms"))
 
 
@@ -810,15 +816,15 @@ def _dictionary_table(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@on_mart
-def tag_catalog_by_table(m: Mart) -> DataFrame:
+@on_catalog
+def tag_catalog_by_table(catalog: DataFrame) -> DataFrame:
     """Category and brands of every item, looked up in a dictionary table made of the catalogue."""
     nouns = F.split("description", " ")
-    named = m.catalog.select("family", nouns[1].alias("noun"), nouns[0].alias("adjective")).distinct()
+    named = catalog.select("family", nouns[1].alias("noun"), nouns[0].alias("adjective")).distinct()
     dictionary = named.groupBy("family", "noun").agg(F.array_sort(F.collect_set("adjective")).alias("brands")).select(
         F.concat_ws("/", "family", "noun").alias("position"), F.concat_ws("/", "family", "noun").alias("category"), "family",
         F.lit(None).cast("string").alias("subfamily"), F.array("noun", F.concat_ws(" ", F.lit("the"), "noun")).alias("synonyms"), "brands")
-    tagged = tagging.tag_items(m.catalog.select("item_key", "description"), "description", dictionary)
+    tagged = tagging.tag_items(catalog.select("item_key", "description"), "description", dictionary)
     return tagged.select("item_key", "category", F.concat_ws(",", "brands").alias("brands"))
 
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, replace as changed
 
 from pyspark.errors import AnalysisException
@@ -72,12 +72,13 @@ def columns_of(df: DataFrame) -> str:
     return json.dumps(json.loads(df.schema.json()), sort_keys=True)
 
 
-def write_batch(df: DataFrame, base: str, table: str) -> Batch:
+def write_batch(df: DataFrame, base: str, table: str, finish: Callable[[DataFrame], DataFrame] | None = None) -> Batch:
     """Write the rows as a batch that no version names yet.
 
     Sale lines are partitioned by month and ordered by day inside each file. ``rebalance`` lets adaptive execution cut a
     busy month into several files and put quiet months together. Their first and last day are
-    noted on the way, in the same job.
+    noted on the way, in the same job. ``finish`` works out columns of lines after they have moved; it keeps ``sale_date``
+    and columns it does not know.
     """
     name = uuid.uuid4().hex
     path = batch_path(base, table, name)
@@ -87,11 +88,10 @@ def write_batch(df: DataFrame, base: str, table: str) -> Batch:
     lines = df.drop("sale_month")
     days = Observation()
     seen = lines.observe(days, F.min("sale_date").alias("oldest"), F.max("sale_date").alias("newest"))
-    (seen.withColumn("sale_month", F.trunc("sale_date", "month").cast("date"))
-     .hint("rebalance", "sale_month")
-     .sortWithinPartitions("sale_month", "sale_date")
-     .write.partitionBy("sale_month").parquet(path))
-    return Batch(table, name, columns_of(lines), days.get.get("oldest"), days.get.get("newest"))
+    moved = seen.withColumn("sale_month", F.trunc("sale_date", "month").cast("date")).hint("rebalance", "sale_month")
+    done = finish(moved) if finish else moved
+    done.sortWithinPartitions("sale_month", "sale_date").write.partitionBy("sale_month").parquet(path)
+    return Batch(table, name, columns_of(done.drop("sale_month")), days.get.get("oldest"), days.get.get("newest"))
 
 
 def batch_path(base: str, table: str, batch: str) -> str:

@@ -16,13 +16,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tendero.functions.measures import line_place
 from tendero.functions.predicates import DateLike, resolve_as_of
-from tendero.sources.mart import Mart, load_mart, make_mart
+from tendero.sources.mart import Mart, conform, load_mart
 from tendero.sources.shared import new_path
-from tendero.sources.snapshots import publish, read_batches, write_batch
+from tendero.sources.snapshots import publish, read_batches, snapshot, write_batch
 
 STOCK_BRANCHES = range(1, 8)
 ORDER_BRANCHES = range(1, 6)
 ALERT_DAYS = 90
+#: What the amounts of a sale line are worked out from.
+MEASURED_BY = ("l_extendedprice", "l_discount", "l_tax", "l_quantity")
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -33,11 +35,11 @@ def item_description() -> F.Column:
     return F.concat("p_name", F.lit(" x"), (F.col("p_size") * 50).cast("string"), F.lit("cc"))
 
 
-def star_tickets(spark: SparkSession, folder: str) -> DataFrame:
-    """Sale lines with item, branch and amounts.
+def star_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Sale lines with item and branch; their amounts are still those of the order lines.
 
-    Each branch chain is narrowed to key and branch before it meets the lines. Joins carry
-    no hints: adaptive execution broadcasts by measured size and splits skewed keys.
+    Each branch chain is narrowed to key and branch before it meets the lines, and the lines to what they are
+    measured by. Joins carry no hints: adaptive execution broadcasts by measured size and splits skewed keys.
     """
     def table(name: str) -> DataFrame:
         return read_table(spark, folder, name)
@@ -54,30 +56,42 @@ def star_tickets(spark: SparkSession, folder: str) -> DataFrame:
         "p_partkey", item_description().alias("description"),
         F.col("p_type").alias("family"), F.col("p_brand").alias("subfamily"),
     )
-    line = table("lineitem")
-    gross, discount, tax, units = (F.col("l_extendedprice"), F.col("l_discount"),
-                                   F.col("l_tax"), F.col("l_quantity"))
+    line = table("lineitem").select(
+        F.col("l_shipdate").cast("date").alias("sale_date"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *MEASURED_BY)
     return (
         line.join(order_branch, line["l_orderkey"] == order_branch["o_orderkey"])
         .join(items, line["l_partkey"] == items["p_partkey"])
-        .select(
-            F.col("l_shipdate").cast("date").alias("sale_date"),
-            F.col("l_orderkey").alias("order_id"),
-            F.col("l_linenumber").alias("line_no"),
-            F.col("l_partkey").alias("item_id"),
-            F.col("l_partkey").alias("item_key"),
-            F.col("l_suppkey").alias("supplier_id"),
-            "description", "family", "subfamily", "branch",
-            units.alias("quantity"),
-            (gross * (1 - discount)).alias("price_total"),
-            (gross * (F.lit(0.95) - tax)).alias("cost_total"),
-            (gross * (1 - discount) / units).alias("price_unit"),
-            (gross * (F.lit(0.95) - tax) / units).alias("cost_unit"),
-            ((F.lit(0.05) - discount + tax) / (1 - discount)).alias("margin_ratio"),
-        )
+        .drop("o_orderkey", "p_partkey")
     )
 
 
+def measured(lines: DataFrame) -> DataFrame:
+    """The columns of sale lines, from those of order lines. Other columns follow."""
+    gross, discount, tax, units = map(F.col, MEASURED_BY)
+    named = {
+        "sale_date": F.col("sale_date"),
+        "order_id": F.col("l_orderkey"),
+        "line_no": F.col("l_linenumber"),
+        "item_id": F.col("l_partkey"),
+        "item_key": F.col("l_partkey"),
+        "supplier_id": F.col("l_suppkey"),
+        **{c: F.col(c) for c in ("description", "family", "subfamily", "branch")},
+        "quantity": units,
+        "price_total": gross * (1 - discount),
+        "cost_total": gross * (F.lit(0.95) - tax),
+        "price_unit": gross * (1 - discount) / units,
+        "cost_unit": gross * (F.lit(0.95) - tax) / units,
+        "margin_ratio": (F.lit(0.05) - discount + tax) / (1 - discount),
+    }
+    others = [c for c in lines.columns if c not in named and not c.startswith("l_")]
+    return lines.select(*(value.alias(name) for name, value in named.items()), *others)
+
+
+def star_tickets(spark: SparkSession, folder: str) -> DataFrame:
+    """Sale lines with item, branch and amounts."""
+    return measured(star_lines(spark, folder))
+
+
 def star_catalog(spark: SparkSession, folder: str) -> DataFrame:
     """Items with supplier and stock per branch."""
     supplier = read_table(spark, folder, "supplier").select("s_suppkey", "s_name")
@@ -169,34 +183,55 @@ def star_alerts(catalog: DataFrame, facts: DataFrame) -> DataFrame:
     )
 
 
-def build_mart(spark: SparkSession, folder: str, path: str) -> None:
-    """Derive the mart from the star schema in ``folder`` and write it under ``path``."""
-    lines = write_batch(star_tickets(spark, folder), path, "tickets")
+def build_catalog(spark: SparkSession, folder: str, path: str) -> None:
+    """Derive the catalogue from the star schema in ``folder`` and publish it under ``path``."""
+    catalog = conform(star_catalog(spark, folder), "catalog")
+    publish(spark, path, [write_batch(catalog, path, "catalog")], replace=True)
+
+
+def build_rest(spark: SparkSession, folder: str, path: str) -> None:
+    """Derive the other tables and publish them beside the catalogue.
+
+    Lines move by month with what their amounts are worked out from, which is narrower than the amounts.
+    """
+    lines = write_batch(star_lines(spark, folder), path, "tickets", measured)
     tickets = read_batches(spark, path, [lines])
     item_facts(tickets, lines.newest).write.parquet(f"{path}/item_facts")
     facts = spark.read.parquet(f"{path}/item_facts")
-    catalog = star_catalog(spark, folder)
-    tables = make_mart(
-        tickets=tickets, catalog=catalog,
-        alerts=star_alerts(catalog, facts),
-        last_prices=star_last_prices(spark, folder, facts),
-    ).tables()
-    publish(spark, path, [lines, *(write_batch(tables[name], path, name) for name in ("catalog", "alerts", "last_prices"))], replace=True)
+    alerts = conform(star_alerts(star_catalog(spark, folder), facts), "alerts")
+    last_prices = conform(star_last_prices(spark, folder, facts), "last_prices")
+    publish(spark, path, [lines, write_batch(alerts, path, "alerts"), write_batch(last_prices, path, "last_prices")], replace=True)
 
 
 _paths: dict[tuple[str, str], str] = {}
+_whole: set[str] = set()
 _marts: dict[tuple[SparkSession, str], Mart] = {}
 _lock = threading.Lock()
 
 
+def _catalog_path(spark: SparkSession, folder: str) -> str:
+    built = (spark.conf.get("spark.app.id", "app"), folder)
+    if built not in _paths:
+        path = new_path(spark, "mart")
+        build_catalog(spark, folder, path)
+        _paths[built] = path
+    return _paths[built]
+
+
+def star_items(spark: SparkSession, folder: str) -> DataFrame:
+    """The mart's catalogue, which needs no sale lines."""
+    with _lock:
+        path = _catalog_path(spark, folder)
+    return read_batches(spark, path, snapshot(spark, path).of("catalog"))
+
+
 def star_mart(spark: SparkSession, folder: str) -> Mart:
     """The mart over a star schema, built once per application and folder."""
     with _lock:
-        built = (spark.conf.get("spark.app.id", "app"), folder)
-        if built not in _paths:
-            path = new_path(spark, "mart")
-            build_mart(spark, folder, path)
-            _paths[built] = path
+        path = _catalog_path(spark, folder)
+        if path not in _whole:
+            build_rest(spark, folder, path)
+            _whole.add(path)
         if (spark, folder) not in _marts:
-            _marts[spark, folder] = load_mart(spark, _paths[built])
+            _marts[spark, folder] = load_mart(spark, path)
         return _marts[spark, folder]

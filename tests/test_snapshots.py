@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tendero.operators import pricing, sales, trend
 from tendero.plans.filters import SalesFilter
-from tendero.sources import snapshots
+from tendero.plans.registry import QUERIES
+from tendero.sources import snapshots, star
 from tendero.sources.mart import load_mart, write_mart
 
 CUT = dt.date(1999, 1, 1)
@@ -155,3 +156,21 @@ def test_lines_without_numbers_have_no_latest_table(spark, mart, tmp_path):
     rows = pricing.last_sale_price(back.tickets)
     assert rows.select("description", "last_date").collect() == pricing.last_sale_price(mart.tickets).select("description", "last_date").collect()
     assert pricing.high_sales_low_margin(back.tickets, back.last_prices, n=None).count() == pricing.high_sales_low_margin(mart.tickets, mart.last_prices, n=None).count()
+
+
+def test_lines_move_without_their_amounts(spark, sf_dir, tmp_path):
+    """Columns that others give are worked out after the lines have moved, and are those of the lines as a whole."""
+    lines, whole = star.star_lines(spark, sf_dir), star.star_tickets(spark, sf_dir)
+    assert not {"price_total", "cost_total", "price_unit", "cost_unit", "margin_ratio"} & set(lines.columns)
+    batch = snapshots.write_batch(lines, str(tmp_path), "tickets", star.measured)
+    rows = snapshots.read_batches(spark, str(tmp_path), [batch])
+    assert rows.columns == [*whole.columns, "sale_month"] and (batch.oldest, batch.newest) == whole.agg(F.min("sale_date"), F.max("sale_date")).first()
+    assert rows.drop("sale_month").exceptAll(whole).isEmpty() and rows.count() == whole.count()
+
+
+def test_the_catalogue_needs_no_lines(spark, sf_dir, mart, monkeypatch):
+    monkeypatch.setattr(star, "_paths", {})
+    monkeypatch.setattr(star, "star_lines", None)
+    assert star.star_items(spark, sf_dir).exceptAll(mart.catalog).isEmpty()
+    for name in ("families", "tag_catalog_by_table"):
+        assert QUERIES[name](spark, sf_dir).count() > 0
