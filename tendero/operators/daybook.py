@@ -26,14 +26,13 @@ def _sums() -> list[Column]:
 def day_sales(rows: DataFrame) -> DataFrame:
     """``branch, sale_date, bucket, items`` and sums, of sale lines or of tables that this function made.
 
-    Lines are first added up by item, so bitmaps are made from one row an item and day. Lines without item count
+    A task makes one bitmap for each group it meets, so groups move and not their items. Lines without item count
     in the sums; their bucket is null and its bitmap empty.
     """
     if "items" in rows.columns:
         return rows.groupBy(*DAY).agg(F.bitmap_or_agg("items").alias("items"), *_sums())
-    by_item = rows.withColumn("profit", M.profit()).groupBy("branch", "sale_date", "item_id").agg(*_sums())
-    return by_item.groupBy("branch", "sale_date", F.bitmap_bucket_number("item_id").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("item_id")).alias("items"), *_sums())
+    lines = rows.withColumn("profit", M.profit()).withColumn("bucket", F.bitmap_bucket_number("item_id"))
+    return lines.groupBy(*DAY).agg(F.bitmap_construct_agg(F.bitmap_bit_position("item_id")).alias("items"), *_sums())
 
 
 def _totals(sold: DataFrame, by: Sequence[str]) -> DataFrame:

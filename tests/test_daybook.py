@@ -61,3 +61,9 @@ def test_odd_lines(spark):
         assert daybook.branch_totals(sold).collect() == wanted
     assert [r["month"] for r in daybook.month_totals(once).collect()] == [None, dt.date(2024, 1, 1)]
     assert daybook.branch_totals(daybook.day_sales(lines.where("false"))).collect() == []
+
+
+def test_sets_are_made_before_anything_moves(spark):
+    lines = spark.createDataFrame([("a", DAY, 1, 1.0, 2.0, 1.0)], SCHEMA)
+    plan = daybook.day_sales(lines)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "item_id" not in plan[plan.index("Exchange hashpartitioning"):].split("\n")[0]
