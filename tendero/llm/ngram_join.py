@@ -52,11 +52,11 @@ def _unpacked(raw: bytes) -> np.ndarray:
 
 def _count_shingles(size: int) -> Callable:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, waiting, held = np.zeros(1 << COUNTER_BITS, np.int64), [], 0
+        table, waiting, held = np.zeros(1 << COUNTER_BITS, np.uint32), [], 0  # a task has fewer documents than that counts
 
         def add() -> None:
             slots, counts = np.unique(np.concatenate(waiting), return_counts=True)
-            table[slots] += counts
+            table[slots] += counts.astype(np.uint32)
 
         for batch in slices(batches):
             for text in batch.column(0).to_pylist():
@@ -222,22 +222,27 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
     # shingles no other document has are shared with none, which bounds what a pair can share
     postings = described.where("n > 0").select("doc_id", "n", "alone", "p0").join(if_small(reps, 16), "doc_id", "left_semi")
     postings = postings.select(F.col("doc_id").alias("rep"), "n", (F.col("n") - F.col("alone")).alias("m"), F.explode("p0").alias("token"))
-    lists = postings.groupBy("token").agg(F.min(F.struct(F.expr("n - m").alias("alone"), F.col("rep").alias("a"), "n", "m")).alias("lead"), F.count("*").alias("k")).where("k > 1")
-    postings = written(postings.join(lists.select("token", "lead"), "token"), "postings")
+    # a list's lead: the fewest shingles of its own, then a hash. One number, and plain ones beside it: these are summed up by
+    # hashing, where a row of several would have all postings sorted
+    rank = F.shiftleft(F.col("n") - F.col("m"), 32) + F.xxhash64("rep").bitwiseAND(F.lit(0xFFFFFFFF))
+    lists = postings.withColumn("rank", rank).groupBy("token").agg(
+        F.min("rank").alias("rank"), F.min_by("rep", "rank").alias("lead"), F.min_by("m", "rank").alias("m_lead"), F.count("*").alias("k"))
+    lists = lists.where("k > 1").select("token", "rank", "lead", (F.shiftright("rank", 32) + F.col("m_lead")).alias("n_lead"), "m_lead")
+    postings = written(postings.join(lists, "token"), "postings")
 
     def near(n_a, m_a, n_b, m_b):
         most = F.least(F.col(m_a), F.col(m_b))
         return 100 * most >= percent * (F.col(n_a) + F.col(n_b) - most)
 
-    stars = postings.where((F.col("rep") != F.col("lead.a")) & near("n", "m", "lead.n", "lead.m")).groupBy("rep").agg(F.min("lead").alias("lead"))
-    first = _verified(stars.select(F.col("lead.a").alias("a"), F.col("rep").alias("b")), described, texts, size, percent, levels)
+    stars = postings.where((F.col("rep") != F.col("lead")) & near("n", "m", "n_lead", "m_lead")).groupBy("rep").agg(F.min_by("lead", "rank").alias("lead"))
+    first = _verified(stars.select(F.col("lead").alias("a"), F.col("rep").alias("b")), described, texts, size, percent, levels)
     links = first.where("linked").select("a", "b")
     known = components(links, "a", "b")
 
     placed = postings.select("token", "rep", "n", "m").join(known.withColumnRenamed("node", "rep"), "rep", "left")
     placed = placed.withColumn("component", F.coalesce("component", "rep"))
     groups = placed.groupBy("token", "component").agg(F.count("*").alias("k")).groupBy("token").agg(
-        F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("groups"))
+        F.max_by("component", "k").alias("main"), F.count("*").alias("groups"))
     placed = placed.join(groups.where("groups > 1").select("token", "main"), "token")
     signs = described.select(F.col("doc_id").alias("rep"), "n", F.expr("n - alone").alias("m"), *SIGNATURE).distinct()
     placed = written(placed.join(signs, ["rep", "n", "m"]), "placed")

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from cases import documents, groups, shingles
 
+from tendero.llm import ngram_join
 from tendero.llm.ngram_join import _signature, ngram_components, one_of_each
 from tendero.llm.words import seeded
 
@@ -82,3 +83,15 @@ def test_a_large_group_around_the_threshold_keeps_every_link(spark):
     expected = groups(sets, lambda a, b: 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]))
     found = ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
     assert {r["doc_id"]: r["component_id"] for r in found} == expected
+
+
+def test_postings_are_summed_up_without_sorting_them(spark, monkeypatch):
+    """No step on all postings sorts them for an aggregate, as rows in its buffer would ask for."""
+    plans, real = {}, ngram_join.written
+    monkeypatch.setattr(ngram_join, "written", lambda df, label: plans.setdefault(label, df._jdf.queryExecution().toString()) and real(df, label))
+    line = [f"v{k}" for k in range(40)]
+    rows = [(k, " ".join([*line, f"own{k}"])) for k in range(6)]
+    found = ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
+    assert {r["component_id"] for r in found} == {0}
+    for label in ("postings", "pairs", "placed"):
+        assert "HashAggregate" in plans[label] and "SortAggregate" not in plans[label]
