@@ -15,13 +15,16 @@ import json
 import uuid
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, replace as changed
+from functools import reduce
+from operator import or_
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from tendero.operators.daybook import day_sales
 from tendero.operators.pricing import NUMBERED, latest_state
 from tendero.operators.trend import daily_units, month_moments
+from tendero.sources.shared import shuffles_released
 
 LOG = "versions"
 LOG_SCHEMA = "version long, replaces boolean, table_name string, batch string, columns string, oldest date, newest date"
@@ -33,6 +36,8 @@ LATEST, DAILY, SOLD = "latest", "daily", "sold"
 #: Made when batches are put together: the sums of daily units that slopes are made of, by month.
 MONTHS = "months"
 KEPT = {LATEST: latest_state, DAILY: daily_units, SOLD: day_sales}
+#: Lines that are put together at a time, unless a month has more.
+SLICE = 1 << 24
 
 
 @dataclass(frozen=True)
@@ -72,26 +77,31 @@ def columns_of(df: DataFrame) -> str:
     return json.dumps(json.loads(df.schema.json()), sort_keys=True)
 
 
-def write_batch(df: DataFrame, base: str, table: str, finish: Callable[[DataFrame], DataFrame] | None = None) -> Batch:
+def write_batch(df: DataFrame, base: str, table: str, finish: Callable[[DataFrame], DataFrame] | None = None, parts: Sequence[Column] = ()) -> Batch:
     """Write the rows as a batch that no version names yet.
 
     Sale lines are partitioned by month and ordered by day inside each file. ``rebalance`` lets adaptive execution cut a
     busy month into several files and put quiet months together. Their first and last day are
     noted on the way, in the same job. ``finish`` works out columns of lines after they have moved; it keeps ``sale_date``
-    and columns it does not know.
+    and columns it does not know. ``parts`` are conditions of which each line meets one: what meets one is written before the next
+    is read, so no more than that is on the move at a time.
     """
     name = uuid.uuid4().hex
     path = batch_path(base, table, name)
-    if table != LINES:
-        df.write.parquet(path)
-        return Batch(table, name, columns_of(df))
-    lines = df.drop("sale_month")
-    days = Observation()
-    seen = lines.observe(days, F.min("sale_date").alias("oldest"), F.max("sale_date").alias("newest"))
-    moved = seen.withColumn("sale_month", F.trunc("sale_date", "month").cast("date")).hint("rebalance", "sale_month")
-    done = finish(moved) if finish else moved
-    done.sortWithinPartitions("sale_month", "sale_date").write.partitionBy("sale_month").parquet(path)
-    return Batch(table, name, columns_of(done.drop("sale_month")), days.get.get("oldest"), days.get.get("newest"))
+    with shuffles_released(df.sparkSession):
+        if table != LINES:
+            df.write.parquet(path)
+            return Batch(table, name, columns_of(df))
+        found = []
+        for part in parts or [None]:
+            lines, days = (df if part is None else df.where(part)).drop("sale_month"), Observation()
+            seen = lines.observe(days, F.min("sale_date").alias("oldest"), F.max("sale_date").alias("newest"))
+            moved = seen.withColumn("sale_month", F.trunc("sale_date", "month").cast("date")).hint("rebalance", "sale_month")
+            done = finish(moved) if finish else moved
+            done.sortWithinPartitions("sale_month", "sale_date").write.mode("append").partitionBy("sale_month").parquet(path)
+            found.append(days.get)
+    oldest, newest = ([x[k] for x in found if x.get(k)] for k in ("oldest", "newest"))
+    return Batch(table, name, columns_of(done.drop("sale_month")), min(oldest, default=None), max(newest, default=None))
 
 
 def batch_path(base: str, table: str, batch: str) -> str:
@@ -186,6 +196,24 @@ def append_lines(tickets: DataFrame, base: str) -> Snapshot:
     return publish(spark, base, line_batches(tickets, base, kept), replace=False)
 
 
+def month_parts(lines: DataFrame) -> list[Column]:
+    """Runs of months of written lines, of ``SLICE`` lines each or one month. Undated lines go with the first.
+
+    Lines are counted from their folders and files, of which no column is read.
+    """
+    runs: list[list] = []
+    held = 0
+    with shuffles_released(lines.sparkSession):
+        counts = lines.groupBy("sale_month").count().collect()  # one a month
+    for row in sorted(counts, key=lambda r: (r["sale_month"] is not None, r["sale_month"])):
+        held += row["count"]
+        if not runs or held > SLICE:
+            runs.append([])
+            held = row["count"]
+        runs[-1].append(row["sale_month"])
+    return [reduce(or_, [F.col("sale_month").isNull() if m is None else F.col("sale_month") == F.lit(m) for m in run]) for run in runs]
+
+
 def compact_lines(spark: SparkSession, base: str) -> Snapshot:
     """Put the lines of all batches into one, as the next version, and what is kept beside them. Earlier versions stay readable.
 
@@ -194,7 +222,8 @@ def compact_lines(spark: SparkSession, base: str) -> Snapshot:
     now = snapshot(spark, base)
     if now is None:
         raise ValueError("nothing was published")
-    batches = [write_batch(read_batches(spark, base, now.of(LINES)), base, LINES)]
+    lines = read_batches(spark, base, now.of(LINES))
+    batches = [write_batch(lines, base, LINES, parts=month_parts(lines))]
     for name, merge in KEPT.items():
         if now.of(name):
             rows = merge(read_batches(spark, base, now.of(name)))

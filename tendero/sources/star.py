@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tendero.functions.measures import line_place
 from tendero.functions.predicates import DateLike, resolve_as_of
 from tendero.sources.mart import Mart, conform, load_mart
-from tendero.sources.shared import new_path
+from tendero.sources.shared import new_path, shuffles_released
 from tendero.sources.snapshots import publish, read_batches, snapshot, write_batch
 
 STOCK_BRANCHES = range(1, 8)
@@ -196,7 +196,8 @@ def build_rest(spark: SparkSession, folder: str, path: str) -> None:
     """
     lines = write_batch(star_lines(spark, folder), path, "tickets", measured)
     tickets = read_batches(spark, path, [lines])
-    item_facts(tickets, lines.newest).write.parquet(f"{path}/item_facts")
+    with shuffles_released(spark):
+        item_facts(tickets, lines.newest).write.parquet(f"{path}/item_facts")
     facts = spark.read.parquet(f"{path}/item_facts")
     alerts = conform(star_alerts(star_catalog(spark, folder), facts), "alerts")
     last_prices = conform(star_last_prices(spark, folder, facts), "last_prices")

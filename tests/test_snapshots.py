@@ -1,6 +1,7 @@
 """Versions of a mart: what readers see before, between and after writes."""
 
 import datetime as dt
+import time
 from dataclasses import replace
 
 import pytest
@@ -174,3 +175,46 @@ def test_the_catalogue_needs_no_lines(spark, sf_dir, mart, monkeypatch):
     assert star.star_items(spark, sf_dir).exceptAll(mart.catalog).isEmpty()
     for name in ("families", "tag_catalog_by_table"):
         assert QUERIES[name](spark, sf_dir).count() > 0
+
+
+def shuffle_files(spark):
+    """Data files of shuffles that are on disk."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+    found = set()
+    while files.hasNext():
+        name = files.next().getName()
+        if name.startswith("shuffle_") and name.endswith(".data"):
+            found.add(name)
+    return found
+
+
+def test_writes_leave_no_shuffle_files(spark, mart, tmp_path):
+    """What moved for a batch is gone once it is written, before the driver's memory is next cleared."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    mart.tickets.count()
+    before, kept = shuffle_files(spark), spark.conf.get(setting)
+    snapshots.write_batch(mart.tickets, str(tmp_path), "tickets")
+    until = time.monotonic() + 3
+    while shuffle_files(spark) - before and time.monotonic() < until:
+        time.sleep(0.1)  # files go in the background
+    assert not shuffle_files(spark) - before
+    assert spark.conf.get(setting) == kept
+
+
+@pytest.mark.parametrize("most", [1, 1000, 1 << 24])
+def test_months_are_put_together_a_few_at_a_time(spark, mart, tmp_path, monkeypatch, most):
+    """Some months at a time give the lines that all at once give, undated and repeated ones too, in one batch."""
+    base = str(tmp_path)
+    lines = mart.tickets.where(F.col("sale_date").between(dt.date(1998, 9, 3), dt.date(1999, 3, 20)))
+    undated = lines.limit(5).withColumn("sale_date", F.lit(None).cast("date"))
+    write_mart(replace(mart, tickets=lines.unionByName(undated)), base)
+    snapshots.append_lines(lines.where(F.col("sale_date") > CUT), base)
+    before = load_mart(spark, base).tickets
+    monkeypatch.setattr(snapshots, "SLICE", most)
+    parts, counts = snapshots.month_parts(before), {r["sale_month"]: r["count"] for r in before.groupBy("sale_month").count().collect()}
+    assert len(parts) == {1: len(counts), 1 << 24: 1}.get(most, len(parts)) and sum(before.where(p).count() for p in parts) == before.count()
+    assert all(before.where(p).count() <= max(most, *counts.values()) for p in parts)
+    now = snapshots.compact_lines(spark, base)
+    after = load_mart(spark, base).tickets
+    assert len(now.of("tickets")) == 1 and (now.oldest, now.newest) == lines.agg(F.min("sale_date"), F.max("sale_date")).first()
+    assert after.exceptAll(before).isEmpty() and after.count() == before.count() == 5 + lines.count() + lines.where(F.col("sale_date") > CUT).count()
