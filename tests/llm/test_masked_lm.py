@@ -1,13 +1,15 @@
 """The masked network: its probabilities, its gradient, and what it learns."""
 
+import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 from cases import documents, tokens
 
-from tendero.llm.masked_lm import BUCKETS, FREQUENT, KNOWN, SIDE, SMALL, TOKENS, Network, Shares, Vocabulary, fit, frequent_words, pseudo_likelihood
+from tendero.llm.masked_lm import BUCKETS, FREQUENT, HASHES, KNOWN, SIDE, SMALL, TOKENS, Network, Shares, Vocabulary, fit, frequent_words, pseudo_likelihood
 
 
 def test_probabilities_do_not_look_at_the_word_itself():
@@ -96,3 +98,89 @@ def test_network_grows_with_the_vocabulary(spark):
     small, large = Shares.of(few, best), Shares.of(spark.range(16 * SMALL).selectExpr("concat('w', id) AS word", "1L AS n"), best)
     assert (small.tokens, small.buckets) == (FREQUENT, BUCKETS) and (large.tokens, large.buckets) == (2 * FREQUENT, 2 * BUCKETS)
     assert large.words.sum() == large.distinct.sum() == 16 * SMALL - large.tokens
+
+
+@pytest.fixture(scope="module")
+def tongues(spark):
+    """Texts in one of two languages that share no word: 40 frequent words and 1,500 others each, dealt at random."""
+    pick = random.Random(5)
+    texts = []
+    for k in range(240):
+        frequent, others = [f"{'ab'[k % 2]}{n}" for n in range(40)], [f"{'xy'[k % 2]}{n}" for n in range(1500)]
+        texts.append(" ".join(pick.choice(frequent if pick.random() < 0.5 else others) for _ in range(200)))
+    return texts, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2).cache()
+
+
+def test_words_of_a_bucket_are_told_apart_by_both_sides(tongues):
+    """A word of no token is likelier among words of its language, and whichever side they stand on."""
+    words, network = fit(tongues[1])
+    vocabulary = Vocabulary(words)
+
+    def inside(text, at):
+        """Log-probability of a word given its bucket."""
+        line, _, _ = vocabulary.line([text])
+        flat = Network(network.around, network.out, network.bias, network.token)
+        return float(network.log_probabilities(line, np.array([SIDE + at]))[0] - flat.log_probabilities(line, np.array([SIDE + at]))[0])
+
+    rare = [w for w in words if w[0] in "xy"][200:240]
+    assert all(network.token[line] > FREQUENT for w in rare for line in [vocabulary.line([w])[0][SIDE]])
+    own, other = ([f"{x}{n}" for n in range(4)] for x in "ab")
+    for w in rare:
+        near, far = (own, other) if w[0] == "x" else (other, own)
+        assert inside(" ".join([*near[:2], w, *near[2:]]), 2) > inside(" ".join([*far[:2], w, *far[2:]]), 2) + 1
+        assert inside(" ".join([*near, w]), 4) > inside(" ".join([*far, w]), 4) + 0.5
+        assert inside(" ".join([w, *near]), 0) > inside(" ".join([w, *far]), 0) + 0.5
+
+
+def test_probabilities_of_all_words_add_up(tongues):
+    """Between any neighbours; what is missing is kept for words not seen, half a word in each bucket."""
+    words, network = fit(tongues[1])
+    line, at, _ = Vocabulary(words).line([f"x7 a1 {w} a2 y3" for w in words])
+    found = np.exp(network.log_probabilities(line, at[2::5]).astype(float))
+    tokens = network.token[line[at[2::5]]]
+    size, held = Counter(w for t in tongues[0] for w in t.split()), Counter()
+    for w, t in zip(words, tokens, strict=True):
+        held[t] += size[w] + 0.5
+    flat = Network(network.around, network.out, network.bias)
+    line = np.array([0] * SIDE + [int(network.token[v]) for v in Vocabulary(words).line(["x7 a1 x7 a2 y3"])[0][SIDE:-SIDE]] + [0] * SIDE)
+    for t in sorted(set(tokens.tolist())):
+        line[SIDE + 2] = t
+        whole = np.exp(flat.log_probabilities(line, np.array([SIDE + 2]))[0])
+        assert found[tokens == t].sum() == pytest.approx(whole * (held[t] / (held[t] + 0.5) if t > FREQUENT else 1), rel=1e-4)
+
+
+def test_scores_by_a_plain_loop(tongues):
+    """Classes, their odds and the shares of words, worked out word by word."""
+    texts, docs = tongues
+    words, network = fit(docs)
+    rows = {r["doc_id"]: r for r in pseudo_likelihood(docs).collect()}
+    counts = Counter(w for t in texts for w in t.split())
+    classes, tokens = network.classes, {w: 1 + k for k, w in enumerate(words[:FREQUENT])}
+    hashed = lambda w: zlib.crc32(w.encode()) % HASHES
+    slot = lambda w: tokens.get(w) or 1 + FREQUENT + hashed(w)
+    token = lambda w: tokens.get(w) or 1 + FREQUENT + hashed(w) % BUCKETS
+    whole = Counter()
+    for w, n in counts.items():
+        whole[token(w)] += n + 0.5
+    for k in range(2):
+        text, total = texts[k].split(), 0.0
+        for i, w in enumerate(text):
+            near = [(p, text[i + p]) for p in (-2, -1, 1, 2) if 0 <= i + p < len(text)]
+            places = [p for p in (-2, -1, 1, 2)]
+            beside = {p: 0 for p in places} | {p: token(x) for p, x in near}
+            hidden = np.tanh(sum(network.around[n][beside[p]].astype(float) for n, p in enumerate(places)))
+            logits = hidden @ network.out.astype(float) + network.bias
+            total += logits[token(w)] - math.log(sum(math.exp(x) for x in logits))
+            if w not in tokens:
+                weights = [math.exp(classes.prior[c] + sum(float(classes.odds[slot(x), c]) for _, x in near)) for c in range(len(classes.prior))]
+                tilt = sum(g * float(classes.ratio[slot(w), c]) for c, g in enumerate(weights)) / sum(weights)
+                total += math.log(tilt * (counts[w] + 0.5) / (whole[token(w)] + 0.5))
+        assert rows[k]["n_words"] == len(text) and rows[k]["log_likelihood"] == pytest.approx(total, rel=1e-4)
+
+
+def test_few_words_make_few_classes(spark):
+    """One word, no word, and words that never meet another."""
+    for texts in (["a"], [""], [None, "   "], ["a", "b", "a a a"]):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        rows = pseudo_likelihood(docs).collect()
+        assert len(rows) == len(texts) and all(math.isfinite(r["log_likelihood"]) and (r["score"] is None) == (not r["n_words"]) for r in rows)
