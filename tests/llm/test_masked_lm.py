@@ -157,7 +157,7 @@ def test_scores_by_a_plain_loop(tongues):
     counts = Counter(w for t in texts for w in t.split())
     classes, tokens = network.classes, {w: 1 + k for k, w in enumerate(words[:FREQUENT])}
     hashed = lambda w: zlib.crc32(w.encode()) % HASHES
-    slot = lambda w: tokens.get(w) or 1 + FREQUENT + hashed(w)
+    slot = {w: 1 + k for k, w in enumerate(words)}.get  # all have one of their own
     token = lambda w: tokens.get(w) or 1 + FREQUENT + hashed(w) % BUCKETS
     whole = Counter()
     for w, n in counts.items():
